@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators import resample
+from barloom.operators.dedup import row_ids
+from barloom.operators.ordering import Ordered, running_sum
 from barloom.session import configure, settle
 
 HOUR = 3600
@@ -93,17 +95,16 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("run_id"), F.row_number().over(w).cast("long").alias("step"),
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("run_id"), "o_orderdate", "o_orderkey",
         (F.col("o_orderkey") % 201 - 100).cast("double").alias("reward"),
         (F.col("o_custkey") % 9).cast("int").alias("action"),
     )
+    numbered = row_ids(orders, ["run_id"], ["o_orderdate", "o_orderkey"], "step")
+    return numbered.select("run_id", (F.col("step") + 1).alias("step"), "reward", "action")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.operators.ordering import Ordered, running_sum
-
     series = Ordered.on_steps(runs(spark, sf_dir), ["run_id"], "step")
     return series.running(_sum=running_sum(F.col("reward"))).done().select(
         "run_id", "step", (100000 + F.col("_sum")).alias("wallet"),
@@ -213,16 +214,19 @@ def with_views(names: Iterable[str], **more: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ordered.items())
 
 
-DIGITS = 1e6
+# Reported doubles are cut to a grid of 1e-6, off the half so that values of few
+# decimals never lie on a cut; large ones to single precision.
+DIGITS, SHIFT, LARGE = 1e6, 0.5371, 1e6
 
 
 def report(df: DataFrame, *columns: str) -> DataFrame:
-    """Query output: doubles on a 1e-6 grid, timestamps as epoch microseconds."""
+    """Query output: doubles on the grid, timestamps as epoch microseconds."""
     out = []
     for f in (df.select(*columns) if columns else df).schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            c = F.rint(c * DIGITS) / DIGITS + F.lit(0.0)
+            c = F.when(F.abs(c) < LARGE, F.floor(c * DIGITS + SHIFT) / DIGITS).otherwise(
+                c.cast("float").cast("double"))
         elif isinstance(f.dataType, T.TimestampType):
             c = F.unix_micros(c)
         out.append(c.alias(f.name))
@@ -231,4 +235,9 @@ def report(df: DataFrame, *columns: str) -> DataFrame:
 
 def r6(*names: str) -> str:
     """SQL for doubles on the same grid."""
-    return ", ".join(f'round_even({n}*1e6, 0)/1e6 + 0.0 AS {n}' for n in names)
+    return ", ".join(cut(n, n) for n in names)
+
+
+def cut(value: str, name: str) -> str:
+    return (f"case when abs({value}) < 1e6 then cast(floor(({value})*1e6+0.5371) as bigint)/1e6 "
+            f"else cast(cast({value} as float) as double) end AS {name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.fixtures import HOUR, quotes, r6, report, ticker, trades, with_views
+from barloom.catalog.fixtures import HOUR, cut, quotes, r6, report, ticker, trades, with_views
 from barloom.operators import dedup, resample
 from barloom.sources import tables
 
@@ -176,11 +176,11 @@ def ticker_downscale(spark, sf):
     return report(resample.downscale(t, HOUR, cols, order=["ts", "event_id"]))
 
 
-SQL_TICKER = with_views(["fx_ticker"]) + """
+SQL_TICKER = with_views(["fx_ticker"]) + f"""
 SELECT symbol, epoch_us(date_trunc('hour', ts)) bucket, epoch_us(arg_min(funding_timestamp, ts)) funding_timestamp,
-round_even(arg_min(funding_rate, ts)*1e6,0)/1e6+0.0 funding_rate,
-round_even(arg_min(index_price, ts)*1e6,0)/1e6+0.0 index_price,
-round_even(arg_min(mark_price, ts)*1e6,0)/1e6+0.0 mark_price FROM fx_ticker GROUP BY 1, 2"""
+{cut('arg_min(funding_rate, ts)', 'funding_rate')},
+{cut('arg_min(index_price, ts)', 'index_price')},
+{cut('arg_min(mark_price, ts)', 'mark_price')} FROM fx_ticker GROUP BY 1, 2"""
 
 
 def two_level(spark, sf):
@@ -188,9 +188,9 @@ def two_level(spark, sf):
     return report(resample.downscale(fine, HOUR, ["mark_price"], ts="bucket"))
 
 
-SQL_TWO_LEVEL = with_views(["fx_ticker"]) + """
+SQL_TWO_LEVEL = with_views(["fx_ticker"]) + f"""
 SELECT symbol, epoch_us(date_trunc('hour', ts)) bucket,
-round_even(arg_min(mark_price, ts)*1e6,0)/1e6+0.0 mark_price FROM fx_ticker GROUP BY 1, 2"""
+{cut('arg_min(mark_price, ts)', 'mark_price')} FROM fx_ticker GROUP BY 1, 2"""
 
 
 def overview(spark, sf):
@@ -244,10 +244,10 @@ def first_values(spark, sf):
     return report(dedup.first_values(q, ["symbol", "ts"], ["event_id"], ["bid_price", "ask_price"]))
 
 
-SQL_FIRST_VALUES = with_views(["fx_quotes"]) + """
+SQL_FIRST_VALUES = with_views(["fx_quotes"]) + f"""
 SELECT symbol, epoch_us(date_trunc('hour', ts)) ts,
-round_even((arg_min(bid_price, event_id) filter (event_id%3<>0))*1e6,0)/1e6+0.0 bid_price,
-round_even((arg_min(ask_price, event_id) filter (event_id%2=0))*1e6,0)/1e6+0.0 ask_price
+{cut('(arg_min(bid_price, event_id) filter (event_id%3<>0))', 'bid_price')},
+{cut('(arg_min(ask_price, event_id) filter (event_id%2=0))', 'ask_price')}
 FROM fx_quotes GROUP BY 1, 2"""
 
 

@@ -48,10 +48,13 @@ def equal_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     ]).first()
     first_with: dict = {}
     rows = [
-        (position, column, first_with.setdefault(prints[column], column))
+        F.struct(
+            F.lit(position).alias("position"), F.lit(column).alias("column"),
+            F.lit(first_with.setdefault(prints[column], column)).alias("same_as"),
+        )
         for position, column in enumerate(columns)
     ]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, same_as string")
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def drop_equal_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -132,11 +133,11 @@ class Ordered:
             return whole
         sizes = df.groupBy(*keys).count()
         # At most total / per_block <= MAX_BLOCKS keys can pass this filter.
-        hot = sizes.where(F.col("count") > per_block).collect()
-        if not hot:
+        hot = sizes.where(F.col("count") > per_block).toArrow()
+        if not hot.num_rows:
             return whole
         spark = df.sparkSession
-        hot_keys = spark.createDataFrame(hot, sizes.schema)
+        hot_keys = spark.createDataFrame(hot)
         every = max(1, per_block // SAMPLES_PER_BLOCK)
         sample = (
             df.select(*keys, *order)
@@ -156,7 +157,7 @@ class Ordered:
                 ),
             ).alias("_cuts"),
         )
-        fixed = spark.createDataFrame(cuts.collect(), cuts.schema)
+        fixed = spark.createDataFrame(cuts.toArrow())
         powers = F.array(*[F.lit(1 << p) for p in range(MAX_BLOCKS.bit_length(), -1, -1)])
         here = F.struct(*order)
         block = F.aggregate(
@@ -224,6 +225,12 @@ class Ordered:
         it lies within reach of it; the copies are dropped at the end. Later
         stages may use the columns of earlier ones; the reach is their sum.
         """
+        df = self._with_neighbours(back, ahead)
+        for stage in stages:
+            df = df.withColumns(stage(self.window))
+        return self.on(df.where(F.col(OWN)).drop(OWN))
+
+    def _with_neighbours(self, back: int, ahead: int) -> DataFrame:
         if self.position is None:
             raise ValueError("row frames need a dense layout (on_grid or on_steps)")
         if max(back, ahead) > self.size:
@@ -235,10 +242,57 @@ class Ordered:
             F.when(offset >= self.size - back, home + 1),
             F.when(offset < ahead, home - 1),
         ))
-        df = self.df.withColumn(BLOCK, F.explode(owners)).withColumn(OWN, F.col(BLOCK) == home)
-        for stage in stages:
-            df = df.withColumns(stage(self.window))
-        return self.on(df.where(F.col(OWN)).drop(OWN))
+        return self.df.withColumn(BLOCK, F.explode(owners)).withColumn(OWN, F.col(BLOCK) == home)
+
+    def map_blocks(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                   back: int = 0) -> DataFrame:
+        """Run ``fn`` on each block as a sorted pandas frame with its ``back`` earlier rows.
+
+        ``fn`` returns one row per input row; rows that are only copies are dropped.
+        """
+        order = list(self.order)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order, ignore_index=True)
+            return fn(pdf)[pdf[OWN].to_numpy()]
+
+        return self._with_neighbours(back, 0).groupBy(*self.keys, BLOCK).applyInPandas(run, schema)
+
+    def scan(self, summarise: Callable[[pd.DataFrame], dict], walk: Callable[[object, dict], object],
+             replay: Callable[[pd.DataFrame, object], pd.DataFrame], start: object,
+             summary_schema: str, state_type: str, schema: str, backward: bool = False) -> DataFrame:
+        """A state machine along each series, block by block.
+
+        ``summarise`` turns a block into one row that tells how it maps the state
+        at its entry to the state at its exit; ``walk`` applies that row to a
+        state; ``replay`` produces a block's output rows from its entry state.
+        Tasks hold one block, or one summary row per block of a series.
+        """
+        keys, order = list(self.keys), list(self.order)
+        key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                               for f in self.df.schema.fields if f.name in keys)
+        lead = f"{key_schema}, {BLOCK} long" if keys else f"{BLOCK} long"
+        ids = [*keys, BLOCK]
+
+        def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order, ignore_index=True)
+            return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in ids}, **summarise(pdf)}])
+
+        def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(BLOCK, ascending=not backward, ignore_index=True)
+            state, seen = start, []
+            for row in pdf.to_dict("records"):
+                seen.append(state)
+                state = walk(state, row)
+            return pdf[ids].assign(_state=pd.Series(seen))
+
+        def output(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order, ignore_index=True)
+            return replay(pdf, pdf["_state"].iloc[0])
+
+        blocks = self.df.groupBy(*ids).applyInPandas(summary, f"{lead}, {summary_schema}")
+        states = blocks.groupBy(*keys).applyInPandas(entries, f"{lead}, _state {state_type}")
+        return self.df.join(states, ids).groupBy(*ids).applyInPandas(output, schema)
 
     def done(self) -> DataFrame:
         return self.df.drop(BLOCK)
