@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.fixtures import HOUR, TIERS, book, ledger, r6, report, runs, ticker, with_views
+from barloom.catalog.fixtures import HOUR, TIERS, book, cut, ledger, r6, report, runs, ticker, with_views
 from barloom.operators import execution, joins, resample
 from barloom.operators.ordering import Ordered
 
@@ -177,10 +177,10 @@ def countdowns(spark, sf):
 
 SQL_COUNTDOWN = with_views(
     ["fx_ticker"], d="select event_id, (epoch_us(funding_timestamp)-epoch_us(ts))/1e6 d from fx_ticker",
-    c="select event_id, d, d-60*floor(d/60) AS "seconds" from d",
+    c="select event_id, d, d-60*floor(d/60) AS sec from d",
 ) + f"""
 SELECT event_id, cast(floor(d/3600) as bigint) AS hours, cast(floor((d-3600*floor(d/3600))/60) as bigint) AS minutes,
- {r6('"seconds"')} FROM c"""
+ {cut('sec', '"seconds"')} FROM c"""
 
 
 def _hourly_ticker(spark, sf):

@@ -20,6 +20,7 @@ from barloom.operators.ordering import (
     last_set,
     next_set,
 )
+from barloom.operators.quantiles import exact_quantiles
 
 SIDES = ("buy", "sell")
 
@@ -263,27 +264,21 @@ def base_features(trades: DataFrame, quotes: DataFrame, seconds: int,
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """RS21: count, mean, sample std, min, quartiles and max per column, long form."""
-    parts = []
-    for c in columns:
-        v = F.col(c)
-        parts += [
-            F.count(v), F.avg(v), F.stddev_samp(v), F.min(v),
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), F.max(v),
-        ]
-    names = ["count", "mean", "std", "min", "q", "max"]
-    wide = df.agg(*[p.alias(f"{names[i % 6]}_{columns[i // 6]}") for i, p in enumerate(parts)])
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"count_{c}").alias("count"),
-            F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std"),
-            F.col(f"min_{c}").alias("min"), F.col(f"q_{c}")[0].alias("q25"),
-            F.col(f"q_{c}")[1].alias("q50"), F.col(f"q_{c}")[2].alias("q75"),
-            F.col(f"max_{c}").alias("max"),
-        )
-        for c in columns
-    ])
-    return wide.select(F.inline(rows))
+    """RS21: count, mean, sample std, min, quartiles and max per column, long form.
+
+    All columns are unpivoted and go through one aggregate and one quantile pass.
+    """
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns
+    ]))
+    long = df.select(rows)
+    v = F.col("v")
+    moments = long.groupBy("feature").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    quartiles = exact_quantiles(long, ["feature"], "v", (0.25, 0.5, 0.75))
+    named = quartiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
+    return moments.join(named, "feature", "left")
 
 
 def overview(ticker: DataFrame, seconds: int, price: str = "mark_price",

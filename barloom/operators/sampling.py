@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_sum
+from barloom.operators.quantiles import quantile_values
 
 
 def chronological_split(df: DataFrame, shares: Sequence[tuple[str, int]], keys: Sequence[str], position: str) -> DataFrame:
@@ -99,7 +100,7 @@ def hash_sample(df: DataFrame, identity: Sequence[str], n: int, seed: int = 0) -
 
 def clip(df: DataFrame, column: str, low: float, high: float, out: str) -> DataFrame:
     """SL9: values outside the given percentiles are moved to them."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high)))).first()[0]
+    bounds = quantile_values(df, column, (low, high))
     return df.withColumn(out, F.least(F.greatest(F.col(column), F.lit(bounds[0])), F.lit(bounds[1])))
 
 

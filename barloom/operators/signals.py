@@ -17,6 +17,7 @@ from barloom.operators.ordering import (
     running_product,
     running_sum,
 )
+from barloom.operators.quantiles import exact_quantiles
 
 
 def macd_decision(dif: Column, macd: Column) -> Column:
@@ -96,7 +97,7 @@ def route(weights: DataFrame, step: str, model: str, weight: str, threshold: flo
 
 def reject_rates(scores: DataFrame, reference: DataFrame, keys: Sequence[str], percent: float) -> DataFrame:
     """SG8: share of scores below a percentile of the reference sample."""
-    bounds = reference.groupBy(*keys).agg(F.percentile("score", F.lit(percent / 100)).alias("threshold"))
+    bounds = exact_quantiles(reference, keys, "score", (percent / 100,)).withColumnRenamed("q0", "threshold")
     return scores.join(bounds, list(keys)).groupBy(*keys, "threshold").agg(
         F.avg((F.col("score") < F.col("threshold")).cast("double")).alias("reject_rate"))
 
