@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("ticks", "bars", "books", "joins", "selection", "regimes", "execution", "signals", "metrics", "weights")
+AREAS = ("ticks", "bars", "books", "joins", "selection", "regimes", "execution", "signals", "metrics", "weights",
+         "streams", "pipelines")
 
 
 def catalog() -> dict:

@@ -104,8 +104,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("run_id", (F.col("step") + 1).alias("step"), "reward", "action")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = Ordered.on_steps(runs(spark, sf_dir), ["run_id"], "step")
+def ledger(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
+    """Account columns of the runs; ``log`` passes settled runs where they are used again."""
+    series = Ordered.on_steps(log or settle(runs(spark, sf_dir), "runs"), ["run_id"], "step")
     return series.running(_sum=running_sum(F.col("reward"))).done().select(
         "run_id", "step", (100000 + F.col("_sum")).alias("wallet"),
         (F.col("action") * 10 - 40).cast("double").alias("unrealized"),
@@ -130,8 +131,8 @@ TIERS = ((0.0, 50000.0, 0.004, 0.0), (50000.0, 500000.0, 0.005, 50.0), (500000.0
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly trade bars on the full grid, settled because later steps branch."""
-    sparse = settle(resample.trade_bars(trades(spark, sf_dir), HOUR), "bars")
+    """Hourly trade bars on the full grid."""
+    sparse = resample.trade_bars(trades(spark, sf_dir), HOUR)
     return resample.complete_bars(sparse, HOUR, resample.zero_columns(sparse))
 
 
@@ -216,21 +217,24 @@ def with_views(names: Iterable[str], **more: str) -> str:
 
 # Reported doubles are cut to a grid of 1e-6, off the half so that values of few
 # decimals never lie on a cut; large ones to single precision.
-DIGITS, SHIFT, LARGE = 1e6, 0.5371, 1e6
+DIGITS, SHIFT, LARGE = 1000000, 0.5371, 1000000
 
 
 def report(df: DataFrame, *columns: str) -> DataFrame:
     """Query output: doubles on the grid, timestamps as epoch microseconds."""
+    picked = df.select(*columns) if columns else df
     out = []
-    for f in (df.select(*columns) if columns else df).schema.fields:
-        c = F.col(f.name)
+    for f in picked.schema.fields:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, T.DoubleType):
-            c = F.when(F.abs(c) < LARGE, F.floor(c * DIGITS + SHIFT) / DIGITS).otherwise(
-                c.cast("float").cast("double"))
+            out.append(
+                f"CASE WHEN abs({name}) < {LARGE} THEN floor({name} * {DIGITS}D + {SHIFT}D) / {DIGITS}D "
+                f"ELSE CAST(CAST({name} AS FLOAT) AS DOUBLE) END AS {name}")
         elif isinstance(f.dataType, T.TimestampType):
-            c = F.unix_micros(c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"unix_micros({name}) AS {name}")
+        else:
+            out.append(name)
+    return picked.selectExpr(*out)
 
 
 def r6(*names: str) -> str:

@@ -14,8 +14,12 @@ FREQ, TAIL, PENALTY, DISCOUNT, LAMBDA, STEPS = 48, 500, 0.5, 0.99, 0.95, 5
 VIEWS = ["fx_ledger"]
 
 
-def _required(spark, sf):
-    return metrics.required_money(settle(ledger(spark, sf), "ledger"))
+def _required(spark, sf, log=None):
+    return metrics.required_money(ledger(spark, sf, log))
+
+
+def _log(spark, sf):
+    return settle(runs(spark, sf), "runs")
 
 
 REQUIRED = """select run_id, arg_min(wallet, step) - least(
@@ -57,14 +61,16 @@ SQL_DIFFERENCES = with_views(VIEWS, d="""select run_id, step,
 
 
 def equity(spark, sf):
-    return report(metrics.equity(runs(spark, sf), _required(spark, sf)).done(), "run_id", "step", "equity")
+    log = _log(spark, sf)
+    return report(metrics.equity(log, _required(spark, sf, log)).done(), "run_id", "step", "equity")
 
 
 SQL_EQUITY = with_views(VIEWS, **CURVE) + f"\nSELECT run_id, step, {r6('equity')} FROM eq"
 
 
 def returns(spark, sf):
-    curve = metrics.equity(runs(spark, sf), _required(spark, sf)).done()
+    log = _log(spark, sf)
+    curve = metrics.equity(log, _required(spark, sf, log)).done()
     return report(metrics.block_returns(curve, FREQ))
 
 
@@ -72,14 +78,16 @@ SQL_RETURNS = with_views(VIEWS, **METRICS) + f"\nSELECT run_id, block, {cut('x',
 
 
 def run_table(spark, sf):
-    return report(metrics.run_metrics(settle(runs(spark, sf), "runs"), _required(spark, sf), FREQ))
+    log = _log(spark, sf)
+    return report(metrics.run_metrics(log, _required(spark, sf, log), FREQ))
 
 
 SQL_METRICS = with_views(VIEWS, **METRICS) + f"\nSELECT run_id, {r6(*NAMES)} FROM mt"
 
 
 def shown(spark, sf):
-    made = metrics.run_metrics(settle(runs(spark, sf), "runs"), _required(spark, sf), FREQ)
+    log = _log(spark, sf)
+    made = metrics.run_metrics(log, _required(spark, sf, log), FREQ)
     return metrics.presentation(made)
 
 
@@ -90,7 +98,8 @@ SELECT run_id "Algorithm", round(tr*100,2) "TR(%)", round(annual_sr,2) "Annual S
 
 
 def holding(spark, sf):
-    return report(metrics.holding_drawdown(settle(ledger(spark, sf), "ledger"), settle(runs(spark, sf), "runs"), TAIL))
+    log = _log(spark, sf)
+    return report(metrics.holding_drawdown(settle(ledger(spark, sf, log), "ledger"), log, TAIL))
 
 
 SQL_HOLDING = with_views(

@@ -19,6 +19,11 @@ def clean(value: Column) -> Column:
     return F.coalesce(finite, F.lit(0.0))
 
 
+def clean_sql(value: str) -> str:
+    """``clean`` for an expression given as SQL text."""
+    return f"coalesce(nullif(nullif(nanvl(CAST({value} AS DOUBLE), 0D), double('Infinity')), double('-Infinity')), 0D)"
+
+
 def log(value: Column) -> Column:
     """Natural logarithm, null outside its domain."""
     return F.when(value > 0, F.ln(value))

@@ -225,11 +225,22 @@ class Ordered:
         it lies within reach of it; the copies are dropped at the end. Later
         stages may use the columns of earlier ones; the reach is their sum.
         """
+        return self.with_frames_sql(
+            *[lambda df, stage=stage: df.withColumns(stage(self.window)) for stage in stages],
+            back=back, ahead=ahead)
+
+    def with_frames_sql(self, *stages: Callable[[DataFrame], DataFrame], back: int = 0, ahead: int = 0) -> Ordered:
+        """``with_frames`` for stages that map frames, for example by SQL text over ``window_sql``."""
         df = self._with_neighbours(back, ahead)
         for stage in stages:
-            df = df.withColumns(stage(self.window))
+            df = stage(df)
         return self.on(df.where(F.col(OWN)).drop(OWN))
 
+    @property
+    def window_sql(self) -> str:
+        keys = ", ".join(f"`{c}`" for c in (*self.keys, BLOCK))
+        return f"PARTITION BY {keys} ORDER BY {', '.join(f'`{c}`' for c in self.order)}"
+
     def _with_neighbours(self, back: int, ahead: int) -> DataFrame:
         if self.position is None:
             raise ValueError("row frames need a dense layout (on_grid or on_steps)")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
+from barloom.session import settle
 
 
 def values_at_ranks(df: DataFrame, keys: Sequence[str], column: str,
@@ -21,6 +22,8 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], column: str,
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
+    # Read by the size check, the ranking and the totals.
+    counts = settle(counts, "counts")
     ranked = Ordered.on_events(counts, keys, ["_v"], rows_per_block).running(_upto=running_sum(F.col("_n"))).done()
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:

@@ -21,6 +21,7 @@ from barloom.operators.ordering import (
     next_set,
 )
 from barloom.operators.quantiles import exact_quantiles
+from barloom.session import settle
 
 SIDES = ("buy", "sell")
 
@@ -239,12 +240,30 @@ def fill_both(dense: DataFrame, seconds: int, columns: Sequence[str],
 def complete_bars(bars: DataFrame, seconds: int, zero: Sequence[str] = (),
                   keys: Sequence[str] = ("symbol",), ts: str = "bucket",
                   rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
-    """RS20 (fill part): densify, counts and sums of empty buckets 0, the rest carried."""
-    dense = densify(bars, seconds, keys, ts, rows_per_block)
-    if zero:
-        dense = dense.fillna(0, subset=list(zero))
+    """RS20 (fill part): densify, counts and sums of empty buckets 0, the rest carried.
+
+    Same rows as ``densify`` and ``fill_forward``, made from the bars alone: each
+    bar fills the grid up to the next one. The bars are settled first, because
+    making them reads all ticks and the pass over them reads them twice.
+    """
+    bars = settle(bars, "bars")
     rest = [c for c in bars.columns if c not in {*keys, ts, *zero}]
-    return fill_forward(dense, seconds, rest, keys, ts, rows_per_block)
+    series = Ordered.on_grid(bars, keys, ts, seconds, rows_per_block)
+    filled = series.running(
+        _next=next_set(F.col(ts), strict=True), **{f"_f_{c}": last_set(F.col(c)) for c in rest}).done()
+    index = F.floor(F.unix_seconds(F.col(ts)) / seconds)
+    until = F.coalesce(F.floor(F.unix_seconds("_next") / seconds), index + 1) - 1
+    spread = filled.withColumns({"_lo": index, "_hi": until})
+    # A long gap is unrolled in two steps of bounded length.
+    size = F.lit(rows_per_block)
+    spread = spread.withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
+    point = F.explode(F.sequence(
+        F.greatest("_lo", F.col("_b") * size), F.least("_hi", F.col("_b") * size + size - 1)))
+    return spread.withColumn("_i", point).select(
+        *keys, F.timestamp_seconds(F.col("_i") * seconds).alias(ts),
+        *[F.when(F.col("_i") == F.col("_lo"), F.col(c)).otherwise(F.lit(0)).alias(c)
+          if c in zero else F.col(f"_f_{c}").alias(c) for c in bars.columns if c not in {*keys, ts}])
 
 
 def zero_columns(bars: DataFrame) -> list[str]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clean, log, ratio, total
+from barloom.functions.columns import clean_sql, log, ratio, total
 from barloom.functions.names import ohlc_families, ohlcv_families
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered
 
@@ -25,134 +25,138 @@ WINDOWS = (2, 6, 12, 16, 24, 48)
 PER_BLOCK = 200
 
 
-def _correlation(x: str, y: str, w: WindowSpec) -> Column:
-    """Pearson correlation in a frame, null where a side is constant."""
-    varies = (F.max(x).over(w) > F.min(x).over(w)) & (F.max(y).over(w) > F.min(y).over(w))
-    spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
-    return F.when(varies, ratio(F.covar_pop(x, y).over(w), spread))
-
-
 class _Group:
-    """Expressions of one (open, high, low, close[, volume]) group."""
+    """Expressions of one (open, high, low, close[, volume]) group, as SQL text.
+
+    The default set is thousands of columns; text is parsed in the JVM, where
+    building the same trees call by call would take the driver minutes.
+    """
 
-    def __init__(self, tag: str, names: Mapping[str, str]):
-        self.tag, self.names, self.volume = tag, names, "volume" in names
+    def __init__(self, tag: str, names: Mapping[str, str], spec: str):
+        self.tag, self.spec, self.volume = tag, spec, "volume" in names
+        self.col = {word: f"`{name}`" for word, name in names.items()}
 
     def own(self, name: str) -> str:
-        return f"_{name}{self.tag}"
+        return f"`_{name}{self.tag}`"
 
-    def c(self, word: str) -> Column:
-        return F.col(self.names[word])
+    def frame(self, w: int) -> str:
+        return f"OVER ({self.spec} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
 
-    def steps(self, spec: WindowSpec) -> dict[str, Column]:
+    def steps(self) -> dict[str, str]:
         """One-step changes."""
-        close = self.c("close")
-        move = ratio(close, F.lag(close).over(spec))
-        out = {"move": move, "ret": move - 1}
+        close = self.col["close"]
+        before = f"lag({close}) OVER ({self.spec})"
+        out = {"move": f"try_divide({close}, {before})", "ret": f"try_divide({close}, {before}) - 1"}
         if self.volume:
-            volume = self.c("volume")
-            before = F.lag(volume).over(spec)
+            volume = self.col["volume"]
+            volume_before = f"lag({volume}) OVER ({self.spec})"
+            growth = f"try_divide({volume}, {volume_before}) + 1"
             out |= {
-                "vchg": volume - before,
-                "lvol": log(volume + 1),
-                "lvmove": log(ratio(volume, before) + 1),
-                "churn": F.abs(move - 1) * volume,
+                "vchg": f"{volume} - {volume_before}",
+                "lvol": f"CASE WHEN {volume} > -1 THEN ln({volume} + 1) END",
+                "lvmove": f"CASE WHEN {growth} > 0 THEN ln({growth}) END",
+                "churn": f"abs(try_divide({close}, {before}) - 1) * {volume}",
             }
         return {self.own(k): v for k, v in out.items()}
 
-    def frames(self, spec: WindowSpec, w: int) -> dict[str, Column]:
+    def frames(self, w: int) -> dict[str, str]:
         """Everything that needs the frame of ``w`` rows."""
-        f = spec.rowsBetween(1 - w, 0)
-        close, high, low = (self.names[n] for n in ("close", "high", "low"))
-        ret = F.col(self.own("ret"))
+        over, close = self.frame(w), self.col["close"]
+        ret = self.own("ret")
 
-        def full(c: str | Column, value: Column) -> Column:
-            return F.when(F.count(c).over(f) == w, value)
+        def full(value: str, *columns: str) -> str:
+            whole = " AND ".join(f"count({c}) {over} = {w}" for c in columns)
+            return f"CASE WHEN {whole} THEN {value} END"
+
+        def of(function: str, column: str) -> str:
+            return full(f"{function}({column}) {over}", column)
+
+        def correlation(x: str, y: str) -> str:
+            varies = " AND ".join(f"max({c}) {over} > min({c}) {over}" for c in (x, y))
+            spread = f"stddev_pop({x}) {over} * stddev_pop({y}) {over}"
+            value = f"CASE WHEN {varies} THEN try_divide(covar_pop({x}, {y}) {over}, {spread}) END"
+            return full(value, x, y)
 
         out = {
-            "back": F.lag(close, w).over(spec),
-            "mean": full(close, F.avg(close).over(f)),
-            "std": full(close, F.stddev_samp(close).over(f)),
-            "max": full(close, F.max(close).over(f)),
-            "min": full(close, F.min(close).over(f)),
-            "qu": full(close, F.percentile(close, F.lit(0.8)).over(f)),
-            "qd": full(close, F.percentile(close, F.lit(0.2)).over(f)),
-            "closes": full(close, F.collect_list(close).over(f)),
-            "highs": full(high, F.collect_list(high).over(f)),
-            "lows": full(low, F.collect_list(low).over(f)),
-            "n": F.count(F.lit(1)).over(f),
-            "ups": F.count_if(ret > 0).over(f),
-            "downs": F.count_if(ret < 0).over(f),
-            "gain": full(ret, F.sum(F.greatest(ret, F.lit(0.0))).over(f)),
-            "path": full(ret, F.sum(F.abs(ret)).over(f)),
+            "back": f"lag({close}, {w}) OVER ({self.spec})",
+            "mean": of("avg", close), "std": of("stddev_samp", close),
+            "max": of("max", close), "min": of("min", close),
+            "qu": full(f"percentile({close}, 0.8D) {over}", close),
+            "qd": full(f"percentile({close}, 0.2D) {over}", close),
+            "closes": of("collect_list", close),
+            "highs": of("collect_list", self.col["high"]),
+            "lows": of("collect_list", self.col["low"]),
+            "n": f"count(1) {over}",
+            "ups": f"count_if({ret} > 0) {over}", "downs": f"count_if({ret} < 0) {over}",
+            "gain": full(f"sum(greatest({ret}, 0D)) {over}", ret),
+            "path": full(f"sum(abs({ret})) {over}", ret),
         }
         if self.volume:
-            volume, lvol, move, lvmove = (
-                self.names["volume"], self.own("lvol"), self.own("move"), self.own("lvmove"))
-            vchg, churn = F.col(self.own("vchg")), self.own("churn")
+            volume, vchg = self.col["volume"], self.own("vchg")
             out |= {
-                "corr": full(close, full(lvol, _correlation(close, lvol, f))),
-                "cord": full(move, full(lvmove, _correlation(move, lvmove, f))),
-                "vmean": full(volume, F.avg(volume).over(f)),
-                "vstd": full(volume, F.stddev_samp(volume).over(f)),
-                "cmean": full(churn, F.avg(churn).over(f)),
-                "cstd": full(churn, F.stddev_samp(churn).over(f)),
-                "vgain": full(vchg, F.sum(F.greatest(vchg, F.lit(0.0))).over(f)),
-                "vpath": full(vchg, F.sum(F.abs(vchg)).over(f)),
+                "corr": correlation(close, self.own("lvol")),
+                "cord": correlation(self.own("move"), self.own("lvmove")),
+                "vmean": of("avg", volume), "vstd": of("stddev_samp", volume),
+                "cmean": of("avg", self.own("churn")), "cstd": of("stddev_samp", self.own("churn")),
+                "vgain": full(f"sum(greatest({vchg}, 0D)) {over}", vchg),
+                "vpath": full(f"sum(abs({vchg})) {over}", vchg),
             }
         return {self.own(f"{k}_{w}"): v for k, v in out.items()}
 
-    def features(self, w: int) -> dict[str, Column]:
+    def features(self, w: int) -> dict[str, str]:
         """RW1-RW19 from the frame columns, null and infinite values 0."""
-        def g(name: str) -> Column:
-            return F.col(self.own(f"{name}_{w}"))
-
-        close, high, low = self.c("close"), self.c("high"), self.c("low")
-        std = g("std") + TINY
-        low_or_back = F.when(g("back").isNotNull(), F.least(low, g("back")))
-        high_or_back = F.when(g("back").isNotNull(), F.greatest(high, g("back")))
-        less = F.size(F.filter(g("closes"), lambda x: x < close))
-        equal = F.size(F.filter(g("closes"), lambda x: x == close))
-        first_high = F.array_position(g("highs"), F.array_max(g("highs"))) - 1
-        first_low = F.array_position(g("lows"), F.array_min(g("lows"))) - 1
-        whole = g("n") == w
-        up_share = F.when(whole, g("ups") / w)
-        down_share = F.when(whole, g("downs") / w)
-        gain = ratio(g("gain"), g("path") + TINY)
+        def g(name: str) -> str:
+            return self.own(f"{name}_{w}")
+
+        def per(top: str, bottom: str) -> str:
+            return f"try_divide({top}, {bottom})"
+
+        close, high, low = (self.col[c] for c in ("close", "high", "low"))
+        back, std = g("back"), f"({g('std')} + {TINY}D)"
+        floor_ = f"CASE WHEN {back} IS NOT NULL THEN least({low}, {back}) END"
+        roof = f"CASE WHEN {back} IS NOT NULL THEN greatest({high}, {back}) END"
+        less = f"size(filter({g('closes')}, x -> x < {close}))"
+        equal = f"size(filter({g('closes')}, x -> x = {close}))"
+        first_high = f"(array_position({g('highs')}, array_max({g('highs')})) - 1)"
+        first_low = f"(array_position({g('lows')}, array_min({g('lows')})) - 1)"
+        up, down = (f"CASE WHEN {g('n')} = {w} THEN {g(c)} / {w} END" for c in ("ups", "downs"))
+        gain = per(g("gain"), f"{g('path')} + {TINY}D")
         out = {
-            "roc": ratio(g("back"), close), "ma": ratio(g("mean"), close),
-            "std": ratio(g("std"), close), "beta": ratio(g("back") - close, w * close),
-            "max": ratio(g("max"), close), "min": ratio(g("min"), close),
-            "qtlu": ratio(g("qu"), close), "qtld": ratio(g("qd"), close),
-            "rank": (less + (equal + 1) / 2) / w / w,
-            "imax": first_high / w, "imin": first_low / w, "imxd": (first_high - first_low) / w,
-            "rsv": ratio(close - low_or_back, high_or_back - low_or_back + TINY),
-            "cntp": up_share, "cntn": down_share, "cntd": up_share - down_share,
-            "sump": gain, "sumn": 1 - gain, "sumd": 2 * gain - 1,
+            "roc": per(back, close), "ma": per(g("mean"), close), "std": per(g("std"), close),
+            "beta": per(f"{back} - {close}", f"{w} * {close}"),
+            "max": per(g("max"), close), "min": per(g("min"), close),
+            "qtlu": per(g("qu"), close), "qtld": per(g("qd"), close),
+            "rank": f"CASE WHEN {g('closes')} IS NOT NULL THEN ({less} + ({equal} + 1) / 2) / {w} / {w} END",
+            "imax": f"{first_high} / {w}", "imin": f"{first_low} / {w}",
+            "imxd": f"({first_high} - {first_low}) / {w}",
+            "rsv": per(f"{close} - {floor_}", f"{roof} - {floor_} + {TINY}D"),
+            "cntp": up, "cntn": down, "cntd": f"{up} - {down}",
+            "sump": gain, "sumn": f"1 - {gain}", "sumd": f"2 * {gain} - 1",
         }
         scaled = {
-            "roc": g("back") / std, "ma": g("mean") / std, "beta": (g("back") - close) / (w * std),
-            "max": g("max") / std, "min": g("min") / std, "qtlu": g("qu") / std,
-            "qtld": g("qd") / std,
+            "roc": f"{back} / {std}", "ma": f"{g('mean')} / {std}",
+            "beta": f"({back} - {close}) / ({w} * {std})",
+            "max": f"{g('max')} / {std}", "min": f"{g('min')} / {std}",
+            "qtlu": f"{g('qu')} / {std}", "qtld": f"{g('qd')} / {std}",
         }
         if self.volume:
-            volume = self.c("volume") + TINY
-            vgain = ratio(g("vgain"), g("vpath") + TINY)
+            volume = f"{self.col['volume']} + {TINY}D"
+            vgain = per(g("vgain"), f"{g('vpath')} + {TINY}D")
             out |= {
                 "corr": g("corr"), "cord": g("cord"),
-                "vma": ratio(g("vmean"), volume), "vstd": ratio(g("vstd"), volume),
-                "wvma": ratio(g("cstd"), g("cmean") + TINY),
-                "vsump": vgain, "vsumn": 1 - vgain, "vsumd": 2 * vgain - 1,
+                "vma": per(g("vmean"), volume), "vstd": per(g("vstd"), volume),
+                "wvma": per(g("cstd"), f"{g('cmean')} + {TINY}D"),
+                "vsump": vgain, "vsumn": f"1 - {vgain}", "vsumd": f"2 * {vgain} - 1",
             }
             scaled |= {
-                "rsv": (close - low_or_back) / (std + TINY),
-                "vma": g("vmean") / (g("vstd") + TINY + TINY),
+                "rsv": f"({close} - {floor_}) / ({std} + {TINY}D)",
+                "vma": f"{g('vmean')} / ({g('vstd')} + {TINY}D + {TINY}D)",
             }
-        named = {f"{k}_{w}{self.tag}": clean(v.cast("double")) for k, v in out.items()}
-        named |= {f"{k}_{w}_std_norm{self.tag}": clean(v) for k, v in scaled.items()}
+        named = {f"{k}_{w}{self.tag}": v for k, v in out.items()}
+        named |= {f"{k}_{w}_std_norm{self.tag}": v for k, v in scaled.items()}
         if self.volume:
-            named[f"log_volume{self.tag}"] = clean(F.col(self.own("lvol")))
-        return named
+            named[f"log_volume{self.tag}"] = self.own("lvol")
+        return {k: clean_sql(v) for k, v in named.items()}
 
 
 def trim_start(df: DataFrame, rows: int, seconds: int, keys: Sequence[str] = ("symbol",),
@@ -167,16 +171,20 @@ def rolling_groups(bars: DataFrame, seconds: int, groups: Mapping[str, Mapping[s
                    windows: Sequence[int] = WINDOWS, keys: Sequence[str] = ("symbol",),
                    ts: str = "bucket", rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """RW1-RW19, RW21: all features of the given groups (tag to column names)."""
-    made = [_Group(tag, names) for tag, names in groups.items()]
-    used = dict.fromkeys([*keys, ts, *[c for g in made for c in g.names.values()]])
+    used = dict.fromkeys([*keys, ts, *[c for names in groups.values() for c in names.values()]])
     series = Ordered.on_grid(bars.select(*used), keys, ts, seconds, rows_per_block)
-    framed = series.with_frames(
-        lambda spec: {k: v for g in made for k, v in g.steps(spec).items()},
-        lambda spec: {k: v for g in made for w in windows for k, v in g.frames(spec, w).items()},
+    made = [_Group(tag, names, series.window_sql) for tag, names in groups.items()]
+
+    def plus(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        return df.selectExpr("*", *[f"{v} AS {k}" for k, v in columns.items()])
+
+    framed = series.with_frames_sql(
+        lambda df: plus(df, {k: v for g in made for k, v in g.steps().items()}),
+        lambda df: plus(df, {k: v for g in made for w in windows for k, v in g.frames(w).items()}),
         back=max(windows) + 1,
     ).done()
     features = {k: v for g in made for w in windows for k, v in g.features(w).items()}
-    return framed.select(*keys, ts, *[v.alias(k) for k, v in features.items()])
+    return framed.selectExpr(*keys, ts, *[f"{v} AS `{k}`" for k, v in features.items()])
 
 
 def rolling_features(bars: DataFrame, seconds: int, windows: Sequence[int] = WINDOWS,

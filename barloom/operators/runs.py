@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_max, running_sum
+from barloom.session import settle
 
 TINY = 1e-12
 FLAT = 4  # fixed code of the flat action
@@ -66,6 +67,8 @@ def run_metrics(rewards: DataFrame, required: DataFrame, freq: int, key: str = "
                 rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """MT4-MT8, MT14: one row of metrics per run."""
     curve = equity(rewards, required, key, rows_per_block)
+    # Read by the totals, the block returns and twice by the drawdown.
+    curve = curve.on(settle(curve.df, "equity"))
     rows = curve.done()
     totals = rows.groupBy(key).agg(
         (F.max_by("equity", "step") / (F.min_by("equity", "step") + TINY) - 1).alias("tr"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_sum
 from barloom.operators.quantiles import quantile_values
+from barloom.session import settle
 
 
 def chronological_split(df: DataFrame, shares: Sequence[tuple[str, int]], keys: Sequence[str], position: str) -> DataFrame:
@@ -53,6 +54,7 @@ def label_runs(series: Ordered, label: str) -> DataFrame:
     starts = ~F.col(label).eqNullSafe(F.col("_before")) | F.col("_before").isNull()
     numbered = before.on(before.df.withColumn("_starts", starts.cast("int"))).running(
         _run=running_sum(F.col("_starts"))).done()
+    numbered = settle(numbered, "runs")
     runs = numbered.groupBy(*series.keys, "_run", label).agg(F.min(step).alias("_first"))
     # One row per run: ranked within its label by another ordered pass.
     ranked = Ordered.on_events(runs, [*series.keys, label], ["_run"]).running(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
+from barloom.session import settle
 
 # Fixed default horizons, in rows.
 HORIZONS = (1, 6, 12)
@@ -59,6 +60,7 @@ def _average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rows_per_
 
     ``counts`` holds one row per key and value with its ``n``.
     """
+    counts = settle(counts, "counts")
     ranked = Ordered.on_events(counts, keys, [value], rows_per_block).running(
         _upto=running_sum(F.col("n"))).done()
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))

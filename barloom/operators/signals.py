@@ -18,6 +18,7 @@ from barloom.operators.ordering import (
     running_sum,
 )
 from barloom.operators.quantiles import exact_quantiles
+from barloom.session import settle
 
 
 def macd_decision(dif: Column, macd: Column) -> Column:
@@ -76,6 +77,7 @@ def score_positions(scores: DataFrame, reference: DataFrame, keys: Sequence[str]
         .unionByName(reference.select(*keys, "score", F.lit(1).alias("_ref")))
         .groupBy(*keys, "score").agg(F.sum("_ref").alias("n"))
     )
+    values = settle(values, "scores")
     ranked = Ordered.on_events(values, keys, ["score"], rows_per_block).running(_upto=running_sum(F.col("n"))).done()
     sizes = values.groupBy(*keys).agg(F.sum("n").alias("_size"))
     return ranked.join(sizes, list(keys)).select(
@@ -110,7 +112,7 @@ def ranking_metrics(scores: DataFrame, keys: Sequence[str], rows_per_block: int
     """
     steps = scores.groupBy(*keys, "score").agg(
         F.sum("y_true").cast("double").alias("pos"), F.sum(1 - F.col("y_true")).cast("double").alias("neg"))
-    steps = steps.withColumn("_down", -F.col("score"))
+    steps = settle(steps.withColumn("_down", -F.col("score")), "steps")
     ranked = Ordered.on_events(steps, keys, ["_down"], rows_per_block).running(
         tp=running_sum(F.col("pos")), fp=running_sum(F.col("neg"))).done()
     sizes = steps.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
