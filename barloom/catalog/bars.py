@@ -104,8 +104,9 @@ SELECT symbol, bucket, {r6(*[n for n, _ in cols])} FROM s"""
 def rolling_ohlcv(spark, sf):
     names = dict(zip(("open", "high", "low", "close", "volume"),
                      ("open", "high", "low", "close", "volume"), strict=True))
-    made = rolling.rolling_groups(hourly_bars(spark, sf), HOUR, {"": names}, WINDOWS)
-    return report(rolling.trim_start(made, max(WINDOWS) + 10, HOUR))
+    bars = hourly_bars(spark, sf)
+    made = rolling.rolling_groups(bars, HOUR, {"": names}, WINDOWS)
+    return report(rolling.trim_start(made, max(WINDOWS) + 10, HOUR, source=bars))
 
 
 def _rw(w: int, volume: bool, tag: str = "", p: str = "") -> list[tuple[str, str]]:

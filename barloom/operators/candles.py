@@ -49,12 +49,17 @@ def candle_columns(prefix: str, suffix: str, has_vwap: bool) -> dict[str, Column
     return {f"{prefix}{name}{suffix}": value for name, value in shapes.items()}
 
 
-def candle_features(bars: DataFrame, keep: Sequence[str] = ("symbol", "bucket")) -> DataFrame:
-    """CS1, CS2 for every candle family of the table."""
+def candle_expressions(columns: Sequence[str]) -> dict[str, Column]:
+    """CS1, CS2 for every candle family among the columns."""
     out: dict[str, Column] = {}
-    for (prefix, suffix), members in families(bars.columns, CANDLE, 6).items():
+    for (prefix, suffix), members in families(columns, CANDLE, 6).items():
         out |= candle_columns(prefix, suffix, "vwap" in members)
-    return bars.select(*keep, *[value.alias(name) for name, value in out.items()])
+    return out
+
+
+def candle_features(bars: DataFrame, keep: Sequence[str] = ("symbol", "bucket")) -> DataFrame:
+    """CS1, CS2: the columns to keep and the candle features."""
+    return bars.select(*keep, *[v.alias(k) for k, v in candle_expressions(bars.columns).items()])
 
 
 def _buy_sell(f: dict[str, str]) -> dict[str, Column]:
@@ -94,9 +99,9 @@ def _bid_ask(f: dict[str, str]) -> dict[str, Column]:
     return dict(zip(names, (ratio(bid, whole), ratio(ask, whole), ratio(bid - ask, whole)), strict=True))
 
 
-def share_features(bars: DataFrame, keep: Sequence[str] = ("symbol", "bucket")) -> DataFrame:
-    """CS6: CS3, CS4 and CS5 for every family of the table."""
-    found = share_families([c for c in bars.columns if c not in keep])
+def share_expressions(columns: Sequence[str]) -> dict[str, Column]:
+    """CS6: CS3, CS4 and CS5 for every family among the columns."""
+    found = share_families(columns)
     out: dict[str, Column] = {}
     for f in found["buy_sell"]:
         if {"total", "buy", "sell"} <= f.keys():
@@ -107,4 +112,17 @@ def share_features(bars: DataFrame, keep: Sequence[str] = ("symbol", "bucket"))
     for f in found["bid_ask"]:
         if {"bid", "ask"} <= f.keys():
             out |= _bid_ask(f)
-    return bars.select(*keep, *[value.alias(name) for name, value in out.items()])
+    return out
+
+
+def share_features(bars: DataFrame, keep: Sequence[str] = ("symbol", "bucket")) -> DataFrame:
+    """CS6: the columns to keep and the share features."""
+    found = share_expressions([c for c in bars.columns if c not in keep])
+    return bars.select(*keep, *[v.alias(k) for k, v in found.items()])
+
+
+def cross_section(bars: DataFrame, keys: Sequence[str] = ("symbol", "bucket")) -> DataFrame:
+    """The bars with all their single-row features: one projection, no join."""
+    base = [c for c in bars.columns if c not in keys]
+    made = candle_expressions(base) | share_expressions(base)
+    return bars.select("*", *[v.alias(k) for k, v in made.items()])

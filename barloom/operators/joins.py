@@ -22,13 +22,14 @@ def side_by_side(tables: Sequence[DataFrame], keys: Sequence[str] = KEY, how: st
 
 
 def point_in_time(now: DataFrame, later: DataFrame, seconds: int, predictors: Sequence[str],
-                  key: str = "symbol", ts: str = "bucket",
+                  key: str = "symbol", ts: str = "bucket", carry: Sequence[str] | None = None,
                   rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """JN3: values known at the start of each bar.
 
     A bar built over [t, t+s) is known only at t+s, so predictors move one grid
     row ahead (by adding the step to their time: no window needed), both sides
-    are put on the dense grid and inner joined, and gaps are carried forward.
+    are put on the dense grid and inner joined, and gaps are carried forward:
+    in all columns, or in those of ``carry`` when the others are known to be whole.
     """
     # A shifted bar exists for grid rows after the first of the predictor side
     # and not after its last.
@@ -40,7 +41,7 @@ def point_in_time(now: DataFrame, later: DataFrame, seconds: int, predictors: Se
     )
     base = densify(now, seconds, [key], ts, rows_per_block)
     joined = base.join(shifted, [key, ts])
-    rest = [c for c in joined.columns if c not in (key, ts)]
+    rest = [c for c in joined.columns if c not in (key, ts)] if carry is None else list(carry)
     return fill_forward(joined, seconds, rest, [key], ts, rows_per_block)
 
 

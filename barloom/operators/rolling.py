@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clean_sql, log, ratio, total
 from barloom.functions.names import ohlc_families, ohlcv_families
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered
+from barloom.session import settle
 
 TINY = 1e-12
 # Fixed default windows, in bars.
@@ -160,9 +161,13 @@ class _Group:
 
 
 def trim_start(df: DataFrame, rows: int, seconds: int, keys: Sequence[str] = ("symbol",),
-               ts: str = "bucket") -> DataFrame:
-    """PR7: drop the first ``rows`` grid rows of each series."""
-    starts = df.groupBy(*keys).agg(F.min(ts).alias("_start"))
+               ts: str = "bucket", source: DataFrame | None = None) -> DataFrame:
+    """PR7: drop the first ``rows`` grid rows of each series.
+
+    ``source`` is a cheaper table with the same series, such as the bars that
+    ``df`` was made from.
+    """
+    starts = (df if source is None else source).groupBy(*keys).agg(F.min(ts).alias("_start"))
     late = F.unix_seconds(ts) - F.unix_seconds("_start") >= rows * seconds
     return df.join(starts, list(keys)).where(late).drop("_start")
 
@@ -202,9 +207,11 @@ def rolling_features(bars: DataFrame, seconds: int, windows: Sequence[int] = WIN
     for i in range(0, len(tags), step):
         some = {t: groups[t] for t in tags[i : i + step]}
         part = rolling_groups(bars, seconds, some, windows, keys, ts, rows_per_block)
+        if len(tags) > step:
+            part = settle(part, "rolling")
         result = part if result is None else result.join(part, [*keys, ts])
     margin = 10 if ohlcv else 1
-    return trim_start(result, max(windows) + margin, seconds, keys, ts)
+    return trim_start(result, max(windows) + margin, seconds, keys, ts, bars)
 
 
 def price_features(df: DataFrame, seconds: int, columns: Sequence[str],
@@ -229,7 +236,7 @@ def price_features(df: DataFrame, seconds: int, columns: Sequence[str],
         return out
 
     made = series.with_frames(features, back=max(windows)).done().drop(*columns)
-    return trim_start(made, max(windows) + 1, seconds, keys, ts)
+    return trim_start(made, max(windows) + 1, seconds, keys, ts, df)
 
 
 def _ewm_reach(span: int) -> int:

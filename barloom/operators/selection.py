@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -42,17 +41,30 @@ def _corr(x: str, y: str) -> Column:
     return F.when(varies, ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def _long(features: Sequence[str]) -> Column:
+    """Feature columns as rows (pos, col): tables of thousands of columns get a narrow aggregate."""
+    return F.posexplode(F.expr(f"array({', '.join(f'CAST(`{f}` AS DOUBLE)' for f in features)})"))
+
+
+def _named(features: Sequence[str]) -> Column:
+    names = ", ".join("'" + f.replace("'", "\\'") + "'" for f in features)
+    return F.get(F.expr(f"array({names})"), F.col("pos"))
+
+
 def information_coefficients(df: DataFrame, features: Sequence[str],
                              horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """FS2: correlation of every feature with every target, one aggregate pass."""
-    wide = df.agg(*[
-        _corr(f, f"target_{h}").alias(f"{f}|{h}") for f in features for h in horizons
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f"`{f}|{h}`").alias("ic"))
-        for f in features for h in horizons
-    ])
-    return wide.select(F.inline(rows))
+    """FS2: correlation of every feature with every target, one aggregate pass.
+
+    Rows are unpivoted and combined map-side, so only one partial row per
+    feature and task is shuffled.
+    """
+    targets = [f"target_{h}" for h in horizons]
+    long = df.select(*targets, _long(features))
+    wide = long.groupBy("pos").agg(*[_corr("col", t).alias(t) for t in targets])
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("ic")) for h in horizons
+    ]))
+    return wide.select(_named(features).alias("feature"), rows)
 
 
 def _average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rows_per_block: int) -> DataFrame:
@@ -86,19 +98,18 @@ def rank_coefficients(df: DataFrame, features: Sequence[str], horizons: Sequence
     target_ranks = _average_ranks(per_target, ["horizon"], "target", rows_per_block)
     ranked = pairs.join(
         target_ranks.select("horizon", "target", F.col("rank").alias("target_rank")), ["horizon", "target"])
-    values = F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features
-    ]))
     per_value = (
-        ranked.select("horizon", "target_rank", values).groupBy("feature", "horizon", "value")
+        ranked.select("horizon", "target_rank", _long(features))
+        .groupBy("pos", "horizon", F.col("col").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("target_rank").alias("s"))
     )
-    feature_ranks = _average_ranks(per_value, ["feature", "horizon"], "value", rows_per_block)
-    top = feature_ranks.groupBy("feature", "horizon").agg(
+    feature_ranks = _average_ranks(per_value, ["pos", "horizon"], "value", rows_per_block)
+    top = feature_ranks.groupBy("pos", "horizon").agg(
         F.sum(F.col("rank") * F.col("s")).alias("xy"), F.sum(F.col("n") * F.col("rank") ** 2).alias("xx"))
     bottom = target_ranks.groupBy("horizon").agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("yy"))
     return top.join(bottom, "horizon").select(
-        "feature", "horizon", ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("ic"))
+        _named(features).alias("feature"), "horizon",
+        ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("ic"))
 
 
 def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic") -> DataFrame:
@@ -200,26 +211,16 @@ def lasso_features(df: DataFrame, features: Sequence[str], target: str,
 def power_of_ten_scale(df: DataFrame, columns: Sequence[str], clip: float = 10.0) -> DataFrame:
     """FS10, FS11: divide by the power of ten below the std, then shift large means.
 
-    Both statistics come from one aggregate row: the mean after scaling is the
-    mean divided by the scale.
+    Both statistics come from one aggregate with a row per column: the mean
+    after scaling is the mean divided by the scale.
     """
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns
-                     for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    exprs = {}
-    for c in columns:
-        std, mean = F.col(f"s_{c}"), F.col(f"m_{c}")
-        power = F.when(std > 0, F.pow(F.lit(10.0), F.floor(F.log10(std))))
-        scaled = mean / power
-        # numpy rounds halves to even.
-        shift = F.when(F.abs(scaled) > clip, F.signum(scaled) * F.pow(F.lit(10.0), F.rint(F.log10(F.abs(scaled)))))
-        exprs |= {f"p_{c}": power, f"o_{c}": F.coalesce(shift, F.lit(0.0))}
-    row = stats.select(*[v.alias(k) for k, v in exprs.items()]).first()
-    return df.withColumns({
-        c: F.col(c) / F.lit(row[f"p_{c}"]) - F.lit(row[f"o_{c}"]) for c in columns
-        if row[f"p_{c}"] is not None
-    })
-
-
-def mean_importance(parts: Sequence[DataFrame]) -> DataFrame:
-    """Importance tables of several horizons with a ``horizon`` column, stacked."""
-    return reduce(DataFrame.unionByName, parts)
+    stats = df.select(_long(columns)).groupBy("pos").agg(
+        F.avg("col").alias("mean"), F.stddev_samp("col").alias("std"))
+    power = F.when(F.col("std") > 0, F.pow(F.lit(10.0), F.floor(F.log10("std"))))
+    scaled = F.col("mean") / F.col("power")
+    # numpy rounds halves to even.
+    shift = F.when(F.abs(scaled) > clip, F.signum(scaled) * F.pow(F.lit(10.0), F.rint(F.log10(F.abs(scaled)))))
+    found = stats.withColumn("power", power).where("power is not null").select(
+        "pos", "power", F.coalesce(shift, F.lit(0.0)).alias("shift")).collect()
+    scale = {columns[row["pos"]]: f"`{columns[row['pos']]}` / {row['power']!r}D - ({row['shift']!r}D)" for row in found}
+    return df.selectExpr(*[f"{scale[c]} AS `{c}`" if c in scale else f"`{c}`" for c in df.columns])

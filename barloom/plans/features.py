@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barloom.operators import candles, joins, resample, rolling, selection
 from barloom.operators.book import snapshot_features
-from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, ROWS_PER_BLOCK, Ordered
+from barloom.operators.ordering import BLOCK, GRID_ROWS_PER_BLOCK, ROWS_PER_BLOCK, Ordered
 from barloom.session import configure, settle
 
 KEY = ("symbol", "bucket")
@@ -59,9 +58,7 @@ def lagged_side(trades: DataFrame, quotes: DataFrame, options: FeatureOptions) -
     """Bars with their candle shapes and shares: known only at the end of the bar."""
     bars = settle(resample.base_features(
         trades, quotes, options.seconds, options.quote_order, options.rows_per_block, options.grid_rows), "base")
-    # Single-row features need no join: they are selected next to their inputs.
-    extra = [candles.candle_features(bars), candles.share_features(bars)]
-    return joins.side_by_side([bars, *extra], how="inner")
+    return candles.cross_section(bars, KEY)
 
 
 def feature_table(trades: DataFrame, quotes: DataFrame, ticker: DataFrame, book: DataFrame | None = None,
@@ -69,31 +66,39 @@ def feature_table(trades: DataFrame, quotes: DataFrame, ticker: DataFrame, book:
     """Bars, cross-section features, point-in-time join, rolling features, selection, scaling.
 
     Tables that later steps branch on are written to the scratch folder: the
-    bars, the joined table, and the table with rolling features.
+    bars, the joined table, the rolling features and the full table.
     """
     options = options or FeatureOptions()
     configure(trades.sparkSession)
     seconds = options.seconds
     now = settle(concurrent_side(ticker, book, options), "now")
-    later = settle(lagged_side(trades, quotes, options), "later")
+    later = lagged_side(trades, quotes, options)
     predictors = [c for c in later.columns if c not in KEY]
-    joined = settle(joins.point_in_time(now, later, seconds, predictors, rows_per_block=options.grid_rows), "joined")
+    # The bars are complete already; only the concurrent side has gaps to carry.
+    gaps = [c for c in now.columns if c not in KEY]
+    joined = settle(joins.point_in_time(
+        now, later, seconds, predictors, carry=gaps, rows_per_block=options.grid_rows), "joined")
+    # Targets look ahead only, so they may be made before the warm-up rows go.
+    prices = Ordered.on_grid(joined.select(*KEY, options.price), KEY[:1], KEY[1], seconds, options.grid_rows)
+    targets = selection.forward_targets(prices, options.price, options.horizons).drop(options.price, BLOCK)
     parts = [
         joined,
         rolling.rolling_features(joined, seconds, options.windows, rows_per_block=options.grid_rows),
         rolling.price_features(joined, seconds, options.rolling_columns, options.windows,
                                rows_per_block=options.grid_rows),
+        targets,
     ]
     full = joins.side_by_side(parts, how="inner")
     environment = [*KEY, *[c for c in now.columns if c not in KEY]]
+    aims = [c for c in targets.columns if c not in KEY]
     numeric = {f.name for f in full.schema.fields if f.dataType.simpleString() in ("double", "bigint", "int")}
-    candidates = [c for c in full.columns if c not in environment and c in numeric]
-    full = settle(full.select(*environment, *[F.col(c).cast("double").alias(c) for c in candidates]), "full")
-    series = Ordered.on_grid(full, ["symbol"], "bucket", seconds, options.grid_rows)
-    targets = settle(selection.forward_targets(series, options.price, options.horizons), "targets")
+    candidates = [c for c in full.columns if c not in {*environment, *aims} and c in numeric]
+    casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in candidates]
+    full = settle(full.selectExpr(*environment, *aims, *casts), "full")
     score = selection.rank_coefficients if options.method == "rank_ic" else selection.information_coefficients
-    scores = settle(score(targets, candidates, options.horizons), "scores")
+    scores = settle(score(full, candidates, options.horizons), "scores")
     chosen = selection.select_features(full, scores, options.ic_threshold, options.correlation_threshold)
     names = [row["feature"] for row in chosen.orderBy("rank").collect() if row["feature"]]
-    rows = selection.power_of_ten_scale(full.select(*environment, *names), names) if names else full.select(*environment)
+    table = full.select(*environment, *names)
+    rows = selection.power_of_ten_scale(table, names) if names else table
     return FeatureTable(rows, environment, names, scores)
