@@ -277,7 +277,7 @@ def day_range(spark, sf):
     t = trades(spark, sf).withColumn("date", F.to_date("ts"))
     one = tables.on_date(t, "2024-01-03")
     more = tables.in_dates(t, "2024-01-10", "2024-01-12")
-    return one.unionByName(more).groupBy("symbol", F.unix_date("date").alias("day")).agg(
+    return one.unionByName(more).groupBy("symbol", F.unix_date("date").cast("long").alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -291,7 +291,7 @@ def missing_days(spark, sf):
     t = trades(spark, sf)
     gone = tables.missing_days(
         {"trades": t, "buys": t.where("side = 'buy' and symbol <> 'view'")}, "2023-12-30", "2024-02-02")
-    return gone.select("source", "symbol", F.unix_date("day").alias("day"))
+    return gone.select("source", "symbol", F.unix_date("day").cast("long").alias("day"))
 
 
 SQL_MISSING = with_views(
@@ -307,7 +307,7 @@ SELECT source, symbol, d - date '1970-01-01' AS day FROM want ANTI JOIN seen USI
 
 def completeness(spark, sf):
     t = tables.completeness(trades(spark, sf), "2024-01-01", "2024-01-31", HOUR)
-    return t.withColumn("day", F.unix_date("day"))
+    return t.withColumn("day", F.unix_date("day").cast("long"))
 
 
 SQL_COMPLETENESS = with_views(

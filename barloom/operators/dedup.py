@@ -41,16 +41,22 @@ def first_values(df: DataFrame, keys: Sequence[str], arrival: Sequence[str],
 def equal_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """DD4: for each column, the first column with the same content.
 
-    One aggregate row of content fingerprints; nulls count as content.
+    Content fingerprints are made on rows unpivoted to (column, hash), so that
+    thousands of columns stay a narrow, map-side combined aggregate. Nulls count
+    as content.
     """
-    prints = df.agg(*[
-        F.sum(F.xxhash64(*keys, F.col(c)).cast("decimal(38,0)")).alias(c) for c in columns
-    ]).first()
+    ids = ", ".join(f"`{k}`" for k in keys)
+    hashes = ", ".join(f"xxhash64({ids}, `{c}`, `{c}` IS NULL)" for c in columns)
+    found = (
+        df.select(F.posexplode(F.expr(f"array({hashes})"))).groupBy("pos")
+        .agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("print")).collect()
+    )
+    prints = {columns[row["pos"]]: row["print"] for row in found}
     first_with: dict = {}
     rows = [
         F.struct(
             F.lit(position).alias("position"), F.lit(column).alias("column"),
-            F.lit(first_with.setdefault(prints[column], column)).alias("same_as"),
+            F.lit(first_with.setdefault(prints.get(column), column)).alias("same_as"),
         )
         for position, column in enumerate(columns)
     ]
@@ -84,3 +90,9 @@ def row_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
     series = Ordered.on_events(df, keys, order, rows_per_block)
     numbered = series.running(**{out: running_sum(F.lit(1))}).done()
     return numbered.withColumn(out, F.col(out) - 1)
+
+
+def move_column(df: DataFrame, column: str, position: int) -> DataFrame:
+    """PR9: the same columns with one of them at another place."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest[:position], column, *rest[position:])

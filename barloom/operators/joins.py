@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, ROWS_PER_BLOCK, Ordered, last_set, running_sum
+from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, ROWS_PER_BLOCK, Ordered, explode_range, last_set, running_sum
 from barloom.operators.resample import densify, fill_forward
 
 KEY = ("symbol", "bucket")
@@ -103,9 +103,8 @@ def right_aligned(curves: DataFrame, value: str, run: str = "run_id", step: str
     moved = curves.join(sizes, run).select(
         run, (F.col(step) + longest - F.col("_n")).alias(step), value)
     short = sizes.where(F.col("_n") < longest)
-    pad = short.select(
-        run, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(longest) - F.col("_n"))).alias(step),
-        F.lit(0.0).alias(value))
+    pad = explode_range(short, F.lit(1).cast("long"), F.lit(longest) - F.col("_n"), step).select(
+        run, step, F.lit(0.0).alias(value))
     return moved.unionByName(pad)
 
 

@@ -307,3 +307,17 @@ class Ordered:
 
     def done(self) -> DataFrame:
         return self.df.drop(BLOCK)
+
+
+def explode_range(df: DataFrame, lo: Column, hi: Column, out: str,
+                  rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
+    """A row for each integer from ``lo`` to ``hi``, in two steps of bounded arrays.
+
+    The outer step makes blocks, the inner one their rows, so a long range
+    never fills an array.
+    """
+    size = F.lit(rows_per_block)
+    blocks = F.sequence(F.floor(lo / size), F.floor(hi / size))
+    outer = df.withColumns({"_lo": lo, "_hi": hi}).withColumn("_b", F.explode(F.when(hi >= lo, blocks)))
+    inner = F.sequence(F.greatest("_lo", F.col("_b") * size), F.least("_hi", F.col("_b") * size + size - 1))
+    return outer.withColumn(out, F.explode(inner)).drop("_lo", "_hi", "_b")

@@ -17,6 +17,7 @@ from barloom.operators.ordering import (
     GRID_ROWS_PER_BLOCK,
     ROWS_PER_BLOCK,
     Ordered,
+    explode_range,
     last_set,
     next_set,
 )
@@ -253,16 +254,10 @@ def complete_bars(bars: DataFrame, seconds: int, zero: Sequence[str] = (),
         _next=next_set(F.col(ts), strict=True), **{f"_f_{c}": last_set(F.col(c)) for c in rest}).done()
     index = F.floor(F.unix_seconds(F.col(ts)) / seconds)
     until = F.coalesce(F.floor(F.unix_seconds("_next") / seconds), index + 1) - 1
-    spread = filled.withColumns({"_lo": index, "_hi": until})
-    # A long gap is unrolled in two steps of bounded length.
-    size = F.lit(rows_per_block)
-    spread = spread.withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
-    point = F.explode(F.sequence(
-        F.greatest("_lo", F.col("_b") * size), F.least("_hi", F.col("_b") * size + size - 1)))
-    return spread.withColumn("_i", point).select(
+    spread = explode_range(filled.withColumn("_at", index), F.col("_at"), until, "_i", rows_per_block)
+    return spread.select(
         *keys, F.timestamp_seconds(F.col("_i") * seconds).alias(ts),
-        *[F.when(F.col("_i") == F.col("_lo"), F.col(c)).otherwise(F.lit(0)).alias(c)
+        *[F.when(F.col("_i") == F.col("_at"), F.col(c)).otherwise(F.lit(0)).alias(c)
           if c in zero else F.col(f"_f_{c}").alias(c) for c in bars.columns if c not in {*keys, ts}])
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from compare import differences
+from compare import differences, type_differences
 from tests.conftest import SF
 
 SQL = oracle_sql()
@@ -16,10 +16,12 @@ def test_only_known_queries_have_no_sql():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
-    want = con.sql(SQL[name]).df()
+    made = queries()[name](spark, SF)
+    relation = con.sql(SQL[name])
+    assert type_differences(made, relation) == ""
+    want = relation.df()
     assert len(want) > 0
-    assert differences(got, want) == ""
+    assert differences(made.toPandas(), want) == ""
 
 
 def test_entry(spark):
