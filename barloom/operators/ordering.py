@@ -157,16 +157,21 @@ class Ordered:
                 ),
             ).alias("_cuts"),
         )
-        fixed = spark.createDataFrame(cuts.toArrow())
-        powers = F.array(*[F.lit(1 << p) for p in range(MAX_BLOCKS.bit_length(), -1, -1)])
+        points = cuts.toArrow()
+        fixed = spark.createDataFrame(points)
+        # Binary search for the number of cut points not above the row, with as
+        # many steps as the longest list needs; uncut keys skip it.
+        longest = max(len(found) for found in points.column("_cuts").to_pylist())
+        powers = F.array(*[F.lit(1 << p) for p in reversed(range(longest.bit_length()))])
         here = F.struct(*order)
-        block = F.aggregate(
+        search = F.aggregate(
             powers, F.lit(0),
             lambda lo, step: F.when(
                 (lo + step <= F.size("_cuts")) & (F.get("_cuts", lo + step - 1) <= here),
                 lo + step,
             ).otherwise(lo),
         )
+        block = F.when(F.col("_cuts").isNull(), 0).otherwise(search)
         placed = (
             df.join(F.broadcast(fixed), list(keys), "left")
             .withColumn(BLOCK, block.cast("long"))
