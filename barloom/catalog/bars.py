@@ -269,9 +269,11 @@ SQL_EWM = with_views(
 
 MACD_VIEWS = {
     "lists": 'select symbol, bucket, "close", list("close") over (partition by symbol order by bucket) l from fx_bars',
-    "difs": f"select symbol, bucket, {_ewm('l', 12)} - {_ewm('l', 26)} dif from lists",
+    "dif0": f"""select symbol, bucket, "close", {_ewm('l', 12)} - {_ewm('l', 26)} d from lists""",
+    "difs": """select symbol, bucket, "close", case when abs(d) > 1e-12*abs("close") then d else 0 end dif from dif0""",
     "dlists": "select *, list(dif) over (partition by symbol order by bucket) l from difs",
-    "macds": f"select symbol, bucket, dif, {_ewm('l', 9)} dea, dif - {_ewm('l', 9)} macd from dlists",
+    "mac0": f"""select symbol, bucket, "close", dif, {_ewm('l', 9)} dea, dif - {_ewm('l', 9)} m from dlists""",
+    "macds": """select *, case when abs(m) > 1e-12*abs("close") then m else 0 end macd from mac0""",
 }
 
 

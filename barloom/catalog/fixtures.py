@@ -19,8 +19,16 @@ from barloom.session import configure, settle
 HOUR = 3600
 
 
+# Schemas by path: reading one is a job of its own. No data is kept.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    reader = configure(spark).read
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = reader.parquet(path).schema
+    return reader.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,6 @@ def macd(spark, sf):
     return report(held.done(), "symbol", "bucket", "dif", "dea", "macd", "held")
 
 
-# A decision turns on the sign of macd and dif; the first row of a series has
-# both exactly 0, later ones are compared off zero by more than rounding.
 SQL_MACD = with_views(
     ["fx_bars"], **MACD_VIEWS,
     d="""select *, case when macd>0 and dif>0 then 'buy' when macd*dif<=0 then null else 'sell' end s from macds""",

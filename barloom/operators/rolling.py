@@ -271,15 +271,23 @@ def exponential_means(df: DataFrame, column: str, spans: Mapping[str, int], seco
 def macd(df: DataFrame, column: str, seconds: int, short: int = 9, mid: int = 12, long: int = 26,
          keys: Sequence[str] = ("symbol",), ts: str = "bucket",
          rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
-    """SG1: DIF, its exponential mean DEA, and MACD = DIF - DEA."""
+    """SG1: DIF, its exponential mean DEA, and MACD = DIF - DEA.
+
+    Decisions turn on the sign of DIF and MACD, so differences that are rounding
+    noise of the price (a series that does not move) are exactly 0.
+    """
     source = df.select(*keys, ts, column)
     series = Ordered.on_grid(source, keys, ts, seconds, rows_per_block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[column]
-        dif = x.ewm(span=mid).mean() - x.ewm(span=long).mean()
+
+        def difference(a: pd.Series, b: pd.Series) -> pd.Series:
+            return (a - b).where((a - b).abs() > TINY * x.abs(), 0.0)
+
+        dif = difference(x.ewm(span=mid).mean(), x.ewm(span=long).mean())
         dea = dif.ewm(span=short).mean()
-        return pdf[[*keys, ts, column]].assign(dif=dif, dea=dea, macd=dif - dea)
+        return pdf[[*keys, ts, column]].assign(dif=dif, dea=dea, macd=difference(dif, dea))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
     reach = _ewm_reach(max(mid, long)) + _ewm_reach(short)

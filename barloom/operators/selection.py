@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -125,7 +127,11 @@ def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic")
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """FS5: (f1, f2, corr) of every unordered pair of columns."""
+    """FS5: (f1, f2, corr) of every unordered pair of columns.
+
+    Few columns are pairwise aggregates over the rows where both are set; many
+    are one matrix aggregate over the rows where all are set.
+    """
     if len(features) <= PAIRWISE_COLUMNS:
         wide = df.agg(*[_corr(a, b).alias(f"{a}|{b}") for a, b in combinations(features, 2)])
         rows = F.array(*[
@@ -136,9 +142,11 @@ def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip").transform(df)
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()
     # As many rows as pairs of columns; does not grow with the table.
-    pairs = [(a, b, float(matrix[i, j]))
-             for (i, a), (j, b) in combinations(enumerate(features), 2)]
-    return df.sparkSession.createDataFrame(pairs, "f1 string, f2 string, corr double")
+    names, (i, j) = np.array(features), np.triu_indices(len(features), 1)
+    pairs = pd.DataFrame({"f1": names[i], "f2": names[j], "corr": matrix[i, j]})
+    # A constant column has no correlation; NaN would count as the largest number.
+    return df.sparkSession.createDataFrame(pairs).withColumn(
+        "corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def prune_correlated(ordered: Sequence[str], corr: DataFrame, threshold: float = 0.7) -> list[str]:
