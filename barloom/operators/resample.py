@@ -129,6 +129,7 @@ def quote_indicators(quotes: DataFrame) -> DataFrame:
     })
 
 
+# Fixed names of the indicators, also the suffixes of their bar columns.
 QUOTE_INDICATORS = (
     "spread", "mid", "imblance_volume", "makav_rev", "makav_ori", "bid", "bidsize", "ask", "asksize",
 )
