@@ -250,12 +250,6 @@ def exponential(spark, sf):
     return report(made, "symbol", "bucket", "ewm_9", "ewm_26")
 
 
-def ewm_sql(x: str, span: int, out: str) -> str:
-    k = f"pow(1-2.0/{span + 1}, len(l)-i)"
-    return f"""(select list_sum(list_transform(l, lambda v, i: v*{k}))/list_sum(list_transform(l, lambda v, i: {k}))
-        from (select list({x}) over u as l)) {out}"""
-
-
 def _ewm(lst: str, span: int) -> str:
     k = f"pow(1-2.0/{span + 1}, len({lst})-i)"
     return f"list_sum(list_transform({lst}, lambda v, i: v*{k}))/list_sum(list_transform({lst}, lambda v, i: {k}))"

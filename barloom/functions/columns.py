@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +48,3 @@ def total(array: Column) -> Column:
 def dot(left: Column, right: Column) -> Column:
     return total(F.zip_with(left, right, lambda a, b: a * b))
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
