@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import sharding
+from barloom.llm import mixing, sharding
 
 QUERIES = {
     "op8_hilbert_shards": (sharding.query, None),
+    "op9_pivotal_mix": (mixing.query, None),
 }
