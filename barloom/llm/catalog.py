@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, sharding
+from barloom.llm import mixing, sharding, toxicity
 
 QUERIES = {
+    "op5_toxicity_cnn": (toxicity.query, None),
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
 }
