@@ -34,11 +34,12 @@ def _turn(i: int, n: int) -> int:
     return ((~i & (i + 1)).bit_length() - 1) % n
 
 
-def hilbert_index(levels: list[Column], bits: int = BITS) -> Column:
-    """Position of a cell on the Hilbert curve of ``len(levels)`` dimensions.
+def with_hilbert_index(cells: DataFrame, levels: list[str], name: str, bits: int = BITS) -> DataFrame:
+    """``cells`` with the position of each on the Hilbert curve through its ``levels``.
 
-    Walks the bits of the coordinates from the top; the state is the entry corner and
-    direction of the sub-cube reached so far, both moved by small tables built from Gray codes.
+    Walks the bits of the coordinates from the top; the state is the entry corner and direction of the sub-cube
+    reached so far, both moved by small tables built from Gray codes. One select per step, so no expression is
+    written out more than once.
     """
     n = len(levels)
     corners, mask = 1 << n, (1 << n) - 1
@@ -46,32 +47,25 @@ def hilbert_index(levels: list[Column], bits: int = BITS) -> Column:
     for i in range(corners):
         rank[_gray(i)] = i
     entry = [0 if not i else _gray(2 * ((i - 1) // 2)) for i in range(corners)]
-    table = {k: F.array(*[F.lit(x) for x in v]) for k, v in
-             {"rank": rank, "entry": entry, "turn": [_turn(i, n) for i in range(corners)]}.items()}
+
+    def look(table: list[int], at: Column) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in table]), at)
 
     def rotate(x: Column, left: Column) -> Column:
         """n-bit rotation to the left by 0..n-1 places."""
-        places = [x if not s else F.shiftleft(x, s).bitwiseOR(F.shiftright(x, n - s)).bitwiseAND(F.lit(mask))
-                  for s in range(n)]
-        return F.get(F.array(*places), left)
-
-    def corner(bit: Column) -> Column:
-        parts = [F.get(F.array(*[F.shiftright(c, b).bitwiseAND(F.lit(1)) for b in range(bits)]), bit) * (1 << k)
-                 for k, c in enumerate(levels)]
-        return reduce(lambda a, b: a + b, parts).cast("int")
-
-    def step(state: Column, bit: Column) -> Column:
-        e, d, h = state["e"], state["d"], state["h"]
-        seen = rotate(corner(bit).bitwiseXOR(e), (F.lit(2 * n - 1) - d) % n)
-        w = F.get(table["rank"], seen)
-        return F.struct(
-            e.bitwiseXOR(rotate(F.get(table["entry"], w), (d + 1) % n)).alias("e"),
-            ((d + F.get(table["turn"], w) + 1) % n).cast("int").alias("d"),
-            (h * corners + w).cast("int").alias("h"))
+        return F.get(F.array(*[x if not s else F.shiftleft(x, s).bitwiseOR(F.shiftright(x, n - s)).bitwiseAND(
+            F.lit(mask)) for s in range(n)]), left)
 
-    start = F.struct(F.lit(0).alias("e"), F.lit(0).alias("d"), F.lit(0).alias("h"))
-    walk = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    return F.aggregate(walk, start, step, lambda s: s["h"])
+    rows = cells.withColumns({"_e": F.lit(0), "_d": F.lit(0), "_h": F.lit(0)})
+    for bit in range(bits - 1, -1, -1):
+        parts = [F.shiftright(F.col(c), bit).bitwiseAND(F.lit(1)) * (1 << k) for k, c in enumerate(levels)]
+        rows = rows.withColumn("_x", reduce(lambda a, b: a + b, parts).cast("int").bitwiseXOR(F.col("_e")))
+        rows = rows.withColumn("_w", look(rank, rotate(F.col("_x"), (F.lit(2 * n - 1) - F.col("_d")) % n)))
+        rows = rows.withColumns({
+            "_e": F.col("_e").bitwiseXOR(rotate(look(entry, F.col("_w")), (F.col("_d") + 1) % n)),
+            "_d": ((F.col("_d") + look([_turn(i, n) for i in range(corners)], F.col("_w")) + 1) % n).cast("int"),
+            "_h": (F.col("_h") * corners + F.col("_w")).cast("int")})
+    return rows.withColumn(name, F.col("_h")).drop("_e", "_d", "_h", "_x", "_w")
 
 
 def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str = "doc_id", *, ties: tuple[str, ...] = (),
@@ -87,15 +81,20 @@ def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str =
     any order. Existing columns of the names added are replaced. No rows give no rows.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot", "cell")]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], hilbert_index(levels, bits).alias("cell"))
-    cells = rows.groupBy("cell").agg(F.count("*").alias("_rows"))
+    code = reduce(lambda a, b: a * (1 << bits) + b, levels)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], code.cast("long").alias("_code"))
+    cells = rows.groupBy("_code").agg(F.count("*").alias("_rows"))
+    names = [f"_level{k}" for k in range(len(levels))]
+    cells = cells.withColumns({c: F.shiftright("_code", bits * (len(names) - 1 - k)).bitwiseAND(
+        F.lit((1 << bits) - 1)).cast("int") for k, c in enumerate(names)})
+    cells = with_hilbert_index(cells, names, "cell", bits)
     # 2 ** (dimensions * bits) rows at most, here as below where they are broadcast.
     before = F.sum("_rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     groups = (splits * F.ceil(F.col("_rows") / cell_rows)).cast("long")
-    cells = cells.select("cell", groups.alias("_groups"), F.coalesce(before, F.lit(0)).alias("_cell_first"),
+    cells = cells.select("_code", "cell", groups.alias("_groups"), F.coalesce(before, F.lit(0)).alias("_cell_first"),
                          F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    rows = rows.join(F.broadcast(cells), "cell").withColumn(
-        "_group", F.coalesce(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("_groups")) * F.col(f"`{key}`").isNotNull().cast("long"), F.lit(0)))
+    dealt = F.when(F.col(f"`{key}`").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("_groups")))
+    rows = rows.join(F.broadcast(cells), "_code").withColumn("_group", F.coalesce(dealt, F.lit(0)))
     parts = rows.groupBy("cell", "_group").agg(F.count("*").alias("_n"))
     inside = Window.partitionBy("cell").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("cell", "_group", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_group_first"))
