@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import read, settle
+
 # Levels per dimension: 2 ** BITS. Three dimensions make 4,096 cells, whatever the input.
 BITS = 4
 # A cell is dealt to SPLITS groups per started CELL_ROWS of its rows.
@@ -87,7 +89,7 @@ def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str =
     names = [f"_level{k}" for k in range(len(levels))]
     cells = cells.withColumns({c: F.shiftright("_code", bits * (len(names) - 1 - k)).bitwiseAND(
         F.lit((1 << bits) - 1)).cast("int") for k, c in enumerate(names)})
-    cells = with_hilbert_index(cells, names, "cell", bits)
+    cells = settle(with_hilbert_index(cells, names, "cell", bits).select("_code", "_rows", "cell"), "cells")
     # 2 ** (dimensions * bits) rows at most, here as below where they are broadcast.
     before = F.sum("_rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     groups = (splits * F.ceil(F.col("_rows") / cell_rows)).cast("long")
@@ -122,8 +124,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts (law ``rows``)."""
-    from barloom.llm.common import read
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
