@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, sharding, toxicity
+from barloom.llm import decontaminate, licenses, mixing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_secret_lexer": (secrets.query, None),
+    "op2_license_minhash": (licenses.query, None),
+    "op4_pigeonhole_edit": (decontaminate.query, None),
     "op5_toxicity_cnn": (toxicity.query, None),
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
