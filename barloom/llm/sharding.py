@@ -96,13 +96,14 @@ def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str =
     cells = cells.select("_code", "cell", groups.alias("_groups"), F.coalesce(before, F.lit(0)).alias("_cell_first"),
                          F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))
     dealt = F.when(F.col(f"`{key}`").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("_groups")))
-    rows = rows.join(F.broadcast(cells), "_code").withColumn("_group", F.coalesce(dealt, F.lit(0)))
-    parts = rows.groupBy("cell", "_group").agg(F.count("*").alias("_n"))
-    inside = Window.partitionBy("cell").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("cell", "_group", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_group_first"))
-    order = Window.partitionBy("cell", "_group").orderBy(F.col(f"`{key}`"), *ties)
+    rows = rows.join(F.broadcast(cells), "_code").withColumn(
+        "_group", F.shiftleft(F.col("cell").cast("long"), 40) + F.coalesce(dealt, F.lit(0)))  # one key: joins spread by it
+    parts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(F.shiftright("_group", 40)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_group", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_group_first"))
+    order = Window.partitionBy("_group").orderBy(F.col(f"`{key}`"), *ties)
     at = F.col("_cell_first") + F.col("_group_first") + F.row_number().over(order) - 1
-    rows = rows.join(parts, ["cell", "_group"]).withColumn("_at", at)
+    rows = rows.join(parts, "_group").withColumn("_at", at)
     # The first _all % shards runs hold one row more.
     size, longer = F.floor(F.col("_all") / shards), F.col("_all") % shards
     edge = longer * (size + 1)
