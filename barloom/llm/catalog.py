@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, licenses, mixing, secrets, sharding, topk, toxicity
+from barloom.llm import decontaminate, jaccard, licenses, mixing, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_secret_lexer": (secrets.query, None),
@@ -12,4 +12,5 @@ QUERIES = {
     "op7_threshold_topk": (topk.query, topk.SQL),
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
+    "op10_jaccard_forest": (jaccard.query, None),
 }
