@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, jaccard, licenses, mixing, secrets, sharding, topk, toxicity
+from barloom.llm import decontaminate, jaccard, licenses, mixing, parsing, secrets, sharding, subtrees, topk, toxicity
 
 QUERIES = {
     "op1_secret_lexer": (secrets.query, None),
     "op2_license_minhash": (licenses.query, None),
+    "op3_prefix_free_parse": (parsing.query, None),
     "op4_pigeonhole_edit": (decontaminate.query, None),
     "op5_toxicity_cnn": (toxicity.query, None),
+    "op6_prefix_subtrees": (subtrees.query, None),
     "op7_threshold_topk": (topk.query, topk.SQL),
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
