@@ -176,4 +176,4 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document and license notice found."""
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.explode("licenses").alias("m")).select("doc_id", "m.*")
+    return found.select("doc_id", F.explode_outer("licenses").alias("m")).filter("m IS NOT NULL").select("doc_id", "m.*")
