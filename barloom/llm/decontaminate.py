@@ -166,4 +166,4 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", error_rate:
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document and benchmark passage found in it."""
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return found.select("doc_id", F.explode_outer("leaks").alias("leak")).filter("leak IS NOT NULL").select("doc_id", "leak.*")
