@@ -225,7 +225,7 @@ def classes(docs: DataFrame, text: str = "text", least: float = LEAST, trees: in
     member = entries.join(buckets, "key").groupBy("cid").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
     member = settle(member.join(texts.select("cid", "size", "rep"), "cid").select(
         "cid", "size", "rep.doc", "rep.th", "buckets"), "members")
-    sets = source.join(member, ["doc", "th"]).select(
+    sets = source.join(member.hint("merge"), ["doc", "th"]).select(  # one plan at every size
         "cid", "size", F.transform("buckets", lambda b: b["key"]).alias("keys"), F.explode("buckets").alias("b"),
         shingles("text").alias("shingles"))
     parts = F.ceil(F.col("b.members") / block)
