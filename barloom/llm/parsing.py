@@ -68,7 +68,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, phrase: int
     rows = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(body)})
     spans = spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    joined = rows.join(spans, ["_doc", "_th"], "left").withColumn("_cut", run(body, F.coalesce("_spans", none)))
+    joined = rows.join(spans.hint("merge"), ["_doc", "_th"], "left").withColumn("_cut", run(body, F.coalesce("_spans", none)))
     return joined.select(*[F.col(f"`{c}`") for c in keep_columns(docs, *made)], "_cut.*")
 
 

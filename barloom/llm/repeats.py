@@ -174,7 +174,7 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
         asked = asked.unionByName(spans.filter("maybe").select(
             "doc", "th", "at", "near", "far", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("need")))
     listed = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("at", "near", "far", "copies", "need")).alias("listed"))
-    looked = source.join(listed, ["doc", "th"]).select("doc", "th", "text", "listed")
+    looked = source.join(listed.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "listed")
     windows = settle(looked.mapInArrow(
         _windows(reader, size), "a bigint, b bigint, doc bigint, th bigint, start bigint, copies bigint, need boolean"), "windows")
     if earlier:
