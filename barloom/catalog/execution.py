@@ -159,9 +159,10 @@ def actions(spark, sf):
 SQL_ACTIONS = with_views(
     ["fx_runs"],
     c="select run_id, step, step%25 code, [step*3%25, step*7%25, step*11%25] ch from fx_runs",
-    m="select *, case when code>12 then code+2 else code end moved from c",
-    p="""select *, case when code=12 then 0 else [-8,-6,-4,-2,0,2,4,6,8][cast(floor(moved/3) as int)+1] end "position",
-        case when code=12 then 1 else [1,2,5][moved%3+1] end leverage from m""",
+    a="""select * from (values (0,-8,1),(1,-8,2),(2,-8,5),(3,-6,1),(4,-6,2),(5,-6,5),(6,-4,1),(7,-4,2),(8,-4,5),
+        (9,-2,1),(10,-2,2),(11,-2,5),(12,0,1),(13,2,1),(14,2,2),(15,2,5),(16,4,1),(17,4,2),(18,4,5),
+        (19,6,1),(20,6,2),(21,6,5),(22,8,1),(23,8,2),(24,8,5)) t(act, "position", leverage)""",
+    p="select * from c join a on act=code",
 ) + """
 SELECT run_id, step, code, cast("position" as bigint) "position", cast(leverage as bigint) leverage, code back,
  cast(list_sort([{'d': abs(x-code), 'x': x} for x in ch])[1].x as bigint) nearest,

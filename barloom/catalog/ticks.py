@@ -170,8 +170,7 @@ SELECT symbol, epoch_us(bucket) bucket, ntrade_up_buy, nquote_bid, nquote_bidup_
 
 
 def ticker_downscale(spark, sf):
-    t = tables.ticker_columns(ticker(spark, sf)).join(
-        ticker(spark, sf).select("symbol", "ts", "event_id"), ["symbol", "ts"])
+    t = tables.ticker_columns(ticker(spark, sf), "event_id")
     cols = ["funding_timestamp", "funding_rate", "index_price", "mark_price"]
     return report(resample.downscale(t, HOUR, cols, order=["ts", "event_id"]))
 

@@ -129,28 +129,22 @@ def reachable(book: DataFrame, positions: Sequence[int], leverages: Sequence[int
     return state.where(to.between(down, up)).where(ok).drop("_mark", "_pos", "_lev", "_wallet", "_upnl")
 
 
+def _coded(positions: Sequence[int], leverages: Sequence[int]) -> Column:
+    """The (position, leverage) of each action in turn: flat is listed once, with the first leverage."""
+    listed = [(p, v) for p in positions for v in (leverages if p else leverages[:1])]
+    return F.array(*[F.struct(F.lit(p).alias("position"), F.lit(v).alias("leverage")) for p, v in listed])
+
+
 def action_parts(action: Column, positions: Sequence[int], leverages: Sequence[int]) -> Column:
-    """EX8: struct (position, leverage) of an action; the flat position has one action."""
-    n, flat = len(leverages), len(leverages) * (len(positions) // 2)
-    moved = F.when(action > flat, action + n - 1).otherwise(action)
-    return F.struct(
-        F.when(action == flat, 0).otherwise(
-            F.get(F.array(*[F.lit(p) for p in positions]), F.floor(moved / n).cast("int"))
-        ).alias("position"),
-        F.when(action == flat, leverages[0]).otherwise(
-            F.get(F.array(*[F.lit(v) for v in leverages]), F.pmod(moved, F.lit(n)).cast("int"))
-        ).alias("leverage"),
-    )
+    """EX8: struct (position, leverage) of an action; null for actions there are not."""
+    return F.get(_coded(positions, leverages), action.cast("int"))
 
 
 def action_of(position: Column, leverage: Column, positions: Sequence[int], leverages: Sequence[int]) -> Column:
-    """EX8 inverse."""
-    n = len(leverages)
-    i = F.array_position(F.array(*[F.lit(p) for p in positions]), position) - 1
-    j = F.array_position(F.array(*[F.lit(v) for v in leverages]), leverage) - 1
-    return (
-        F.when(position < 0, i * n + j).when(position == 0, i * n).otherwise((i - 1) * n + j + 1)
-    )
+    """EX8 inverse; any leverage will do for the flat position."""
+    held = F.when(position == 0, F.lit(leverages[0])).otherwise(leverage)
+    wanted = F.struct(position.cast("int").alias("position"), held.cast("int").alias("leverage"))
+    return F.array_position(_coded(positions, leverages), wanted) - 1
 
 
 def nearest(wanted: Column, choices: Column) -> Column:

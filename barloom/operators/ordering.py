@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 OWN = "_own"
+ONLY = "_only"
 
 ROWS_PER_BLOCK = 2_000_000
 GRID_ROWS_PER_BLOCK = 100_000
@@ -125,6 +126,8 @@ class Ordered:
         are held as fixed values, so a recomputed task finds the same blocks.
         """
         keys, order = tuple(keys), tuple(order)
+        if not keys:  # one series: a constant stands for its key
+            df, keys = df.withColumn(ONLY, F.lit(0)), (ONLY,)
         whole = cls(df.withColumn(BLOCK, F.lit(0).cast("long")), keys, order, False)
         sizes = df.groupBy(*keys[:1]).count()
         total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
@@ -311,7 +314,7 @@ class Ordered:
         return self.df.join(states, ids).groupBy(*ids).applyInPandas(output, schema)
 
     def done(self) -> DataFrame:
-        return self.df.drop(BLOCK)
+        return self.df.drop(BLOCK, ONLY)
 
 
 def explode_range(df: DataFrame, lo: Column, hi: Column, out: str,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_max, running_sum
+from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, last_set, next_set, running_max, running_sum
 from barloom.session import settle
 
 TINY = 1e-12
@@ -116,62 +116,39 @@ def turnover(actions: DataFrame, key: str = "run_id", rows_per_block: int = GRID
         F.count_if(F.col("action") != F.col("_was")).alias("changes"))
 
 
-def _trade_loop(rewards: np.ndarray, flat: np.ndarray, state: float) -> tuple[list[int], list[float], float]:
-    """Rows that close a trade, their trade returns, and the open sum at the end."""
-    at, sums = [], []
-    for i, (reward, is_flat) in enumerate(zip(rewards, flat, strict=True)):
-        closes = is_flat and state != 0
-        state += reward
-        if closes:
-            at.append(i)
-            sums.append(state)
-            state = 0.0
-    return at, sums, state
+# Rewards count to this many decimals: sums of decimals do not depend on their order.
+EXACT = "decimal(38,12)"
 
 
 def closed_trades(log: DataFrame, key: str = "run_id", rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """MT12: (step, trade_return, is_open) of each trade; the last open sum is always a row.
 
-    Rewards add up until a flat action finds a non-zero sum. What a block does
-    to the sum at its entry: the first flat row closes for every entry except
-    the one value that cancels there, so two outcomes describe a block.
+    Rewards add up until a flat action finds a non-zero sum, which it closes with its own reward. A flat row
+    that finds zero keeps its reward for the next trade. So between flat rows one bit travels: whether the
+    last one was idle. Each flat row maps that bit by one of four functions (to a constant, kept, flipped), and
+    the bit at a row is the last constant, flipped as often as was asked since: two running folds.
     """
-    series = Ordered.on_steps(log.select(key, "step", "action", "reward"), [key], "step", rows_per_block)
-
-    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return pdf["reward"].to_numpy(float), (pdf["action"] == FLAT).to_numpy()
-
-    def summarise(pdf: pd.DataFrame) -> dict:
-        rewards, flat = arrays(pdf)
-        if not flat.any():
-            return {"has_flat": False, "cancels": 0.0, "other": 0.0, "same": 0.0, "total": float(rewards.sum())}
-        first = int(flat.argmax())
-        cancels = 0.0 - float(rewards[:first].sum())
-        return {
-            "has_flat": True, "cancels": cancels, "total": 0.0,
-            "other": _trade_loop(rewards[first + 1 :], flat[first + 1 :], 0.0)[2],
-            "same": _trade_loop(rewards, flat, cancels)[2],
-        }
-
-    def walk(state: float, row: dict) -> float:
-        if not row["has_flat"]:
-            return state + row["total"]
-        return row["same"] if state == row["cancels"] else row["other"]
-
-    def replay(pdf: pd.DataFrame, state: float) -> pd.DataFrame:
-        at, sums, rest = _trade_loop(*arrays(pdf), state)
-        steps = pdf["step"].to_numpy()
-        return pd.DataFrame({
-            key: pdf[key].iloc[0], "step": [*steps[at], steps[-1]],
-            "trade_return": [*sums, rest], "is_open": [False] * len(at) + [True]})
-
-    key_type = log.schema[key].dataType.simpleString()
-    rows = series.scan(
-        summarise, walk, replay, 0.0,
-        "has_flat boolean, cancels double, other double, same double, total double", "double",
-        f"{key} {key_type}, step long, trade_return double, is_open boolean")
-    ends = log.groupBy(key).agg(F.max("step").alias("_end"))
-    return rows.join(ends, key).where(~F.col("is_open") | (F.col("step") == F.col("_end"))).drop("_end")
+    series = Ordered.on_steps(log.select(key, "step", "action", F.col("reward").cast(EXACT).alias("_r")),
+                              [key], "step", rows_per_block)
+    flat = F.col("action") == FLAT
+    rows = series.running(_sum=running_sum(F.col("_r")), _next=next_set(F.col("step"), strict=True))
+    rows = rows.running(_was=last_set(F.when(flat, F.struct(F.col("_sum"), F.col("_r"))), strict=True))
+    gap = F.col("_sum") - F.col("_r") - F.coalesce("_was._sum", F.lit(0))
+    idle = gap + F.coalesce("_was._r", F.lit(0)) == 0
+    rows = rows.on(rows.df.withColumns({"_busy": gap == 0, "_idle": idle}))
+    rows = rows.running(_flips=running_sum(F.when(flat & F.col("_busy") & ~F.col("_idle"), 1).otherwise(0)))
+    constant = flat & (F.col("_busy") == F.col("_idle"))
+    rows = rows.running(_last=last_set(F.when(constant, (F.col("_busy").cast("long") + F.col("_flips")) % 2)))
+    closes = flat & ((F.coalesce("_last", F.lit(0)) + F.col("_flips")) % 2 == 0)
+    rows = rows.on(rows.df.withColumn("_closes", closes)).running(
+        _before=last_set(F.when(F.col("_closes"), F.col("_sum")), strict=True))
+    open_sum = F.col("_sum") - F.coalesce("_before", F.lit(0))
+    last = F.col("_next").isNull()
+    made = F.array_compact(F.array(
+        F.when(F.col("_closes"), F.struct(open_sum.alias("trade_return"), F.lit(False).alias("is_open"))),
+        F.when(last, F.struct(F.when(F.col("_closes"), 0).otherwise(open_sum).cast(EXACT).alias("trade_return"),
+                              F.lit(True).alias("is_open")))))
+    return rows.df.select(key, "step", F.inline(made)).withColumn("trade_return", F.col("trade_return").cast("double"))
 
 
 def trade_metrics(trades: DataFrame, key: str = "run_id") -> DataFrame:

@@ -109,9 +109,17 @@ def clip(df: DataFrame, column: str, low: float, high: float, out: str) -> DataF
 def histogram(df: DataFrame, column: str, bins: int) -> tuple[DataFrame, Column]:
     """SL10: (bin, start, stop, n, density) of equal-width bins, and the bin column.
 
-    The last bin includes its upper edge.
+    The last bin includes its upper edge. A constant column takes bins of a
+    whole unit around its value; a column without values has no bins.
     """
     lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not n:
+        empty = df.sparkSession.range(0).select(
+            F.col("id").alias("bin"), *[F.lit(0.0).alias(c) for c in ("start", "stop")], F.lit(0).cast("long").alias("n"),
+            F.lit(0.0).alias("density"))
+        return empty, F.lit(None).cast("long")
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     index = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))
     counts = df.where(F.col(column).isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -127,4 +135,6 @@ def densest_bin(df: DataFrame, column: str, bins: int) -> DataFrame:
     """SL10: rows strictly inside the fullest bin (the first one on a tie)."""
     table, _ = histogram(df, column, bins)
     best = table.orderBy(F.desc("n"), "bin").first()
+    if best is None:
+        return df.limit(0)
     return df.where((F.col(column) > best["start"]) & (F.col(column) < best["stop"]))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +21,10 @@ from barloom.session import settle
 
 # Fixed default horizons, in rows.
 HORIZONS = (1, 6, 12)
-# Up to this many columns, correlations are pairwise aggregates; beyond, one
-# matrix aggregate.
-PAIRWISE_COLUMNS = 40
+# Columns whose pairwise sums a task holds at once; wider tables are read tile by tile.
+TILE = 256
+# Share of a sum of squares below which a variance is rounding.
+SAME = 1e-13
 
 
 def forward_targets(series: Ordered, price: str, horizons: Sequence[int] = HORIZONS) -> DataFrame:
@@ -89,29 +89,36 @@ def rank_coefficients(df: DataFrame, features: Sequence[str], horizons: Sequence
 
     Ranks come from distinct values with their counts, so ties (a third of all
     rows may be one value) are one row, and the sums against the target's rank
-    are formed per value before they are ranked. Rows lacking a target are left
-    out; features are taken to be set, as after the cleaning step.
+    are formed per value before they are ranked. Only rows where feature and
+    target are set count: features without nulls share one ranking of the
+    targets, the others have their own.
     """
     targets = F.inline(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("target")) for h in horizons
     ]))
     pairs = df.select(*features, targets).where("target is not null")
-    per_target = pairs.groupBy("horizon", "target").agg(F.count(F.lit(1)).alias("n"))
-    target_ranks = _average_ranks(per_target, ["horizon"], "target", rows_per_block)
-    ranked = pairs.join(
-        target_ranks.select("horizon", "target", F.col("rank").alias("target_rank")), ["horizon", "target"])
-    per_value = (
-        ranked.select("horizon", "target_rank", _long(features))
-        .groupBy("pos", "horizon", F.col("col").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("target_rank").alias("s"))
-    )
-    feature_ranks = _average_ranks(per_value, ["pos", "horizon"], "value", rows_per_block)
-    top = feature_ranks.groupBy("pos", "horizon").agg(
-        F.sum(F.col("rank") * F.col("s")).alias("xy"), F.sum(F.col("n") * F.col("rank") ** 2).alias("xx"))
-    bottom = target_ranks.groupBy("horizon").agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("yy"))
-    return top.join(bottom, "horizon").select(
-        _named(features).alias("feature"), "horizon",
-        ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("ic"))
+    missing = pairs.select(_long(features)).groupBy("pos").agg(F.count_if(F.col("col").isNull()).alias("n")).where("n > 0")
+    gaps = {features[row["pos"]] for row in missing.collect()}
+    made = []
+    for own, part in ((False, [f for f in features if f not in gaps]), (True, [f for f in features if f in gaps])):
+        if not part:
+            continue
+        by = ["pos", "horizon"] if own else ["horizon"]
+        rows = pairs.select("horizon", "target", _long(part)).where("col is not null") if own else pairs
+        ranks = _average_ranks(rows.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("n")), by, "target", rows_per_block)
+        ranked = rows.join(ranks.select(*by, "target", F.col("rank").alias("target_rank")), [*by, "target"])
+        if not own:
+            ranked = ranked.select("horizon", "target_rank", _long(part))
+        per_value = ranked.groupBy("pos", "horizon", F.col("col").alias("value")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("target_rank").alias("s"))
+        values = _average_ranks(per_value, ["pos", "horizon"], "value", rows_per_block)
+        top = values.groupBy("pos", "horizon").agg(
+            F.sum(F.col("rank") * F.col("s")).alias("xy"), F.sum(F.col("n") * F.col("rank") ** 2).alias("xx"))
+        bottom = ranks.groupBy(*by).agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("yy"))
+        made.append(top.join(bottom, by).select(
+            _named(part).alias("feature"), "horizon",
+            ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("ic")))
+    return reduce(DataFrame.unionAll, made)
 
 
 def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic") -> DataFrame:
@@ -126,27 +133,56 @@ def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic")
     return first.orderBy("_o").select("feature", F.col("_o.horizon").alias("horizon"), F.abs("_o.down").alias("score"))
 
 
-def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """FS5: (f1, f2, corr) of every unordered pair of columns.
-
-    Few columns are pairwise aggregates over the rows where both are set; many
-    are one matrix aggregate over the rows where all are set.
+def _tile_sums(width: int, shift: np.ndarray, left: int, right: int):
+    """Sums of the rows where both columns are set, for each column of one tile with each of another."""
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
+        for pdf in frames:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1) - shift
+            seen = ~np.isnan(x)
+            x, k = np.where(seen, x, 0.0), seen.astype(float)
+            a, b = slice(0, width), slice(width if left != right else 0, None)
+            made = np.stack([k[:, a].T @ k[:, b], x[:, a].T @ k[:, b], k[:, a].T @ x[:, b], (x[:, a] ** 2).T @ k[:, b],
+                             k[:, a].T @ x[:, b] ** 2, x[:, a].T @ x[:, b]])
+            sums = made if sums is None else sums + made
+        if sums is not None:
+            i, j = np.indices(sums.shape[1:])
+            keep = i + left < j + right
+            yield pd.DataFrame({"i": (i + left)[keep], "j": (j + right)[keep]}
+                               | {c: v[keep] for c, v in zip(names, sums, strict=True)})
+    return run
+
+
+def correlations(df: DataFrame, features: Sequence[str], tile: int = TILE) -> DataFrame:
+    """FS5: (f1, f2, corr) of every unordered pair of columns, over the rows where both are set.
+
+    Each partition adds up matrix products of values and masks, a pair of column tiles at a time, so only sums
+    per pair are shuffled, any number of columns takes the same path, and nothing but the columns' minima (which
+    the values are counted from) leaves Spark. A column that is constant where both are set has no correlation.
     """
-    if len(features) <= PAIRWISE_COLUMNS:
-        wide = df.agg(*[_corr(a, b).alias(f"{a}|{b}") for a, b in combinations(features, 2)])
-        rows = F.array(*[
-            F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"`{a}|{b}`").alias("corr"))
-            for a, b in combinations(features, 2)
-        ])
-        return wide.select(F.inline(rows))
-    vectors = VectorAssembler(inputCols=list(features), outputCol="v", handleInvalid="skip").transform(df)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    # As many rows as pairs of columns; does not grow with the table.
-    names, (i, j) = np.array(features), np.triu_indices(len(features), 1)
-    pairs = pd.DataFrame({"f1": names[i], "f2": names[j], "corr": matrix[i, j]})
-    # A constant column has no correlation; NaN would count as the largest number.
-    return df.sparkSession.createDataFrame(pairs).withColumn(
-        "corr", F.when(~F.isnan("corr"), F.col("corr")))
+    least = dict(df.select(_long(features)).groupBy("pos").agg(F.min("col")).collect())
+    shift = np.array([least.get(i) or 0.0 for i in range(len(features))])
+    starts, parts = range(0, len(features), tile), []
+    for left in starts:
+        for right in starts:
+            if right < left:
+                continue
+            a, b = range(left, min(left + tile, len(features))), range(right, min(right + tile, len(features)))
+            used = [*a] if left == right else [*a, *b]
+            values = F.array(*[F.col(f"`{features[i]}`").cast("double") for i in used]).alias("x")
+            parts.append(df.select(values).mapInPandas(
+                _tile_sums(len(a), shift[used], left, right),
+                "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"))
+    sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx, vy = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") ** 2 for c in "xy")
+    varies = (vx > SAME * F.col("n") * F.col("sxx")) & (vy > SAME * F.col("n") * F.col("syy"))
+    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    names = F.array(*[F.lit(f) for f in features])
+    return sums.select(F.get(names, F.col("i").cast("int")).alias("f1"), F.get(names, F.col("j").cast("int")).alias("f2"),
+                       F.when(varies, cov / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
 def prune_correlated(ordered: Sequence[str], corr: DataFrame, threshold: float = 0.7) -> list[str]:
@@ -176,11 +212,16 @@ def select_features(df: DataFrame, scores: DataFrame, ic_threshold: float, corr_
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
+def _assembled(df: DataFrame, features: Sequence[str], target: str, out: str) -> DataFrame:
+    """All rows with a target and a vector of the features; unset ones count 0, as after cleaning."""
+    vector = array_to_vector(F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]))
+    return df.where(F.col(target).isNotNull()).withColumn(out, vector)
+
+
 def tree_importance(df: DataFrame, features: Sequence[str], target: str, depth: int = 6, trees: int = 20,
                     step: float = 0.1, seed: int = 0) -> DataFrame:
     """FS7, FS12: boosted-tree importance of each feature (absolute loss)."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(
-        df.where(F.col(target).isNotNull()))
+    data = _assembled(df, features, target, "features")
     model = GBTRegressor(
         featuresCol="features", labelCol=target, maxDepth=depth, maxIter=trees, stepSize=step,
         lossType="absolute", seed=seed, checkpointInterval=10,
@@ -193,8 +234,7 @@ def tree_importance(df: DataFrame, features: Sequence[str], target: str, depth:
 def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, depth: int = 4, trees: int = 20,
                        step: float = 0.1, seed: int = 0) -> DataFrame:
     """FS12: boosted-tree regression of the target; adds ``prediction``."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    data = assembler.transform(df.where(F.col(target).isNotNull()))
+    data = _assembled(df, features, target, "_features")
     model = GBTRegressor(featuresCol="_features", labelCol=target, maxDepth=depth, maxIter=trees,
                          stepSize=step, seed=seed).fit(data)
     return model.transform(data).drop("_features")
@@ -203,8 +243,8 @@ def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, dept
 def lasso_features(df: DataFrame, features: Sequence[str], target: str,
                    penalties: Sequence[float] = (1e-3, 1e-2, 1e-1), folds: int = 5, seed: int = 0) -> DataFrame:
     """FS8: lasso on standardised inputs, penalty by cross-validation; non-zero coefficients."""
-    data = df.where(F.col(target).isNotNull()).select(
-        array_to_vector(F.array(*features)).alias("_raw"), F.col(target).alias("label"))
+    data = _assembled(df, features, target, "_raw").select(
+        "_raw", F.col(target).alias("label"))
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data)
     lasso = LinearRegression(elasticNetParam=1.0, maxIter=200, standardization=False)
     grid = ParamGridBuilder().addGrid(lasso.regParam, list(penalties)).build()

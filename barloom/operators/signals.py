@@ -131,11 +131,12 @@ def chunk_shares(df: DataFrame, keys: Sequence[str], position: str, value: str,
                  classes: Sequence[int]) -> DataFrame:
     """SG10: percent of each class in each of ``chunks`` equal parts; the last takes the rest.
 
-    ``position`` is 0-based. Classes that do not occur in a chunk get 0.
+    ``position`` is 0-based. Classes that do not occur in a chunk get 0. A run
+    of fewer rows than chunks is all rest: it has the last chunk only.
     """
     sizes = df.groupBy(*keys).agg((F.max(position) + 1).alias("_n"))
     length = F.floor(F.col("_n") / chunks)
-    chunk = F.least(F.floor(F.col(position) / length), F.lit(chunks - 1))
+    chunk = F.when(length > 0, F.least(F.floor(F.col(position) / F.greatest(length, F.lit(1))), F.lit(chunks - 1))).otherwise(chunks - 1)
     counted = df.join(sizes, list(keys)).groupBy(*keys, chunk.alias("chunk")).agg(
         F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(value) == c).alias(f"_c{c}") for c in classes])
     shares = F.inline(F.array(*[

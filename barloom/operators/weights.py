@@ -30,7 +30,8 @@ def silverman_bandwidth(df: DataFrame, column: str) -> float:
     """SW2: 1.06 * min(std, IQR / 1.34) * n^(-1/5)."""
     spread, n = df.agg(F.stddev_pop(column), F.count(column)).first()
     low, high = quantile_values(df, column, (0.25, 0.75))
-    return 1.06 * min(spread, (high - low) / 1.34) * n ** (-1 / 5)
+    # A column without spread gets a unit bandwidth: every row then has the same density.
+    return 1.06 * (min(spread, (high - low) / 1.34) or spread or 1 / 1.06) * n ** (-1 / 5)
 
 
 def kernel_density(df: DataFrame, column: str, bandwidth: float) -> tuple[DataFrame, Column]:

@@ -105,9 +105,9 @@ def book_columns(df: DataFrame, levels: int = LEVELS) -> DataFrame:
     return df.select(*rest, *flat)
 
 
-def ticker_columns(df: DataFrame) -> DataFrame:
-    """PR3: the six ticker columns later steps use."""
-    return df.select("ts", "symbol", "funding_timestamp", "funding_rate", "index_price", "mark_price")
+def ticker_columns(df: DataFrame, *more: str) -> DataFrame:
+    """PR3: the six ticker columns later steps use, and any ``more`` (an arrival number, for instance)."""
+    return df.select("ts", "symbol", "funding_timestamp", "funding_rate", "index_price", "mark_price", *more)
 
 
 def missing_days(sources: Mapping[str, DataFrame], start: str, end: str) -> DataFrame:
