@@ -8,7 +8,7 @@ from barloom.catalog.fixtures import HOUR, cut, hourly_bars, quotes, r6, report,
 from barloom.operators import joins, resample, sampling
 from barloom.operators.dedup import ordered_union
 from barloom.operators.ordering import Ordered
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 SIDES = {
     "h": """select symbol, date_trunc('hour', ts) bucket, arg_min(mark_price, ts) mark_price from fx_ticker group by 1, 2""",
@@ -78,7 +78,7 @@ def numbered(spark, sf):
     bars = hourly_bars(spark, sf)
     starts = bars.groupBy("symbol").agg(F.min("bucket").alias("_s"))
     at = F.floor((F.unix_seconds("bucket") - F.unix_seconds("_s")) / HOUR) + 1
-    return bars.join(starts, "symbol").withColumn("rn", at).drop("_s")
+    return join_per_key(bars, starts, "symbol").withColumn("rn", at).drop("_s")
 
 
 NUMBERED = "select *, row_number() over (partition by symbol order by bucket) rn from fx_bars"
@@ -87,7 +87,7 @@ NUMBERED = "select *, row_number() over (partition by symbol order by bucket) rn
 def context(spark, sf):
     bars = numbered(spark, sf).select("symbol", "bucket", "rn", "close")
     last = bars.groupBy("symbol").agg(F.max("rn").alias("_n"))
-    valid = bars.join(last, "symbol").where((F.col("rn") > 15) & (F.col("rn") <= F.col("_n") - 3))
+    valid = join_per_key(bars, last, "symbol").where((F.col("rn") > 15) & (F.col("rn") <= F.col("_n") - 3))
     anchors = sampling.hash_sample(valid.select("symbol", "rn"), ["symbol", "rn"], 200, seed=7)
     return report(joins.context_windows(bars, anchors, ["symbol"], "rn"),
                   "symbol", "anchor", "offset", "close").withColumn("offset", F.col("offset").cast("long"))

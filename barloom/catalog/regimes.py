@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.fixtures import HOUR, hourly_bars, r6, report, with_views
 from barloom.operators import regimes
 from barloom.operators.ordering import Ordered
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 MIN_LENGTH, CLASSES = 12, 4
 
@@ -16,7 +16,7 @@ def _positions(spark, sf):
     bars = hourly_bars(spark, sf).select("symbol", "bucket", "close")
     starts = bars.groupBy("symbol").agg(F.min("bucket").alias("_s"))
     at = F.floor((F.unix_seconds("bucket") - F.unix_seconds("_s")) / HOUR)
-    return bars.join(starts, "symbol").select("symbol", at.alias("pos"), "close")
+    return join_per_key(bars, starts, "symbol").select("symbol", at.alias("pos"), "close")
 
 
 def _turns(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, ROWS_PER_BLOCK, Ordered, explode_range, last_set, running_sum
 from barloom.operators.resample import densify, fill_forward
+from barloom.session import join_per_key, settle
 
 KEY = ("symbol", "bucket")
 
@@ -35,10 +36,8 @@ def point_in_time(now: DataFrame, later: DataFrame, seconds: int, predictors: Se
     # and not after its last.
     dense = densify(later.select(key, ts, *predictors), seconds, [key], ts, rows_per_block)
     ends = later.groupBy(key).agg(F.max(ts).alias("_end"))
-    shifted = (
-        dense.withColumn(ts, F.timestamp_seconds(F.unix_seconds(ts) + seconds))
-        .join(ends, key).where(F.col(ts) <= F.col("_end")).drop("_end")
-    )
+    moved = dense.withColumn(ts, F.timestamp_seconds(F.unix_seconds(ts) + seconds))
+    shifted = join_per_key(moved, ends, key).where(F.col(ts) <= F.col("_end")).drop("_end")
     base = densify(now, seconds, [key], ts, rows_per_block)
     joined = base.join(shifted, [key, ts])
     rest = [c for c in joined.columns if c not in (key, ts)] if carry is None else list(carry)
@@ -98,7 +97,7 @@ def right_aligned(curves: DataFrame, value: str, run: str = "run_id", step: str
     Steps of a run are its row positions 1..n, so a row moves by the difference
     of its run's length to the longest; missing rows are made per run.
     """
-    sizes = curves.groupBy(run).agg(F.max(step).alias("_n"))
+    sizes = settle(curves.groupBy(run).agg(F.max(step).alias("_n")), "sizes")
     longest = sizes.agg(F.max("_n")).first()[0]
     moved = curves.join(sizes, run).select(
         run, (F.col(step) + longest - F.col("_n")).alias(step), value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 
 def values_at_ranks(df: DataFrame, keys: Sequence[str], column: str,
@@ -27,7 +27,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], column: str,
     ranked = Ordered.on_events(counts, keys, ["_v"], rows_per_block).running(_upto=running_sum(F.col("_n"))).done()
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:
-        rows = ranked.join(sizes, list(keys))
+        rows = join_per_key(ranked, sizes, keys)
     else:
         # A single row: read once and used as a value.
         rows = ranked.withColumn("_size", F.lit(sizes.first()[0]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Fold, Ordered
 from barloom.operators.quantiles import exact_quantiles, values_at_ranks
+from barloom.session import join_per_key
 
 TINY = 1e-10
 
@@ -112,7 +113,7 @@ def quantile_cuts(slopes: DataFrame, keys: Sequence[str], classes: int) -> DataF
 def label_segments(slopes: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """RG5, RG6: class of a segment is the first cut point not below its slope."""
     over = F.size(F.filter("cuts", lambda c: c < F.col("norm_slope")))
-    return slopes.join(cuts, list(keys)).withColumn("label", over).drop("cuts")
+    return join_per_key(slopes, cuts, keys).withColumn("label", over).drop("cuts")
 
 
 def spread_labels(rows: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from barloom.operators.ordering import (
     next_set,
 )
 from barloom.operators.quantiles import exact_quantiles
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 SIDES = ("buy", "sell")
 
@@ -303,5 +303,5 @@ def overview(ticker: DataFrame, seconds: int, price: str = "mark_price",
     filled = fill_both(densify(firsts, seconds, rows_per_block=grid_rows), seconds, [price],
                        rows_per_block=grid_rows)
     start = firsts.groupBy("symbol").agg(F.min_by(price, "bucket").alias("_start"))
-    joined = filled.join(start, "symbol")
+    joined = join_per_key(filled, start, "symbol")
     return joined.withColumn("net_curve", 100 * (F.col(price) / F.col("_start") - 1)).drop("_start")

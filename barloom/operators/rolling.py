@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clean_sql, log, ratio, total
 from barloom.functions.names import ohlc_families, ohlcv_families
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 TINY = 1e-12
 # Fixed default windows, in bars.
@@ -169,7 +169,7 @@ def trim_start(df: DataFrame, rows: int, seconds: int, keys: Sequence[str] = ("s
     """
     starts = (df if source is None else source).groupBy(*keys).agg(F.min(ts).alias("_start"))
     late = F.unix_seconds(ts) - F.unix_seconds("_start") >= rows * seconds
-    return df.join(starts, list(keys)).where(late).drop("_start")
+    return join_per_key(df, starts, keys).where(late).drop("_start")
 
 
 def rolling_groups(bars: DataFrame, seconds: int, groups: Mapping[str, Mapping[str, str]],

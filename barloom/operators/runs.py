@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, last_set, next_set, running_max, running_sum
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 TINY = 1e-12
 FLAT = 4  # fixed code of the flat action
@@ -40,7 +40,7 @@ def equity(rewards: DataFrame, required: DataFrame, key: str = "run_id",
     """MT3: required money plus the running sum of rewards."""
     series = Ordered.on_steps(rewards.select(key, "step", "reward"), [key], "step", rows_per_block)
     summed = series.running(_sum=running_sum(F.col("reward")))
-    return summed.on(summed.df.join(required, key).withColumn("equity", F.col("required") + F.col("_sum")).drop("_sum"))
+    return summed.on(join_per_key(summed.df, required, key).withColumn("equity", F.col("required") + F.col("_sum")).drop("_sum"))
 
 
 def block_returns(curve: DataFrame, freq: int, key: str = "run_id",
@@ -97,7 +97,7 @@ def presentation(metrics: DataFrame, key: str = "run_id") -> DataFrame:
 def holding_drawdown(ledger: DataFrame, rewards: DataFrame, rows: int, key: str = "run_id",
                      rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """MT9: drawdown over the last ``rows`` steps, with the money needed in them."""
-    ends = ledger.groupBy(key).agg(F.max("step").alias("_end"))
+    ends = settle(ledger.groupBy(key).agg(F.max("step").alias("_end")), "ends")
 
     def tail(df: DataFrame) -> DataFrame:
         return df.join(ends, key).where(F.col("step") > F.col("_end") - rows).drop("_end")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_sum
 from barloom.operators.quantiles import quantile_values
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 
 def chronological_split(df: DataFrame, shares: Sequence[tuple[str, int]], keys: Sequence[str], position: str) -> DataFrame:
@@ -21,7 +21,7 @@ def chronological_split(df: DataFrame, shares: Sequence[tuple[str, int]], keys:
     """
     sizes = df.groupBy(*keys).agg(F.max(position).alias("_n")) if keys else df.agg(F.max(position).alias("_n"))
     # Without keys the size is a single row, read once and used as a value.
-    joined = df.join(sizes, list(keys)) if keys else df.withColumn("_n", F.lit(sizes.first()[0]))
+    joined = join_per_key(df, sizes, keys) if keys else df.withColumn("_n", F.lit(sizes.first()[0]))
     end, label = F.lit(0), F.lit(None).cast("string")
     bounds = []
     for name, k in shares:
@@ -43,7 +43,7 @@ def overlapping_chunks(df: DataFrame, length: int, overlap: int, keys: Sequence[
     last = F.least(F.floor(p / length), F.floor((F.col("_n") - reach) / length))
     first = F.greatest(F.lit(0), F.ceil((p - reach + 1) / length))
     chunks = F.when(last >= first, F.sequence(first, last))
-    return df.join(sizes, list(keys)).withColumn("chunk_id", F.explode(chunks)).drop("_n")
+    return join_per_key(df, sizes, keys).withColumn("chunk_id", F.explode(chunks)).drop("_n")
 
 
 def label_runs(series: Ordered, label: str) -> DataFrame:
@@ -63,7 +63,7 @@ def label_runs(series: Ordered, label: str) -> DataFrame:
     out = numbered.join(
         ranked.select(*series.keys, "_run", (F.col("run_id") - 1).alias("run_id")), [*series.keys, "_run"])
     if last is not None:
-        out = out.join(last, list(series.keys)).withColumn("is_last", F.col("_run") == F.col("_last")).drop("_last")
+        out = join_per_key(out, last, series.keys).withColumn("is_last", F.col("_run") == F.col("_last")).drop("_last")
     return out.drop("_run", "_starts", "_before", "_next")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 # Fixed default horizons, in rows.
 HORIZONS = (1, 6, 12)
@@ -79,7 +79,7 @@ def _average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rows_per_
         _upto=running_sum(F.col("n"))).done()
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_rows"))
     centre = (F.col("_rows") + 1) / 2
-    return ranked.join(sizes, list(keys)).withColumn(
+    return join_per_key(ranked, sizes, keys).withColumn(
         "rank", F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2 - centre).drop("_upto")
 
 

@@ -18,7 +18,7 @@ from barloom.operators.ordering import (
     running_sum,
 )
 from barloom.operators.quantiles import exact_quantiles
-from barloom.session import settle
+from barloom.session import join_per_key, settle
 
 
 def macd_decision(dif: Column, macd: Column) -> Column:
@@ -80,7 +80,7 @@ def score_positions(scores: DataFrame, reference: DataFrame, keys: Sequence[str]
     values = settle(values, "scores")
     ranked = Ordered.on_events(values, keys, ["score"], rows_per_block).running(_upto=running_sum(F.col("n"))).done()
     sizes = values.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    return ranked.join(sizes, list(keys)).select(
+    return join_per_key(ranked, sizes, keys).select(
         *keys, "score", ratio(F.col("_upto").cast("double"), F.col("_size").cast("double")).alias("quantile"))
 
 
@@ -100,7 +100,7 @@ def route(weights: DataFrame, step: str, model: str, weight: str, threshold: flo
 def reject_rates(scores: DataFrame, reference: DataFrame, keys: Sequence[str], percent: float) -> DataFrame:
     """SG8: share of scores below a percentile of the reference sample."""
     bounds = exact_quantiles(reference, keys, "score", (percent / 100,)).withColumnRenamed("q0", "threshold")
-    return scores.join(bounds, list(keys)).groupBy(*keys, "threshold").agg(
+    return join_per_key(scores, bounds, keys).groupBy(*keys, "threshold").agg(
         F.avg((F.col("score") < F.col("threshold")).cast("double")).alias("reject_rate"))
 
 
@@ -116,7 +116,7 @@ def ranking_metrics(scores: DataFrame, keys: Sequence[str], rows_per_block: int
     ranked = Ordered.on_events(steps, keys, ["_down"], rows_per_block).running(
         tp=running_sum(F.col("pos")), fp=running_sum(F.col("neg"))).done()
     sizes = steps.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    rows = ranked.join(sizes, list(keys))
+    rows = join_per_key(ranked, sizes, keys)
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return rows.groupBy(*keys, "p", "n").agg(
@@ -137,7 +137,7 @@ def chunk_shares(df: DataFrame, keys: Sequence[str], position: str, value: str,
     sizes = df.groupBy(*keys).agg((F.max(position) + 1).alias("_n"))
     length = F.floor(F.col("_n") / chunks)
     chunk = F.when(length > 0, F.least(F.floor(F.col(position) / F.greatest(length, F.lit(1))), F.lit(chunks - 1))).otherwise(chunks - 1)
-    counted = df.join(sizes, list(keys)).groupBy(*keys, chunk.alias("chunk")).agg(
+    counted = join_per_key(df, sizes, keys).groupBy(*keys, chunk.alias("chunk")).agg(
         F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(value) == c).alias(f"_c{c}") for c in classes])
     shares = F.inline(F.array(*[
         F.struct(F.lit(c).alias("class"), (100.0 * F.col(f"_c{c}") / F.col("_all")).alias("percent")) for c in classes

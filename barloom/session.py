@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def join_per_key(df: DataFrame, table: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table that has one row per series to the rows of ``df``.
+
+    A key may hold a third of all rows, so they are not to be dealt by it. The table is written first: then
+    the planner knows its size, sends it whole to every task if it is below
+    ``spark.sql.autoBroadcastJoinThreshold``, and shuffles (splitting hot keys) otherwise.
+    """
+    return df.join(settle(table, "per-key"), [keys] if isinstance(keys, str) else list(keys), how)
+
+
 def settle(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as parquet in the scratch folder and read it back.
 
