@@ -10,7 +10,8 @@ compared anchor by anchor instead of one by one:
 2. ``full``: all symbols that windows tied to the anchor can hold. Anchors with equal ``full`` are a class: they
    agree in all their windows, and a class is one entry from here on, however many copies there are.
 3. Windows are compared themselves only for one anchor per class, in cores that hold several classes: that is
-   where one copy ends and another goes on.
+   where one copy ends and another goes on. Windows that begin close to each other are first compared by what they
+   have in common; only those whose common part repeats are looked at one by one.
 
 Hashes are 64-bit and compared within equal cores or in pairs, so 128 bits decide.
 """
@@ -31,6 +32,9 @@ from barloom.llm.words import BASES, CHUNK, Rolling, scramble
 # Texts to (symbols, offsets by text); symbols are 64-bit.
 Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
+# Windows of an anchor that are first compared by their common part.
+NEAR_BY = 16
+
 _PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -109,17 +113,7 @@ def _windows(reader: Reader, size: int):
             place = at[entry] - far[entry] + step
             start = first[owner[entry]] + place
             ids = {c: batch.column(c).to_numpy()[owner[entry]] for c in ("doc", "th")}
-            a, b = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
-            for out, base in ((a, BASES[0]), (b, BASES[1])):
-                done = 0
-                sort = np.argsort(start, kind="stable")
-                while done < len(sort):
-                    lo = start[sort[done]]
-                    to = int(np.searchsorted(start[sort], lo + CHUNK))
-                    part = sort[done:to]
-                    hashed = Rolling(symbols[lo:start[part[-1]] + size], base)
-                    out[part] = hashed(start[part] - lo, start[part] - lo + size)
-                    done = to
+            a, b = (_hashes(symbols, start, size, base) for base in BASES)
             for lo in range(0, len(start), CHUNK):
                 cut = slice(lo, lo + CHUNK)
                 yield pa.RecordBatch.from_arrays(
@@ -129,6 +123,44 @@ def _windows(reader: Reader, size: int):
     return run
 
 
+def _intervals(reader: Reader, size: int, near_by: int):
+    """The anchors listed with each text, cut into lots of windows, with a hash of what each lot has in common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, first = reader(batch.column("text"))
+            listed = batch.column("listed")
+            owner = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+            flat = listed.values
+            at, near, far, copies, need = (flat.field(c).to_numpy(zero_copy_only=False)
+                                           for c in ("at", "near", "far", "copies", "need"))
+            lots = far // near_by - near // near_by + 1
+            entry = np.repeat(np.arange(len(owner)), lots)
+            lot = near[entry] // near_by + np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
+            low, high = np.maximum(near[entry], lot * near_by), np.minimum(far[entry], lot * near_by + near_by - 1)
+            start = first[owner[entry]] + at[entry] - lot * near_by
+            key = _hashes(symbols, start, size - near_by + 1, BASES[0])
+            columns = (key.view(np.int64), *(batch.column(c).to_numpy()[owner[entry]] for c in ("doc", "th")), at[entry],
+                       low.astype(np.int32), high.astype(np.int32), copies[entry], need[entry])
+            for lo in range(0, len(start), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + CHUNK]) for x in columns],
+                                                 names=["key", "doc", "th", "at", "near", "far", "copies", "need"])
+    return run
+
+
+def _hashes(symbols: np.ndarray, start: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Hashes of the stretches of ``length`` symbols from each start, a chunk of symbols at a time."""
+    out = np.empty(len(start), np.uint64)
+    sort = np.argsort(start, kind="stable")
+    ordered, done = start[sort], 0
+    while done < len(sort):
+        lo = ordered[done]
+        to = int(np.searchsorted(ordered, lo + CHUNK))
+        hashed = Rolling(symbols[lo:ordered[to - 1] + length], base)
+        out[sort[done:to]] = hashed(ordered[done:to] - lo, ordered[done:to] - lo + length)
+        done = to
+    return out
+
+
 def named(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, th, text): a document's id (null: ``NO_ID``), a hash of its text, and the text (null: empty)."""
     body = F.coalesce(field(docs, text, T.StringType()), F.lit(""))
@@ -173,8 +205,20 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
     if earlier:
         asked = asked.unionByName(spans.filter("maybe").select(
             "doc", "th", "at", "near", "far", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("need")))
-    listed = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("at", "near", "far", "copies", "need")).alias("listed"))
-    looked = source.join(listed.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "listed")
+    entry = F.struct("at", "near", "far", "copies", "need")
+
+    def with_lists(entries: DataFrame) -> DataFrame:
+        lists = entries.groupBy("doc", "th").agg(F.collect_list(entry).alias("listed"))
+        return source.join(lists.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "listed")
+
+    if reach > 2 * NEAR_BY:
+        lots = settle(with_lists(asked).mapInArrow(
+            _intervals(reader, size, NEAR_BY),
+            "key bigint, doc bigint, th bigint, at bigint, near int, far int, copies bigint, need boolean"), "lots")
+        more = F.min("doc") < F.max("doc") if earlier else F.sum("copies") > 1
+        again = lots.groupBy("key").agg(more.alias("again")).filter("again").select("key")
+        asked = lots.join(again, "key", "left_semi").drop("key")
+    looked = with_lists(asked)
     windows = settle(looked.mapInArrow(
         _windows(reader, size), "a bigint, b bigint, doc bigint, th bigint, start bigint, copies bigint, need boolean"), "windows")
     if earlier:
