@@ -39,11 +39,32 @@ def test_bytes_edges(spark):
     assert parsing.dedup(X.documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [64, 1 << 20])
-def test_repeats_in_random_text(spark, monkeypatch, chunk):
-    """Few letters make repeats that overlap, nest and end anywhere; small chunks cut them."""
-    monkeypatch.setattr(repeats, "CHUNK", chunk)
-    r = random.Random(chunk)
+def test_anchors_in_chunks(monkeypatch):
+    """The stretch that is looked at does not change what is found."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (0, 5, 30, 700, 24, 1, 300)]
+    symbols, first = parsing.bytes_of(pa.array(texts))
+
+    def found():
+        parts = list(repeats.anchors(symbols, first, 24, 10, 3))
+        rows = zip(*[np.concatenate([p[c] for p in parts]).tolist() for c in ("text", "at", "near", "far", "core", "full")], strict=True)
+        return sorted(rows)
+
+    whole = found()
+    monkeypatch.setattr(repeats, "CHUNK", 7)
+    assert found() == whole
+    windows = sorted((t, at - d) for t, at, near, far, _, _ in whole for d in range(near, far + 1))
+    assert windows == [(i, j) for i, t in enumerate(texts) for j in range(len(t) - 23)]
+    start = np.array([5, 700, 3, 40])
+    assert repeats._hashes(symbols, start, 24, 3).tolist() == [
+        int(repeats.Rolling(symbols[i:i + 24], 3)(np.array([0]), np.array([24]))[0]) for i in start]
+
+
+@pytest.mark.parametrize("near_by", [3, 16])
+def test_repeats_in_random_text(spark, monkeypatch, near_by):
+    """Few letters make repeats that overlap, nest and end anywhere."""
+    monkeypatch.setattr(repeats, "NEAR_BY", near_by)
+    r = random.Random(near_by)
     parts = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(12)]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 12))), None, None) for i in range(60)]
     got = parsing.dedup(X.documents(spark, rows), length=24, phrase=10, trigger=3)
