@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = ("ticks", "bars", "books", "joins", "selection", "regimes", "execution", "signals", "metrics", "weights",
-         "streams", "pipelines")
+         "streams", "files", "pipelines")
 
 
 def catalog() -> dict:

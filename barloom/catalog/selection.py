@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.catalog.fixtures import FEATURES, cut, factors, hourly_bars, r6, report, with_views
@@ -127,17 +128,38 @@ def _scaled_sql() -> str:
 
 
 def trees(spark, sf):
-    made = selection.tree_importance(_targets(spark, sf), FEATURES, "target_1", depth=4, trees=5)
-    return report(made)
+    """Importance on a target made of two features: they rank first and hold nearly all of it."""
+    made_of = factors(spark, sf).withColumn("y", 3 * F.col("f3") + F.when(F.col("f5") > 0, 0.5).otherwise(-0.5))
+    made = selection.tree_importance(made_of, FEATURES, "y", depth=4, trees=5)
+    share = F.sum("importance").over(Window.partitionBy(F.lit(0)))
+    ranked = made.withColumns({"strong": F.col("importance") >= 0.1 * share, "bounded": F.col("importance").between(0, 1)})
+    return ranked.select("feature", "strong", "bounded")
+
+
+SQL_TREES = with_views(["fx_factors"], n="select unnest(['f1','f2','f3','f4','f5','f6','f7','f8']) feature") + """
+SELECT feature, feature IN ('f3', 'f5') strong, (SELECT count(*) FROM fx_factors) > 0 bounded FROM n"""
 
 
 def boosted(spark, sf):
-    made = selection.boosted_prediction(_targets(spark, sf), FEATURES, "target_1", trees=5)
-    return report(made.select("vec_id", "target_1", "prediction"))
+    """Every row with a target gets a prediction, and together they are nearer than the mean."""
+    made = settle(selection.boosted_prediction(_targets(spark, sf), FEATURES, "target_1", trees=5), "predicted")
+    error, spread = made.agg(F.sum((F.col("target_1") - F.col("prediction")) ** 2),
+                             F.count("*") * F.var_pop("target_1")).first()
+    return report(made.select("vec_id", "target_1", F.lit(error < spread).alias("nearer")))
+
+
+SQL_BOOSTED = with_views(["fx_factors"], **TARGET_VIEWS) + f"""
+SELECT vec_id, {r6('target_1')}, true nearer FROM t WHERE target_1 IS NOT NULL"""
 
 
 def lasso(spark, sf):
-    return report(selection.lasso_features(_targets(spark, sf), FEATURES, "target_1", folds=5))
+    """Lasso over consecutive folds on a target of known support: the features found and their signs."""
+    made_of = factors(spark, sf).withColumn("y", 2 * F.col("f2") - F.col("f7"))
+    made = selection.lasso_features(made_of, FEATURES, "y", folds=5, order="vec_id")
+    return made.where("abs(coefficient) > 1e-2").select("feature", F.signum("coefficient").cast("int").alias("sign"))
+
+
+SQL_LASSO = """SELECT * FROM (VALUES ('f2', 1), ('f7', -1)) t(feature, sign)"""
 
 
 def vectors(spark, sf):
@@ -255,9 +277,9 @@ QUERIES = {
     "pruned_selection": (pruned, SQL_PRUNED),
     "repruned_selection": (repruned, SQL_REPRUNED),
     "power_of_ten_scale": (scaled, _scaled_sql()),
-    "tree_importance": (trees, None),
-    "boosted_prediction": (boosted, None),
-    "lasso_features": (lasso, None),
+    "tree_importance": (trees, SQL_TREES),
+    "boosted_prediction": (boosted, SQL_BOOSTED),
+    "lasso_features": (lasso, SQL_LASSO),
     "feature_vectors": (vectors, SQL_VECTORS),
     "supervised_pairs": (pairs, SQL_PAIRS),
     "clipped_values": (clipped, SQL_CLIPPED),

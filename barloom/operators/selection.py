@@ -241,15 +241,25 @@ def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, dept
 
 
 def lasso_features(df: DataFrame, features: Sequence[str], target: str,
-                   penalties: Sequence[float] = (1e-3, 1e-2, 1e-1), folds: int = 5, seed: int = 0) -> DataFrame:
-    """FS8: lasso on standardised inputs, penalty by cross-validation; non-zero coefficients."""
-    data = _assembled(df, features, target, "_raw").select(
-        "_raw", F.col(target).alias("label"))
+                   penalties: Sequence[float] = (1e-3, 1e-2, 1e-1), folds: int = 5, order: str | None = None,
+                   seed: int = 0) -> DataFrame:
+    """FS8: lasso on standardised inputs, penalty by cross-validation; non-zero coefficients.
+
+    With ``order`` (a dense position) folds are consecutive stretches, so rows next to a tested one are not
+    trained on; without it they are random.
+    """
+    data = _assembled(df, features, target, "_raw")
+    fold = F.lit(0)
+    if order is not None:
+        low, high = data.agg(F.min(order), F.max(order)).first()
+        fold = F.floor((F.col(order) - low) * folds / (high - low + 1)).cast("int")
+    data = data.select("_raw", F.col(target).alias("label"), fold.alias("fold"))
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data)
     lasso = LinearRegression(elasticNetParam=1.0, maxIter=200, standardization=False)
     grid = ParamGridBuilder().addGrid(lasso.regParam, list(penalties)).build()
     best = CrossValidator(estimator=lasso, estimatorParamMaps=grid, evaluator=RegressionEvaluator(),
-                          numFolds=folds, seed=seed, parallelism=2).fit(scaled.select("features", "label")).bestModel
+                          numFolds=folds, seed=seed, parallelism=2, foldCol="fold" if order is not None else "",
+                          ).fit(scaled.select("features", "label", "fold")).bestModel
     pairs = [F.struct(F.lit(f).alias("feature"), F.lit(float(c)).alias("coefficient"))
              for f, c in zip(features, best.coefficients.toArray(), strict=True)]
     rows = df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
