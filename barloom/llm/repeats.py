@@ -186,9 +186,10 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
     live = settle(every.join(cores, "core", "left_semi").select(*names), "anchors")
 
     place = F.struct("doc", "th", "at", "near", "far")
-    kinds = live.groupBy("core", "full").agg(F.min(place).alias("rep"), F.count("*").alias("copies"))
-    several = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rep.doc").alias("core_doc"))
-    kinds = settle(kinds.join(several, "core"), "kinds")
+    kinds = settle(live.groupBy("core", "full").agg(F.min(place).alias("rep"), F.count("*").alias("copies")), "kinds")
+    several = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rep.doc").alias("core_doc")).filter("kinds > 1")
+    # Both sides are plain tables, so the join can split a core with very many classes.
+    kinds = settle(kinds.join(settle(several, "several"), "core", "left"), "classes")
 
     # 1: windows known to repeat as a whole class. 2: one anchor per class where the windows decide.
     if earlier:
