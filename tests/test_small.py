@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.names import ohlc_families, ohlcv_families, share_families
-from barloom.operators import candles, dedup, execution, joins, resample, rolling, sampling, selection, weights
+from barloom.operators import candles, dedup, execution, joins, resample, rolling, runs, sampling, selection, signals, weights
 from barloom.operators.book import snapshot_features
 from barloom.operators.ordering import Ordered
+from barloom.operators.quantiles import quantile_values
+from barloom.operators.weights import density_weights
 from barloom.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -150,16 +152,6 @@ def test_pruning_keeps_first_of_close_features(spark):
     assert selection.prune_correlated(["b", "a", "c"], corr, 0.7) == ["b"]
 
 
-def test_wide_and_pairwise_correlations_agree(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(80, 4)), columns=list("abcd")))
-    pair = {(r.f1, r.f2): r["corr"] for r in selection.correlations(df, list("abcd")).collect()}
-    monkeypatch.setattr(selection, "PAIRWISE_COLUMNS", 1)
-    wide = {(r.f1, r.f2): r["corr"] for r in selection.correlations(df, list("abcd")).collect()}
-    assert pair.keys() == wide.keys()
-    assert all(pair[k] == pytest.approx(wide[k]) for k in pair)
-
-
 def test_lasso_and_trees_find_the_signal(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
@@ -211,3 +203,70 @@ def test_actions_round_trip(spark):
 def test_events_need_no_cut_when_small(spark):
     df = spark.range(10).select(F.lit("s").alias("k"), "id")
     assert not Ordered.on_events(df, ["k"], ["id"]).split
+
+
+def test_correlations_in_tiles_with_nulls(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame(rng.normal(size=(200, 7)).round(3), columns=list("abcdefg"))
+    pdf["b"] += pdf["a"]
+    pdf["f"] = 3.25  # constant
+    values = pdf.astype(object)
+    for i, c in enumerate("abc"):
+        values.loc[values.index % (i + 3) == 0, c] = None
+    values.loc[values.index >= 2, "g"] = None
+    rows = [tuple(None if x is None else float(x) for x in r) for r in values.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf.columns))
+    want = values.astype(float).corr(min_periods=2)
+    for tile in (2, 3, 256):
+        got = {(r.f1, r.f2): r["corr"] for r in selection.correlations(df.repartition(5), list(pdf.columns), tile).collect()}
+        assert len(got) == 21
+        for (a, b), c in got.items():
+            expected = want.loc[a, b]
+            assert c is None if "f" in (a, b) or math.isnan(expected) else abs(c - expected) < 1e-9, (a, b)
+
+
+def test_rank_coefficients_leave_nulls_out(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"x": rng.integers(0, 20, 150), "z": rng.normal(size=150), "target_1": rng.integers(0, 9, 150)}).astype(object)
+    pdf.loc[pdf.index % 3 == 0, "x"] = None
+    pdf.loc[pdf.index % 7 == 0, "target_1"] = None
+    rows = [tuple(None if x is None else float(x) for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "x double, z double, target_1 double")
+    got = {r.feature: r.ic for r in selection.rank_coefficients(df, ["x", "z"], (1,)).collect()}
+    for f in "xz":
+        both = pdf[[f, "target_1"]].dropna().astype(float).rank()
+        assert abs(got[f] - both[f].corr(both["target_1"])) < 1e-9
+
+
+def test_closed_trades_of_fractional_rewards(spark):
+    rewards = [.3, 0, .1, -.4, 1, 2, .5, 0, .1, .2, -.3, .7]
+    actions = [1, 2, 3, 1, 4, 2, 4, 4, 1, 2, 4, 4]
+    state, want = 0, []
+    for i, (r, a) in enumerate(zip(rewards, actions)):
+        closes = a == 4 and round(state, 9) != 0
+        state += r
+        if closes:
+            want.append((i + 1, round(state, 9), False))
+            state = 0
+    want.append((len(rewards), round(state, 9), True))
+    log = spark.createDataFrame([("r", i + 1, a, float(r)) for i, (r, a) in enumerate(zip(rewards, actions))],
+                                "run_id string, step long, action int, reward double")
+    for size in (1, 2, 3, 5, 100):
+        got = sorted((r.step, r.trade_return, r.is_open) for r in runs.closed_trades(log, rows_per_block=size).collect())
+        assert got == sorted(want), size
+
+
+def test_series_without_keys_in_blocks(spark):
+    df = spark.range(1000).selectExpr("cast((id * 7919) % 1000 as double) / 8 v")
+    assert quantile_values(df, "v", (0.25, 0.5), rows_per_block=50) == [31.21875, 62.4375]
+
+
+def test_constant_columns_and_short_runs(spark):
+    df = spark.createDataFrame([(i, 2.0, "k", i) for i in range(5)], "id long, v double, k string, pos long")
+    table, _ = sampling.histogram(df, "v", 4)
+    assert [r.n for r in table.orderBy("bin").collect()] == [0, 0, 5, 0]
+    assert sampling.densest_bin(df.where("false"), "v", 4).count() == 0
+    weights = {r.weight for r in density_weights(df, "v").collect()}
+    assert len(weights) == 1 and abs(weights.pop() - 0.2) < 1e-9
+    shares = signals.chunk_shares(df, ["k"], "pos", "id", 8, [0]).collect()
+    assert [(r.chunk, r.percent) for r in shares] == [(7, 20.0)]
