@@ -25,12 +25,10 @@ SELECT vec_id, {cut(f'exp({BETA}*r)', 'exp_weight')}, {cut(f'1/(1+exp(-{BETA}*r)
 DENSITY = {
     "hb": """select 1.06*least(stddev_pop(r), (quantile_cont(r,0.75)-quantile_cont(r,0.25))/1.34)*pow(count(*), -0.2::double) h,
         min(r) lo, count(*) c, quantile_cont(r,0.05) a, quantile_cont(r,0.95) b from fx_factors""",
-    "bn": "select cast(floor((r-lo)/(h/20)) as bigint) bin, count(*) n from fx_factors, hb group by 1",
-    "ms": """select bin+o bin, sum(n*exp(-(o/20.0::double)*(o/20.0::double)/2)) mass
-        from bn, (select unnest(range(-160, 161)) o) group by 1""",
-    "dn": f"select bn.bin, n, mass/(c*h*sqrt(2*{math.pi!r}::double)) density from bn join ms on ms.bin=bn.bin, hb",
-    "sm": "select sum(n/density) inv, sum(n*density) whole from dn",
-    "rw": """select vec_id, r, density, inv, whole, a, b from fx_factors, hb, sm, dn where dn.bin=cast(floor((r-lo)/(h/20)) as bigint)""",
+    "dn": f"""select x.vec_id, any_value(x.r) r, sum(exp(-(x.r-y.r)*(x.r-y.r)/(2*h*h)))/(any_value(c)*any_value(h)*sqrt(2*{math.pi!r}::double)) density
+        from fx_factors x, fx_factors y, hb group by x.vec_id""",
+    "sm": "select sum(1/density) inv, sum(density) whole from dn",
+    "rw": "select vec_id, r, density, inv, whole, a, b from dn, hb, sm",
 }
 
 

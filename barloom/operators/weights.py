@@ -11,9 +11,10 @@ from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, running_sum
 from barloom.operators.quantiles import quantile_values
 from barloom.session import settle
 
-# The kernel beyond this many bandwidths is below double precision.
-REACH = 8
-BINS_PER_BANDWIDTH = 20
+# Bins per bandwidth, and terms of the series in them: with values at most a
+# quarter of a bandwidth off the middle, what is cut off is below 1e-9 of a density.
+BINS_PER_BANDWIDTH = 2
+TERMS = 13
 
 
 def exponential_weight(value: Column, beta: float) -> Column:
@@ -34,25 +35,51 @@ def silverman_bandwidth(df: DataFrame, column: str) -> float:
     return 1.06 * (min(spread, (high - low) / 1.34) or spread or 1 / 1.06) * n ** (-1 / 5)
 
 
-def kernel_density(df: DataFrame, column: str, bandwidth: float) -> tuple[DataFrame, Column]:
-    """Gaussian kernel density per bin of a twentieth of the bandwidth, and the bin column.
+def _hermite(offset: int) -> list[float]:
+    """He_k(d) * exp(-d * d / 2) for k below 2 * TERMS, d the distance of two bins in bandwidths."""
+    d = offset / BINS_PER_BANDWIDTH
+    found = [1.0, d]
+    for k in range(1, 2 * TERMS - 2):
+        found.append(d * found[k] - k * found[k - 1])
+    return [x * math.exp(-d * d / 2) for x in found]
 
-    Rows become bin counts first. A bin then sends its count to the bins in
-    reach of the kernel, so the work grows with the bins in use and not with
-    pairs of rows. Each row has the density at the middle of its bin.
+
+def with_density(df: DataFrame, column: str, bandwidth: float, out: str = "density") -> DataFrame:
+    """Rows with the Gaussian kernel density at their own value; rows without a value are left out.
+
+    The sum over all rows, without pairs of rows: values become powers of their
+    distance to the middle of a bin, added up per bin (map-side), a bin sends
+    its sums to the bins in reach of the kernel, and a row evaluates the series
+    of its bin. The reach grows with the number of rows, so that all mass beyond
+    it together stays below 1e-10 of a row's own.
     """
     low, n = df.agg(F.min(column), F.count(column)).first()
+    if not n:
+        return df.where("false").withColumn(out, F.lit(0.0))
     width = bandwidth / BINS_PER_BANDWIDTH
     index = F.floor((F.col(column) - low) / width)
-    counts = df.where(F.col(column).isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    reach = REACH * BINS_PER_BANDWIDTH
-    sent = counts.withColumn("offset", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    apart = F.col("offset") / BINS_PER_BANDWIDTH
-    mass = sent.groupBy((F.col("bin") + F.col("offset")).alias("bin")).agg(
-        F.sum(F.col("n") * F.exp(-apart * apart / 2)).alias("mass"))
-    density = F.col("mass") / (n * bandwidth * math.sqrt(2 * math.pi))
-    # Only bins that hold rows matter; the join also drops the others.
-    return counts.join(mass, "bin").select("bin", "n", density.alias("density")), index
+    rows = df.where(F.col(column).isNotNull()).withColumn("_bin", index)
+    at = (F.col(column) - low - (F.col("_bin") + 0.5) * width) / bandwidth
+    rows = rows.withColumn("_at", at)
+    sums = rows.groupBy("_bin").agg(*[F.sum(F.pow("_at", F.lit(float(k)))).alias(f"_m{k}") for k in range(TERMS)])
+    moments = F.array(*[F.col(f"_m{k}") / float(math.factorial(k)) for k in range(TERMS)])
+    reach = math.ceil(math.sqrt(2 * math.log(n / 1e-10)) * BINS_PER_BANDWIDTH) + 1
+    offsets = range(-reach, reach + 1)
+    table = F.array(*[F.struct(F.lit(o).alias("o"), F.array(*[F.lit(x) for x in _hermite(o)]).alias("h")) for o in offsets])
+    sent = sums.select("_bin", moments.alias("_m"), F.explode(table).alias("_t"))
+    # Coefficient m of the series at a bin, from one sending bin.
+    terms = [F.aggregate(
+        F.zip_with("_m", F.slice("_t.h", m + 1, TERMS), lambda x, h: x * h), F.lit(0.0), lambda s, x: s + x,
+    ) * ((-1.0) ** m / math.factorial(m)) for m in range(TERMS)]
+    series = sent.select((F.col("_bin") + F.col("_t.o")).alias("_bin"), *[t.alias(f"_c{m}") for m, t in enumerate(terms)])
+    series = series.groupBy("_bin").agg(*[F.sum(f"_c{m}").alias(f"_c{m}") for m in range(TERMS)])
+    value = F.lit(0.0)
+    for m in reversed(range(TERMS)):
+        value = value * F.col("_at") + F.col(f"_c{m}")
+    # As many bins as there are in use, not rows.
+    joined = rows.join(settle(series.join(sums.select("_bin"), "_bin", "left_semi"), "density"), "_bin")
+    return joined.withColumn(out, value / (n * bandwidth * math.sqrt(2 * math.pi))).drop(
+        "_bin", "_at", *[f"_c{m}" for m in range(TERMS)])
 
 
 def density_weights(df: DataFrame, column: str, bandwidth: float | None = None, tail: float | None = None,
@@ -63,10 +90,8 @@ def density_weights(df: DataFrame, column: str, bandwidth: float | None = None,
     density between the ``tail / 2`` quantiles and 1 outside of them.
     """
     h = silverman_bandwidth(df, column) if bandwidth is None else bandwidth
-    table, index = kernel_density(df, column, h)
-    table = settle(table, "density")
-    inverse, whole = table.agg(F.sum(F.col("n") / F.col("density")), F.sum(F.col("n") * F.col("density"))).first()
-    rows = df.withColumn("bin", index).join(table.select("bin", "density"), "bin").drop("bin")
+    rows = with_density(df, column, h)
+    inverse, whole = rows.agg(F.sum(1 / F.col("density")), F.sum("density")).first()
     if tail is None:
         weight = 1 / F.col("density") / inverse
     else:

@@ -133,7 +133,7 @@ def test_kernel_density_against_brute_force(spark):
     got = weights.density_weights(df, "x").orderBy("i").toPandas()["weight"]
     density = np.exp(-((x[:, None] - x) ** 2) / (2 * h * h)).sum(1) / (450 * h * math.sqrt(2 * math.pi))
     want = 1 / density / (1 / density).sum()
-    assert np.allclose(got, want, rtol=0.08)
+    assert np.allclose(got, want, rtol=1e-9)
     assert got.sum() == pytest.approx(1)
 
 
