@@ -7,10 +7,10 @@ once. A value exists only when its frame holds ``w`` values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clean_sql, log, ratio, total
@@ -249,49 +249,61 @@ def _ewm_reach(span: int) -> int:
 
 
 def exponential_means(df: DataFrame, column: str, spans: Mapping[str, int], seconds: int,
-                      keys: Sequence[str] = ("symbol",), ts: str = "bucket",
-                      rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
+                      keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
     """RW23: exponentially weighted means (``adjust=True``), one column per span.
 
-    Each block starts from enough earlier rows that what is cut off weighs
-    less than double precision resolves.
+    A mean is a discounted sum over the discounted number of values; unset
+    values only age the others. Rows are cut into stretches in which no weight
+    falls below 1e-8: inside one, discounted sums are plain window sums of
+    values scaled by their place. The sums of the stretches before come in as
+    one row per stretch, from as many of them as double precision can tell.
+    Needs a dense grid.
     """
-    source = df.select(*keys, ts, column)
-    series = Ordered.on_grid(source, keys, ts, seconds, rows_per_block)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        means = {name: pdf[column].ewm(span=span).mean() for name, span in spans.items()}
-        return pdf[[*keys, ts, column]].assign(**means)
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields]
-                       + [f"{name} double" for name in spans])
-    return series.map_blocks(run, schema, back=_ewm_reach(max(spans.values())))
+    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
+    if min(spans.values()) <= 1:
+        raise ValueError("a span must be above 1")
+    length = max(1, int(-math.log(1e8) / math.log(min(keep.values()))))
+    back = max(_ewm_reach(span) for span in spans.values()) // length + 2
+    place = F.floor(F.unix_seconds(ts) / seconds)
+    rows = df.select(*keys, ts, column).withColumns({"_part": F.floor(place / length), "_at": F.pmod(place, F.lit(length))})
+    value, seen = F.col(column), F.col(column).isNotNull().cast("double")
+    inside = Window.partitionBy(*keys, "_part").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    terms = {name: (F.coalesce(value, F.lit(0.0)) / F.pow(F.lit(w), F.col("_at")), seen / F.pow(F.lit(w), F.col("_at")))
+             for name, w in keep.items()}
+    totals = rows.groupBy(*keys, "_part").agg(*[
+        (F.sum(t[i]) * w ** (length - 1)).alias(f"_{'vn'[i]}_{name}")
+        for name, w in keep.items() for t in (terms[name],) for i in (0, 1)])
+    later = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(back))).alias("_j"))
+    carried = later.groupBy(*keys, (F.col("_part") + F.col("_j")).alias("_part")).agg(*[
+        F.sum(F.col(f"_{x}_{name}") * F.pow(F.lit(w), length * (F.col("_j") - 1))).alias(f"_c{x}_{name}")
+        for name, w in keep.items() for x in "vn"])
+    summed = rows.withColumns({f"_{'vn'[i]}_{name}": F.sum(terms[name][i]).over(inside) for name in keep for i in (0, 1)})
+    joined = summed.join(carried, [*keys, "_part"], "left")
+
+    def total(x: str, name: str, w: float) -> Column:
+        aged = F.coalesce(F.col(f"_c{x}_{name}"), F.lit(0.0)) * F.pow(F.lit(w), F.col("_at") + 1)
+        return F.col(f"_{x}_{name}") * F.pow(F.lit(w), F.col("_at")) + aged
+
+    return joined.select(*keys, ts, column, *[
+        ratio(total("v", name, w), total("n", name, w)).alias(name) for name, w in keep.items()])
 
 
 def macd(df: DataFrame, column: str, seconds: int, short: int = 9, mid: int = 12, long: int = 26,
-         keys: Sequence[str] = ("symbol",), ts: str = "bucket",
-         rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
+         keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
     """SG1: DIF, its exponential mean DEA, and MACD = DIF - DEA.
 
     Decisions turn on the sign of DIF and MACD, so differences that are rounding
     noise of the price (a series that does not move) are exactly 0.
     """
-    source = df.select(*keys, ts, column)
-    series = Ordered.on_grid(source, keys, ts, seconds, rows_per_block)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[column]
-
-        def difference(a: pd.Series, b: pd.Series) -> pd.Series:
-            return (a - b).where((a - b).abs() > TINY * x.abs(), 0.0)
-
-        dif = difference(x.ewm(span=mid).mean(), x.ewm(span=long).mean())
-        dea = dif.ewm(span=short).mean()
-        return pdf[[*keys, ts, column]].assign(dif=dif, dea=dea, macd=difference(dif, dea))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
-    reach = _ewm_reach(max(mid, long)) + _ewm_reach(short)
-    return series.map_blocks(run, f"{schema}, dif double, dea double, macd double", back=reach)
+    def difference(a: str, b: str) -> Column:
+        apart = F.col(a) - F.col(b)
+        return F.when(F.abs(apart) > TINY * F.abs(F.col(column)), apart).otherwise(F.lit(0.0))
+
+    means = exponential_means(df, column, {"_mid": mid, "_long": long}, seconds, keys, ts)
+    fast = means.withColumn("dif", difference("_mid", "_long")).select(*keys, ts, column, "dif")
+    slow = exponential_means(fast, "dif", {"dea": short}, seconds, keys, ts)
+    both = fast.join(slow.drop("dif"), [*keys, ts])
+    return both.withColumn("macd", difference("dif", "dea"))
 
 
 def decayed_mean(series: Ordered, column: str, length: int, decay: float, out: str) -> Ordered:

@@ -148,7 +148,7 @@ def test_rolling(bars):
 
 
 def test_exponential_means(bars):
-    got = rolling.exponential_means(bars, "close", {"e": 5}, 3600, rows_per_block=120).toPandas().sort_values(["symbol", "bucket"])
+    got = rolling.exponential_means(bars, "close", {"e": 5}, 3600).toPandas().sort_values(["symbol", "bucket"])
     want = got.groupby("symbol")["close"].transform(lambda x: x.ewm(span=5).mean())
     assert np.allclose(got["e"], want, rtol=1e-13)
 
