@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
@@ -185,26 +185,30 @@ def n_step_returns(log: DataFrame, n: int, discount: float, key: str = "run_id",
 
 
 def _discounted(series: Ordered, value: str, factor: float, out: str) -> DataFrame:
-    """y[t] = value[t] + factor * y[t+1] along each series, block by block from the end."""
-    step, keys = series.order[0], list(series.keys)
+    """y[t] = value[t] + factor * y[t+1] along each series of dense steps.
 
-    def summarise(pdf: pd.DataFrame) -> dict:
-        x = pdf[value].to_numpy(float)
-        powers = factor ** np.arange(len(x))
-        return {"total": float((x * powers).sum()), "weight": float(factor ** len(x))}
-
-    def replay(pdf: pd.DataFrame, state: float) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        y = np.empty(len(x))
-        for i in range(len(x) - 1, -1, -1):
-            state = x[i] + factor * state
-            y[i] = state
-        return pdf[[*keys, step]].assign(**{out: y})
-
-    types = {f.name: f.dataType.simpleString() for f in series.df.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, step))
-    return series.scan(summarise, lambda s, row: row["total"] + row["weight"] * s, replay, 0.0,
-                       "total double, weight double", "double", f"{schema}, {out} double", backward=True)
+    Steps are cut into stretches in which no discount falls below 1e-8: inside
+    one, sums are plain window sums of scaled values; the stretches after it come
+    in as one row each, from as many of them as double precision can tell.
+    """
+    step, keys = series.order[0], list(series.keys)
+    if not 0.0 < factor <= 1.0:
+        raise ValueError("the discount must be above 0 and at most 1")
+    if factor == 1.0:
+        return series.running(**{out: running_sum(F.col(value), backward=True)}).done().select(*keys, step, out)
+    length = max(1, int(-math.log(1e8) / math.log(factor)))
+    ahead = int(-math.log(1e17) / math.log(factor)) // length + 2
+    rows = series.df.select(*keys, step, F.col(value).cast("double").alias("_x")).withColumns({
+        "_part": F.floor(F.col(step) / length), "_at": F.pmod(F.col(step), F.lit(length))})
+    scaled = F.col("_x") * F.pow(F.lit(factor), F.col("_at"))
+    rest = Window.partitionBy(*keys, "_part").orderBy(step).rowsBetween(0, Window.unboundedFollowing)
+    totals = rows.groupBy(*keys, "_part").agg(F.sum(scaled).alias("_t"))
+    before = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("_j"))
+    carried = before.groupBy(*keys, (F.col("_part") - F.col("_j")).alias("_part")).agg(
+        F.sum(F.col("_t") * F.pow(F.lit(factor), length * (F.col("_j") - 1))).alias("_c"))
+    joined = rows.withColumn("_s", F.sum(scaled).over(rest)).join(carried, [*keys, "_part"], "left")
+    later = F.coalesce("_c", F.lit(0.0)) * F.pow(F.lit(factor), length - F.col("_at"))
+    return joined.select(*keys, step, (F.col("_s") / F.pow(F.lit(factor), F.col("_at")) + later).alias(out))
 
 
 def reward_to_go(log: DataFrame, discount: float, key: str = "run_id",
