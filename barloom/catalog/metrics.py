@@ -129,8 +129,6 @@ def trades(spark, sf):
 
 
 TRADES = {
-    "fold": """select run_id, list({'step': step, 'flat': action=4, 'sum': reward, 'done': false} order by step) l
-        from fx_runs group by run_id""",
     # Steps of a run one after the other: the sum carried over from the row before.
     "walk(run_id, step, acc, done)": """select run_id, 1::bigint, reward, false from fx_runs where step=1 union all
         select w.run_id, r.step, case when w.done then 0 else w.acc end + r.reward,
@@ -140,7 +138,6 @@ TRADES = {
     "tr": """select run_id, step, acc trade_return, false is_open from walk where done union all
         select run_id, step, case when done then 0 else acc end, true from walk join ends using (run_id) where step=m""",
 }
-del TRADES["fold"]
 
 
 def _recursive(**views: str) -> str:
@@ -163,6 +160,18 @@ SQL_TRADE_TABLE = _recursive(
 ) + f"\nSELECT run_id, n_trades, {r6('win_rate', 'reward_risk', 'mean_reward_risk')} FROM m"
 
 
+def behaviour(spark, sf):
+    """Behaviour of each run in one row: turnover, changes, trades, win rate and both reward ratios."""
+    log = settle(runs(spark, sf), "runs")
+    return report(metrics.behaviour(log))
+
+
+SQL_BEHAVIOUR = SQL_TRADE_TABLE.rsplit("\nSELECT", 1)[0] + f""",
+t as (select run_id, sum(abs(action-w))/4.0::double turnover, count(*) filter (action<>w) changes
+    from (select *, lag(action,1,4) over (partition by run_id order by step) w from fx_runs) group by run_id)
+SELECT run_id, {r6('turnover')}, changes, n_trades, {r6('win_rate', 'reward_risk', 'mean_reward_risk')} FROM m JOIN t USING (run_id)"""
+
+
 def _terminal(spark, sf):
     return runs(spark, sf).withColumns({
         "terminal": F.col("step") % 37 == 0, "value": (F.col("action") * 10).cast("double")})
@@ -340,6 +349,7 @@ QUERIES = {
     "turnover": (turnover, SQL_TURNOVER),
     "closed_trades": (trades, SQL_TRADES),
     "trade_metrics": (trade_table, SQL_TRADE_TABLE),
+    "behaviour_metrics": (behaviour, SQL_BEHAVIOUR),
     "n_step_returns": (n_step, _n_step_sql()),
     "reward_to_go": (to_go, SQL_TO_GO),
     "advantages": (advantages, SQL_ADVANTAGES),

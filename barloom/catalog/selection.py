@@ -226,8 +226,7 @@ SQL_DESCRIBED = with_views(
 SELECT feature, "count", {r6('mean', 'std', '"min"', 'q25', 'q50', 'q75', '"max"')} FROM d"""
 
 
-def bar_coefficients(spark, sf):
-    """Flagship: raw ticks to hourly bars, rolling means, forward targets, coefficients."""
+def _bar_rows(spark, sf):
     bars = settle(hourly_bars(spark, sf).select("symbol", "bucket", "close", "volume"), "bars")
     series = Ordered.on_grid(bars, ["symbol"], "bucket", HOUR)
 
@@ -236,23 +235,46 @@ def bar_coefficients(spark, sf):
         full = {k: F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, made[k]) for k, n in (("ma_6", 6), ("ma_24", 24))}
         return full | {f"target_{h}": F.lead("close", h).over(w) - F.col("close") for h in H}
 
-    rows = series.with_frames(frames, back=24, ahead=max(H)).done()
-    return report(selection.information_coefficients(rows, ["ma_6", "ma_24", "volume"], H))
+    return series.with_frames(frames, back=24, ahead=max(H)).done()
+
+
+def bar_coefficients(spark, sf):
+    """Flagship: raw ticks to hourly bars, rolling means, forward targets, coefficients."""
+    return report(selection.information_coefficients(_bar_rows(spark, sf), ["ma_6", "ma_24", "volume"], H))
+
 
+def symbol_coefficients(spark, sf):
+    """The same for each symbol by itself."""
+    return report(selection.information_coefficients(_bar_rows(spark, sf), ["ma_6", "ma_24", "volume"], H, ["symbol"]))
 
-def _bar_sql() -> str:
+
+def _bar_sql(by: str = "") -> str:
     ma = ", ".join(
         f"""case when count(*) over f{n} = {n} then avg("close") over f{n} / "close" end ma_{n}""" for n in (6, 24))
     names = ("ma_6", "ma_24", "volume")
     return with_views(
         ["fx_bars"],
-        t=f"""select {ma}, volume, {', '.join(f'lead("close",{h}) over w-"close" target_{h}' for h in H)} from fx_bars
+        t=f"""select symbol, {ma}, volume, {', '.join(f'lead("close",{h}) over w-"close" target_{h}' for h in H)} from fx_bars
             window w as (partition by symbol order by bucket),
             f6 as (partition by symbol order by bucket rows between 5 preceding and current row),
             f24 as (partition by symbol order by bucket rows between 23 preceding and current row)""",
-        w="select " + ", ".join(f"corr({f}, target_{h}) {f}_{h}" for f in names for h in H) + " from t",
-        i=" union all ".join(f"select '{f}' feature, {h} horizon, {f}_{h} ic from w" for f in names for h in H),
-    ) + f"\nSELECT feature, horizon, {r6('ic')} FROM i"
+        w=f"select {by}" + ", ".join(f"corr({f}, target_{h}) {f}_{h}" for f in names for h in H) + " from t"
+        + (" group by symbol" if by else ""),
+        i=" union all ".join(f"select {by}'{f}' feature, {h} horizon, {f}_{h} ic from w" for f in names for h in H),
+    ) + f"\nSELECT {by}feature, horizon, {r6('ic')} FROM i"
+
+
+def described_labels(spark, sf):
+    return report(resample.describe(factors(spark, sf).withColumn("label", F.col("label").cast("long")), FEATURES, ["label"]))
+
+
+SQL_DESCRIBED_LABELS = with_views(
+    ["fx_factors"],
+    u=" union all ".join(f"select label, '{f}' feature, {f} v from fx_factors" for f in FEATURES),
+    d="""select cast(label as bigint) AS label, feature, count(*) "count", avg(v) mean, stddev_samp(v) std, min(v) "min",
+        quantile_cont(v,0.25) q25, quantile_cont(v,0.5) q50, quantile_cont(v,0.75) q75, max(v) "max" from u group by all""",
+) + f"""
+SELECT label, feature, "count", {r6('mean', 'std', '"min"', 'q25', 'q50', 'q75', '"max"')} FROM d"""
 
 
 def role_split(spark, sf):
@@ -269,6 +291,8 @@ SELECT vec_id, {r6('mark_price')}, {cut('s', 'feature_sum')}, 8 n_features FROM
 
 QUERIES = {
     "bar_coefficients": (bar_coefficients, _bar_sql()),
+    "symbol_coefficients": (symbol_coefficients, _bar_sql("symbol, ")),
+    "describe_labels": (described_labels, SQL_DESCRIBED_LABELS),
     "forward_targets": (targets, SQL_TARGETS),
     "information_coefficients": (coefficients, SQL_COEFFICIENTS),
     "rank_coefficients": (rank_coefficients, SQL_RANK),

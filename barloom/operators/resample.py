@@ -278,22 +278,22 @@ def base_features(trades: DataFrame, quotes: DataFrame, seconds: int,
     return complete_bars(bars, seconds, zero_columns(bars), rows_per_block=grid_rows)
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """RS21: count, mean, sample std, min, quartiles and max per column, long form.
+def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """RS21: count, mean, sample std, min, quartiles and max per column (and key), long form.
 
     All columns are unpivoted and go through one aggregate and one quantile pass.
     """
     rows = F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns
     ]))
-    long = df.select(rows)
-    v = F.col("v")
-    moments = long.groupBy("feature").agg(
+    long = df.select(*keys, rows)
+    v, by = F.col("v"), [*keys, "feature"]
+    moments = long.groupBy(*by).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    quartiles = exact_quantiles(long, ["feature"], "v", (0.25, 0.5, 0.75))
+    quartiles = exact_quantiles(long, by, "v", (0.25, 0.5, 0.75))
     named = quartiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
-    return moments.join(named, "feature", "left")
+    return moments.join(named, by, "left")
 
 
 def overview(ticker: DataFrame, seconds: int, price: str = "mark_price",

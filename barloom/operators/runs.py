@@ -162,6 +162,11 @@ def trade_metrics(trades: DataFrame, key: str = "run_id") -> DataFrame:
         (F.coalesce(F.avg(gain), zero) / (F.abs(F.coalesce(F.avg(loss), zero)) + TINY)).alias("mean_reward_risk"))
 
 
+def behaviour(log: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row per run: turnover and changes of the position (MT11) with its trade metrics (MT13)."""
+    return turnover(log, key).join(trade_metrics(closed_trades(log, key), key), key)
+
+
 def n_step_returns(log: DataFrame, n: int, discount: float, key: str = "run_id",
                    rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
     """TR1: discounted sum of ``n`` rewards, cut at a terminal step, and the step it leads to.

@@ -54,19 +54,20 @@ def _named(features: Sequence[str]) -> Column:
 
 
 def information_coefficients(df: DataFrame, features: Sequence[str],
-                             horizons: Sequence[int] = HORIZONS) -> DataFrame:
+                             horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ()) -> DataFrame:
     """FS2: correlation of every feature with every target, one aggregate pass.
 
+    With ``keys`` (a symbol, for instance) each key has its own coefficients.
     Rows are unpivoted and combined map-side, so only one partial row per
     feature and task is shuffled.
     """
     targets = [f"target_{h}" for h in horizons]
-    long = df.select(*targets, _long(features))
-    wide = long.groupBy("pos").agg(*[_corr("col", t).alias(t) for t in targets])
+    long = df.select(*keys, *targets, _long(features))
+    wide = long.groupBy(*keys, "pos").agg(*[_corr("col", t).alias(t) for t in targets])
     rows = F.inline(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("ic")) for h in horizons
     ]))
-    return wide.select(_named(features).alias("feature"), rows)
+    return wide.select(*keys, _named(features).alias("feature"), rows)
 
 
 def _average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rows_per_block: int) -> DataFrame:
