@@ -1,10 +1,12 @@
 """The way from raw ticks to the feature table."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from barloom.catalog import fixtures
+from barloom.operators import joins, rolling, sampling
 from barloom.plans.features import FeatureOptions, concurrent_side, feature_table
 from tests.conftest import SF
 
@@ -33,3 +35,13 @@ def test_feature_table(spark):
     assert all(abs(scores[f]) > OPTIONS.ic_threshold for f in made.features)
     stats = made.rows.agg(*[F.stddev_samp(f"`{f}`") for f in made.features]).first()
     assert all(s is None or s == 0 or 1 - 1e-9 <= s < 10 for s in stats if s is None or not math.isnan(s))
+
+
+def test_rows_are_not_dealt_by_the_series_key(spark):
+    """A key may hold a third of all rows: per-key tables come to the rows, not the other way round."""
+    bars = fixtures.settle(fixtures.hourly_bars(spark, SF).select("symbol", "bucket", "close"), "bars")
+    steps = fixtures.settle(fixtures.runs(spark, SF), "runs")
+    for made in (rolling.trim_start(bars, 3, 3600), joins.right_aligned(steps, "reward"),
+                 sampling.overlapping_chunks(steps, 50, 10, ["run_id"], "step")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\((symbol|run_id)#\d+, \d+\)", plan), plan
