@@ -10,9 +10,9 @@ QUERIES = {
     "op3_prefix_free_parse": (parsing.query, None),
     "op4_pigeonhole_edit": (decontaminate.query, None),
     "op5_toxicity_cnn": (toxicity.query, None),
-    "op6_prefix_subtrees": (subtrees.query, None),
+    "op6_prefix_subtrees": (subtrees.query, subtrees.SQL),
     "op7_threshold_topk": (topk.query, topk.SQL),
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
-    "op10_jaccard_forest": (jaccard.query, None),
+    "op10_jaccard_forest": (jaccard.query, jaccard.SQL),
 }

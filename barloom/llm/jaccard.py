@@ -276,3 +276,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     """One row per document: its class and its number of links."""
     found = classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "class_id", "n_links", "n_texts")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, total, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM x
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+sh AS (SELECT DISTINCT doc_id, s FROM g WHERE n = 5 OR (total < 5 AND i = 1)),
+sz AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS f FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+           GROUP BY ALL),
+one AS (SELECT a, b, p.f AS fa, q.f AS fb FROM common JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b
+        WHERE 5 * c >= 4 * (p.n + q.n - c)),
+links AS (SELECT a, b, fa, fb FROM one UNION ALL SELECT b, a, fb, fa FROM one),
+counts AS (SELECT a, count(*) AS n_links, count(DISTINCT CASE WHEN fa <> fb THEN fb END) AS n_texts FROM links GROUP BY a),
+reach(doc, c) AS (SELECT a, a FROM links UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.doc),
+classes AS (SELECT doc, min(c) AS c FROM reach GROUP BY doc)
+SELECT w.doc_id, coalesce(classes.c, w.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts
+FROM w LEFT JOIN counts ON counts.a = w.doc_id LEFT JOIN classes ON classes.doc = w.doc_id
+"""

@@ -77,3 +77,20 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, reach: int
 def query(spark, sf_dir: str) -> DataFrame:
     found = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM x
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM g WHERE n = 13),
+h AS (SELECT doc_id, i FROM m WHERE least < doc_id),
+c AS (SELECT x.doc_id, x.i, word, coalesce(max(h.i) OVER (PARTITION BY x.doc_id ORDER BY x.i) > x.i - 13, false) AS gone
+      FROM x LEFT JOIN h ON h.doc_id = x.doc_id AND h.i = x.i),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id
+"""
