@@ -18,7 +18,7 @@ SHINGLE, LEAST = 5, 0.8
 # Trees of the forest, the length of their labels, and the recall of a pair at the least similarity.
 TREES, DEPTH, RECALL = 24, 8, 0.99999
 # Members of a bucket compared by one task: larger buckets are cut into blocks, each pair of blocks a task.
-BLOCK = 512
+BLOCK = 1536
 
 
 def prefix_length(least: float = LEAST, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -80,8 +80,12 @@ def signatures(texts: pa.Array, trees: int, prefix: int) -> pa.Array:
         names=["n", "f1", "f2", "keys"])
 
 
-def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Number of common values of each two sets: products of incidence matrices, a stretch of values at a time."""
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Number of common values of each set of ``a`` with each of ``b``.
+
+    Products of incidence matrices, a stretch of the values that occur twice at a time; float32 counts exactly
+    below 2**24.
+    """
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -90,27 +94,37 @@ def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     column, owner = place[column[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    for lo in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(column, [lo, lo + step])
-        part = np.zeros((len(sets), step), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        out += part @ part.T
+    out, width = np.zeros((len(a), len(b)), np.float32), int(shared.sum())
+    for lo in range(0, width, step):
+        hi = min(width, lo + step)
+        first, last = np.searchsorted(column, [lo, hi])
+        part = np.zeros((len(sets), hi - lo), np.float32)
+        part[owner[first:last], column[first:last] - lo] = 1
+        out += part[a] @ part[b].T
     return out
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (i, j), i < j, of similarity ``least`` or more; with both sides present only pairs across them."""
-    n = np.array([len(s) for s in sets])
+def linked(sets: list[np.ndarray], side: np.ndarray, least: float, rows: int = 256) -> np.ndarray:
+    """Pairs of similarity ``least`` or more; with both sides present only pairs across them."""
+    n = np.array([len(s) for s in sets], float)
+    cross = side.min() != side.max()
     if len(sets) == 2:
         small, large = sorted(n)
-        if small < least * large or side[0] == side[1] and side.max() != side.min():
+        if small < least * large:
             return np.zeros((0, 2), int)
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[0, 1]]) if common >= least * (n.sum() - common) else np.zeros((0, 2), int)
-    common = overlaps(sets)
-    good = np.triu(common >= least * (n[:, None] + n[None, :] - common), 1)
-    return np.argwhere(good)
+    a = np.flatnonzero(side == side.min()) if cross else np.arange(len(sets))
+    b = np.flatnonzero(side == side.max()) if cross else a
+    common, found = overlaps(sets, a, b), []
+    for lo in range(0, len(a), rows):
+        c = common[lo:lo + rows].astype(float)
+        i, j = np.nonzero(c >= least * (n[a[lo:lo + rows]][:, None] + n[b][None, :] - c))
+        i = i + lo
+        if not cross:
+            i, j = i[i < j], j[i < j]
+        found.append(np.stack([a[i], b[j]], axis=1))
+    return np.concatenate(found)
 
 
 LINKS = "cid bigint, root bigint, texts bigint, docs bigint"
@@ -122,9 +136,9 @@ def _verify(least: float):
         if len(rows) < 2:
             return
         sets, side = [r[4] for r in rows], np.array([r[3] for r in rows])
+        if cross and side.min() == side.max():  # a bucket's block may be empty: its members hash elsewhere
+            return
         pairs = linked(sets, side, least)
-        if cross:
-            pairs = pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
         root = list(range(len(rows)))
 
         def find(i: int) -> int:
