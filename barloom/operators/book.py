@@ -50,6 +50,7 @@ def snapshot_features(book: DataFrame, keep: Sequence[str], k: int = 5, levels:
         "sell_wap": ratio(dot(F.col("ask_size"), F.col("ask_price")), ask_total),
         "buy_wap": ratio(dot(F.col("bid_size"), F.col("bid_price")), bid_total),
     })
+    # Fixed column names.
     out = {
         "midprice": (level("ask", "price", 1) + level("bid", "price", 1)) / 2,
         "wap_1": F.col("wap_1"), "wap_2": F.col("wap_2"),

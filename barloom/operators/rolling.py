@@ -122,6 +122,7 @@ class _Group:
         first_low = f"(array_position({g('lows')}, array_min({g('lows')})) - 1)"
         up, down = (f"CASE WHEN {g('n')} = {w} THEN {g(c)} / {w} END" for c in ("ups", "downs"))
         gain = per(g("gain"), f"{g('path')} + {TINY}D")
+        # Fixed column names.
         out = {
             "roc": per(back, close), "ma": per(g("mean"), close), "std": per(g("std"), close),
             "beta": per(f"{back} - {close}", f"{w} * {close}"),
