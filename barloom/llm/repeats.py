@@ -33,7 +33,7 @@ from barloom.llm.words import BASES, CHUNK, Rolling, scramble
 Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 # Windows of an anchor that are first compared by their common part.
-NEAR_BY = 16
+NEAR_BY = 8
 
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -217,7 +217,7 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
             _intervals(reader, size, NEAR_BY),
             "key bigint, doc bigint, th bigint, at bigint, near int, far int, copies bigint, need boolean"), "lots")
         more = F.min("doc") < F.max("doc") if earlier else F.sum("copies") > 1
-        again = lots.groupBy("key").agg(more.alias("again")).filter("again").select("key")
+        again = settle(lots.groupBy("key").agg(more.alias("again")).filter("again").select("key"), "again")
         asked = lots.join(again, "key", "left_semi").drop("key")
     looked = with_lists(asked)
     windows = settle(looked.mapInArrow(
