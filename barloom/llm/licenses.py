@@ -1,4 +1,9 @@
-"""License scan: MinHash over overlapping text windows retrieves templates, shingle containment verifies."""
+"""License scan: MinHash over overlapping text windows retrieves templates, shingle containment verifies.
+
+Looked for are the notices below and the library (``license_library``): whole texts, notices, and lines and tags such as
+"released under MIT License". A line has too few shingles for a share of them to bear a changed word, so its wordings
+are phrases that are matched whole, found by their first word.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import license_library
 from barloom.llm.common import keep_columns, read
-from barloom.llm.words import PUNCTUATION, Rolling, flatten, scramble, words
+from barloom.llm.words import PUNCTUATION, Rolling, Words, flatten, scramble, words
 
 # Public license notices.
 TEMPLATES = {
@@ -48,10 +54,11 @@ SALTS = scramble(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB8
 def stride(shingles: int) -> int:
     """Distance of windows for templates of so many shingles.
 
-    Windows of shingles + stride - 1 at each multiple contain any stretch of that many shingles whole. With a
-    quarter as stride, the union of a window and a template shared by 0.8 is at most 1.45 templates.
+    Windows of shingles + stride - 1 at each multiple contain any stretch of that many shingles whole. With at most a
+    quarter as stride, the union of a window and a template shared by 0.8 is at most 1.45 templates. Powers of two let
+    the minima of one stride follow from those of the half.
     """
-    return max(1, shingles // 4)
+    return 1 << (max(1, shingles // 4).bit_length() - 1)
 
 
 @dataclass(frozen=True)
@@ -61,22 +68,74 @@ class Template:
     length: int           # shingle positions
 
 
-def prepare(templates: dict[str, str]) -> list[Template]:
+def prepare(templates: dict[str, str | list[str]]) -> list[Template]:
+    """Templates of each name; a name may have several texts."""
     out = []
-    for name, text in sorted(templates.items()):
-        hashes, first = shingled(pa.array([text]))
-        if first[1] == 0:
-            raise ValueError(f"template {name!r} has fewer than {SHINGLE} words")
-        out.append(Template(name, np.unique(hashes), int(first[1])))
+    for name, given in sorted(templates.items()):
+        for text in [given] if isinstance(given, str) else given:
+            hashes, first = shingled(pa.array([text]))
+            if first[1] == 0:
+                raise ValueError(f"template {name!r} has fewer than {SHINGLE} words")
+            out.append(Template(name, np.unique(hashes), int(first[1])))
     return out
 
 
+def library() -> dict[str, str | list[str]]:
+    """All templates of the query: the fixed ones, notices and whole texts."""
+    return TEMPLATES | license_library.NOTICES | license_library.texts()
+
+
+@dataclass(frozen=True)
+class Phrases:
+    """Wordings matched whole: for each number of words the sorted hashes and the names they stand for."""
+
+    opens: np.ndarray  # sorted hashes of first words
+    by_width: dict[int, tuple[np.ndarray, list[str]]]
+
+    @classmethod
+    def of(cls, lines: dict[str, str]) -> Phrases:
+        w = words(*flatten(pa.array(list(lines), pa.string())), PUNCTUATION, fold=True)
+        rolling, counts = Rolling(w.hash), np.diff(w.first)
+        if (counts == 0).any():
+            raise ValueError("a phrase has no words")
+        held: dict[int, dict[int, str]] = {}
+        for h, n, name in zip(rolling(w.first[:-1], w.first[1:]).tolist(), counts.tolist(), lines.values(), strict=True):
+            held.setdefault(n, {}).setdefault(h, name)
+        return cls(np.unique(w.hash[w.first[:-1]]),
+                   {n: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for n, own in sorted(held.items())})
+
+    def find(self, w: Words) -> list[tuple[int, str, int, int]]:
+        """(text, name, first word, word after the last); phrases inside longer ones are left out."""
+        if not len(w.hash) or not len(self.opens):
+            return []
+        at = np.searchsorted(self.opens, w.hash)
+        at = np.flatnonzero(self.opens[np.minimum(at, len(self.opens) - 1)] == w.hash)
+        rolling, longest = Rolling(w.hash), {}
+        doc = np.searchsorted(w.first, at, "right") - 1
+        for n, (known, names) in self.by_width.items():
+            fits = at + n <= w.first[doc + 1]
+            start, own = at[fits], doc[fits]
+            hashes = rolling(start, start + n)
+            k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            for i in np.flatnonzero(known[k] == hashes):
+                longest[int(start[i])] = int(own[i]), names[k[i]], n
+        out, end = [], 0
+        for start, (d, name, n) in sorted(longest.items()):
+            if start + n > end:
+                end = start + n
+                out.append((d, name, start - int(w.first[d]), end - int(w.first[d])))
+        return out
+
+
 def shingled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the stretches of five words of each text, and their offsets by text.
 
     Words are runs of letters and digits, ASCII case folded.
     """
-    w = words(*flatten(texts), PUNCTUATION, fold=True)
+    return _shingles(words(*flatten(texts), PUNCTUATION, fold=True))
+
+
+def _shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(np.diff(w.first) - SHINGLE + 1, 0)
     first = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(first[-1]) + np.repeat(w.first[:-1] - first[:-1], counts)
@@ -98,37 +157,60 @@ def _sliding(values: np.ndarray, stop: np.ndarray, width: int) -> np.ndarray:
 def candidates(hashes: np.ndarray, first: np.ndarray, templates: list[Template]) -> dict[tuple[int, int], None]:
     """(window start, template number) pairs that agree in a band."""
     found: dict[tuple[int, int], None] = {}
-    sizes = sorted({t.length for t in templates})
-    steps = {stride(n) for n in sizes}
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(templates):
+        step = stride(t.length)
+        groups.setdefault((step, -(-(t.length + step - 1) // step)), []).append(k)
     counts = np.diff(first)
-    blocks = {}
-    for step in steps:
-        n = -(-counts // step)
+    levels, step = {}, 1
+    while groups and step <= max(s for s, _ in groups):
+        n = -(-counts // step)  # stretches of ``step`` shingles, by text
+        before = np.cumsum(n) - n
         owner = np.repeat(np.arange(len(counts)), n)
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        blocks[step] = first[owner] + inside * step, np.repeat(np.cumsum(n), n)
-    for salt in SALTS if len(hashes) else ():
-        mixed = scramble(hashes ^ salt)
-        low = {s: mixed if s == 1 else np.minimum.reduceat(mixed, blocks[s][0]) for s in steps}
-        for size in sizes:
-            step = stride(size)
-            starts, stop = blocks[step]
-            least = _sliding(low[step], stop, -(-(size + step - 1) // step))
-            for k, t in enumerate(templates):
-                if t.length == size:
-                    top = scramble(t.shingles ^ salt).min()
-                    found |= dict.fromkeys((int(starts[i]), k) for i in np.flatnonzero(least == top))
+        inside = np.arange(len(owner)) - before[owner]
+        # Shingle at which a stretch starts, end of its text in stretches, first of its halves.
+        halves = (levels[step // 2][3][owner] + 2 * inside) if step > 1 else inside
+        levels[step] = first[owner] + inside * step, (before + n)[owner], halves, before
+        step *= 2
+    for salt in SALTS if len(hashes) and groups else ():
+        low, step = {1: scramble(hashes ^ salt)}, 2
+        while step in levels:
+            low[step] = np.minimum.reduceat(low[step // 2], levels[step][2])
+            step *= 2
+        for (step, width), own in groups.items():
+            starts, stop = levels[step][:2]
+            least = _sliding(low[step], stop, width)
+            for k in own:
+                top = scramble(templates[k].shingles ^ salt).min()
+                found |= dict.fromkeys((int(starts[i]), k) for i in np.flatnonzero(least == top))
     return found
 
 
-def matches(texts: pa.Array, templates: list[Template], least: float = LEAST) -> list[list[tuple]]:
+def _likest(spans: list[tuple], rivals: frozenset[str]) -> list[tuple]:
+    """Of rivals of one form that lie on one another by half of the shorter, the one of which most is held.
+
+    Licenses of a family share most of their text: GPL and AGPL, BSD with two and with three clauses, versions.
+    """
+    kept: list[tuple] = []
+    for m in sorted(spans, key=lambda m: (-m[4], -m[1], m[0], m[2])):
+        others = [o for o in kept if {m[0], o[0]} <= rivals and m[0].split()[-1] == o[0].split()[-1]]
+        if all(min(m[3], o[3]) - max(m[2], o[2]) < 0.5 * min(m[3] - m[2], o[3] - o[2]) for o in others):
+            kept.append(m)
+    return sorted(kept)
+
+
+def matches(texts: pa.Array, templates: list[Template], least: float = LEAST, phrases: Phrases | None = None,
+            rivals: frozenset[str] = frozenset()) -> list[list[tuple]]:
     """For each text (template, containment, first word, word after the last) of verified matches.
 
-    Matches of one template that overlap are one, with the larger containment.
+    Matches of one name that overlap are one, with the larger containment. Of ``rivals`` at one place the likest is given.
     """
-    hashes, first = shingled(texts)
+    w = words(*flatten(texts), PUNCTUATION, fold=True)
+    hashes, first = _shingles(w)
     out: list[list[tuple]] = [[] for _ in range(len(first) - 1)]
-    checked: dict[tuple[int, int], list] = {}
+    checked: dict[tuple[int, str], list] = {}
+    for doc, name, a, b in phrases.find(w) if phrases else ():
+        checked.setdefault((doc, name), []).append((a, b, 1.0, 0))
     for start, k in candidates(hashes, first, templates):
         t = templates[k]
         doc = int(np.searchsorted(first, start, "right")) - 1
@@ -140,34 +222,40 @@ def matches(texts: pa.Array, templates: list[Template], least: float = LEAST) ->
         if share >= least:
             at = np.flatnonzero(held)
             lo = int(start - first[doc])
-            checked.setdefault((doc, k), []).append((lo + int(at[0]), lo + int(at[-1]) + SHINGLE, share))
-    for (doc, k), spans in sorted(checked.items()):
+            checked.setdefault((doc, t.name), []).append(
+                (lo + int(at[0]), lo + int(at[-1]) + SHINGLE, share, round(share * len(t.shingles))))
+    for (doc, name), spans in sorted(checked.items()):
         merged: list[list] = []
-        for a, b, share in sorted(spans):
+        for a, b, share, size in sorted(spans):
             if merged and a < merged[-1][1]:
-                merged[-1] = [merged[-1][0], max(b, merged[-1][1]), max(share, merged[-1][2])]
+                merged[-1] = [merged[-1][0], *map(max, merged[-1][1:], (b, share, size))]
             else:
-                merged.append([a, b, share])
-        out[doc] += [(templates[k].name, share, a, b) for a, b, share in merged]
-    return out
+                merged.append([a, b, share, size])
+        out[doc] += [(name, share, a, b, size) for a, b, share, size in merged]
+    return [[m[:4] for m in _likest(own, rivals)] for own in out]
 
 
 FOUND = "array<struct<license:string,containment:double,first_word:bigint,end_word:bigint>>"
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, str | list[str]] | None = None,
+         least: float = LEAST) -> DataFrame:
     """``docs`` with ``licenses``: the templates found in each whole text, with containment and place in words.
 
-    Null, empty and very short texts have none. A column ``licenses`` is replaced; no rows give no rows.
+    Without ``templates``, the whole library is looked for; given ones are looked for alone. Null and empty texts have
+    none. A column ``licenses`` is replaced; no rows give no rows.
     """
-    ready = prepare(TEMPLATES if templates is None else templates)  # a few KB, given by the caller
+    ready = prepare(library() if templates is None else templates)  # under 1 MB, made by the driver
+    phrases = Phrases.of(license_library.lines()) if templates is None else None
+    rivals = frozenset() if templates is not None else frozenset(t.name for t in ready) - TEMPLATES.keys()
 
     @F.arrow_udf(FOUND)
     def run(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()),
                                    ("first_word", pa.int64()), ("end_word", pa.int64())]))
         fields = ("license", "containment", "first_word", "end_word")
-        return pa.array([[dict(zip(fields, m, strict=True)) for m in own] for own in matches(texts, ready, least)], kind)
+        return pa.array([[dict(zip(fields, m, strict=True)) for m in own]
+                        for own in matches(texts, ready, least, phrases, rivals)], kind)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep_columns(docs, "licenses")],
                        run(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("licenses"))

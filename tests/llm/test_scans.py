@@ -83,6 +83,24 @@ def test_license_query_finds_every_notice(spark):
     assert want and {(r.doc_id, r.license) for r in licenses.query(spark, X.SF).collect()} >= want
 
 
+def test_license_library(spark):
+    whole = licenses.license_library.texts()
+    lines = ["Released under MIT License", "Licensed under the MIT license", "(c) X. Licensed under the terms of the GNU GPL v3.",
+             "# SPDX-License-Identifier: MPL-2.0", "distributed under a Creative Commons Attribution 4.0 International License",
+             "provided under the ISC licence", "license = \"AGPL-3.0-or-later\"", "under the MIT roof, licensed for zlib"]
+    notice = licenses.license_library.NOTICES["GPL-2.0 notice"][0].replace("This program", "Foo")
+    rows = [*lines, notice, *("junk " * 7000 + t[0].replace("any", "some", 2) + " end" * 2000 for t in whole.values())]
+    docs = X.documents(spark, [(i, t, None, None) for i, t in enumerate(rows)])
+    got = {r.doc_id: [m.license for m in r.licenses] for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(8)] == [["MIT line"], ["MIT line"], ["GPL-3.0 line"], ["MPL-2.0 tag"], ["CC-BY-4.0 line"], ["ISC line"],
+                                          ["AGPL-3.0 line"], []]
+    assert "GPL-2.0 notice" in got[8] and "GPL-3.0 notice" not in got[8]
+    for i, name in enumerate(whole):  # each whole text is found as itself and not as one of its family
+        assert [m for m in got[9 + i] if m.endswith(" text")] == [name]
+    assert len(whole) >= 30 and all("MIT line" not in [m[0] for m in row.licenses] for row in licenses.scan(
+        docs, templates={"GPL-3.0 line": licenses.TEMPLATES["GPL-3.0 line"]}).collect())
+
+
 def distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p):
