@@ -30,11 +30,33 @@ PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "placeho
 # Literals reported from this score on, and the shortest one scored.
 LEAST_SCORE, LEAST_LENGTH = 3.0, 8
 
-# name = literal | name : literal | "name": literal | <name>literal< , literal quoted, bare or a name; [] keys too.
+# name = literal | name : literal | "name": literal, literal quoted, bare or a name; [] keys too.
 _PAIR = re.compile(
     r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})(?:["']?\])?["']?[ \t]*(?::=|=>|[:=])(?!=)[ \t]*"""
     r"""(?:[A-Za-z]{0,2}"(?P<dq>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|[A-Za-z]{0,2}'(?P<sq>[^'\\\n]*(?:\\.[^'\\\n]*)*)'"""
     r"""|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""")
+# name: type = literal | name type = literal | name[] = literal. The second form needs a type word, or const, var or let
+# before it: "String name" is read by the pair above.
+_VALUE = _PAIR.pattern[_PAIR.pattern.index("(?:[A-Za-z]{0,2}\""):]
+_TYPE = (r"""[&*]?(?:'\w+[ ]+)?(?:mut[ ]+)?[A-Za-z_][\w.]*(?:\[[\w., |\[\]"']{0,80}\]|<[\w., ?&'<>]{0,80}>)?"""
+         r"""(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]"']{0,80}\])?){0,4}(?:\[\])?[?!]?""")
+_TYPE_WORDS = r"(?:\[\]byte|\*?string|String|text|TEXT|n?(?:var)?char|N?(?:VAR)?CHAR)(?:[ ]?\([ ]?\w+[ ]?\))?"
+_TYPED = re.compile(
+    r"(?<![A-Za-z0-9_.-])(?P<declared>(?:const|var|let)[ \t]+)?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})"
+    rf"(?:[ \t]*\??:[ \t]*{_TYPE}|[ \t]+(?P<word>{_TYPE_WORDS})|(?P<two>[ \t]+[*&]?[A-Za-z_][\w.]*)|\[[0-9]*\])[ \t]*=(?![=>~])[ \t]*"
+    + _VALUE)
+# <name>literal</name>, with attributes or CDATA too, and elements named by an attribute: <property name="name" value="literal"/>.
+_ELEMENT = re.compile(
+    r"<(?:[A-Za-z_][\w-]*:)?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})(?:\s[^<>]{0,1000})?>\s*"
+    r"(?:<!\[CDATA\[\s*(?P<cdata>(?:(?!\]\]>)\S)+)\s*\]\]>|(?P<inner>[^\s<>]+))\s*</(?:[A-Za-z_][\w-]*:)?(?P=name)\s*>")
+_KEYED = re.compile(
+    r"""<[A-Za-z_][\w:.-]*\s(?:[^<>]{0,1000}?\s)??(?:name|key|id)\s*=\s*["'](?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})["'][^<>]{0,1000}?"""
+    r"""(?:\svalue\s*=\s*(?:"(?P<dq>[^"<>\n]*)"|'(?P<sq>[^'<>\n]*)')|>\s*(?P<inner>[^\s<>]+)\s*</)""")
+# Values that only say where a secret is: templates, and paths whose steps are words.
+_TEMPLATE = re.compile(
+    r"\$\{.*\}|\$\(.*\)|\{\{.*\}\}|\{[\w .:\[\]!-]*\}|\$(?:[A-Z_][A-Z0-9_]*|[A-Za-z_]+)|%\([\w.]+\)[sdr]|%[A-Za-z_]+%|%[sdr]|<[^<>]*>|<[%?].*[%?]>")
+_STEP = r"\.?(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]{1,4})(?:[0-9]{0,4}(?:[._@ -]+|$|(?=[/\\]))|(?=/))"
+_PATH = re.compile(rf"(?:~|\.{{1,2}}|[A-Za-z]:|)[/\\]+(?:{_STEP})+(?:[/\\]+(?:{_STEP})+)*[/\\]*|/(?:home|etc|usr|var|opt|tmp|mnt|run|srv|root|dev|proc|Users)/.*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
 
@@ -59,7 +81,7 @@ def strength(literal: str) -> float:
     """How much a literal looks like key material: bits per character and mix of character classes."""
     if len(literal) < LEAST_LENGTH or literal.lower().strip("<>*x.-_$%{}") in PLACEHOLDERS | {""} or " " in literal.strip():
         return -10.0
-    if "://" in literal or literal[0] in "/<$%{" or literal.startswith("${"):
+    if "://" in literal or _TEMPLATE.fullmatch(literal) or _PATH.fullmatch(literal):
         return -10.0
     counts = Counter(literal)
     bits = -sum(c / len(literal) * math.log2(c / len(literal)) for c in counts.values())
@@ -67,13 +89,31 @@ def strength(literal: str) -> float:
     return (bits - 2.5) + 0.5 * (classes - 1)
 
 
+def _assigns(text: str) -> bool:
+    return "=" in text or ":" in text or "</" in text
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of each assignment; the span is the value's."""
-    out = []
-    for m in _PAIR.finditer(text):
+    """(name, value, start, end, quoted) of each assignment in order; the span is the value's."""
+    out, typed = [], []
+    for m in _TYPED.finditer(text) if "=" in text else ():
         kind = m.lastgroup
-        out.append((m["name"], m[kind], m.start(kind), m.end(kind), kind != "bare"))
-    return out
+        if m["two"] is None or m["declared"] and kind != "bare":
+            out.append((m.start(), m["name"], m[kind], m.start(kind), m.end(kind), kind != "bare"))
+            if m["two"] is None:  # else the second word may be the name as well
+                typed.append((m.start("name"), m.end()))
+    for pattern in (_ELEMENT, _KEYED) if "<" in text else ():
+        for m in pattern.finditer(text):
+            kind = m.lastgroup
+            out.append((m.start(), m["name"], m[kind], m.start(kind), m.end(kind), True))
+    k = 0
+    for m in _PAIR.finditer(text):
+        while k < len(typed) and typed[k][1] <= m.start():
+            k += 1
+        if k == len(typed) or m.start() < typed[k][0]:  # else the type would be the value or the name
+            kind = m.lastgroup
+            out.append((m.start(), m["name"], m[kind], m.start(kind), m.end(kind), kind != "bare"))
+    return [p[1:] for p in sorted(out)]
 
 
 def assigned_spans(text: str) -> list[tuple]:
@@ -105,7 +145,7 @@ def scan_text(text: str) -> list[tuple]:
     """All spans of a text by (start, kind, end): base ones always, assigned ones that lie in no base one."""
     base = base_spans(text)
     found = {(s, k, e): (None, None) for s, e, k in base}
-    if "=" in text or ":" in text:
+    if _assigns(text):
         for s, e, k, name, score in assigned_spans(text):
             if not any(b[0] <= s and e <= b[1] for b in base):
                 held = found.get((s, k, e))

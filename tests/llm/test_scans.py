@@ -65,6 +65,25 @@ def test_assignments_and_constants():
     assert kinds("private_key: ${FROM_ENV_1234}") == []
 
 
+def test_assignment_forms():
+    key = "h8Fk29dkQz!x"
+    found = lambda text: {(k, text[a:b]) for k, a, b, _, _ in secrets.scan_text(text) if k in ("named", "flow")}
+    forms = [f"<db_pwd>{key}</db_pwd>", f"<c:db_pwd a='b'>\n  {key}\n</c:db_pwd>", f"<db_pwd><![CDATA[{key}]]></db_pwd>",
+             f'<property name="db_pwd" value="{key}"/>', f'<entry key="db_pwd">{key}</entry>', f'db_pwd: str = "{key}"',
+             f'db_pwd: Optional[str] = "{key}"', f"let dbPwd: string | null = '{key}';", f'val dbPwd: String? = "{key}"',
+             f'const DB_PWD: &\'static str = "{key}";', f'const dbPwd string = "{key}"', f'var dbPwd MyText = "{key}"',
+             f'    dbPwd string = "{key}"', f'String dbPwd = "{key}";', f'const string dbPwd = "{key}";', f'char db_pwd[] = "{key}";',
+             f"DECLARE @db_pwd varchar(20) = '{key}'", f'def f(a, db_pwd: str = "{key}"): pass']
+    assert [f for f in forms if found(f) != {("named", key)}] == []
+    assert found('A: str = "Zx81kQ0pLm2v"\ndb_pwd: str = A') == {("flow", "Zx81kQ0pLm2v")}
+    assert found('str = "Zx81kQ0pLm2v"\ndb_pwd: str = other') == set()
+    for literal in ("/9j4AAQSkZJRgABx+Qz1", "$2b$12$KIXQ9z0vYh3uPq", "%7Gk2!pQz91xW", "{SSHA}Zx81kQ0pLm2v==", "/k3J9x+Qm2/Lp0Zv8T="):
+        assert found(f'db_pwd = "{literal}"') == {("named", literal)}
+    for literal in ("/etc/ssl/Private-Key2.pem", "./config/secret_key.txt", "~/keys/id_rsa.pub", "${DB_PASSWORD}", "$DB_PASSWORD_1",
+                    "{{ db_password }}", "{db_password}", "%(db_password)s", "%DB_PASSWORD%", "<your-password-1>", "/var/run/s3cr3t/K9"):
+        assert found(f'db_pwd = "{literal}"') == set(), literal
+
+
 def test_licenses(spark):
     apache, gpl = licenses.TEMPLATES["Apache-2.0 notice"], licenses.TEMPLATES["GPL-3.0 line"]
     near = apache.replace("obtain", "get")
