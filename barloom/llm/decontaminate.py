@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import keep_columns, read
 
-# Edits allowed per character of an item, and the shortest item (in characters) that is looked for.
+# Edits allowed per character of an item, and the shortest item (in characters) that may have any; shorter ones are
+# looked for as they are, as whole words.
 ERROR_RATE, LEAST_CHARS = 0.05, 20
 # Characters of benchmark text that one automaton holds; more items make more automata.
 AUTOMATON_CHARS = 4_000_000
@@ -58,16 +59,22 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit continues over either border of the stretch."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+                or end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class Matcher:
-    """Automaton over the pieces of all items."""
+    """Automaton over the pieces of all items, which are numbered: ids may be null or shared."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items, owners = {}, {}
-        for item_id, text in items:
-            budget = int(len(text) * error_rate)
-            self.items[item_id] = text, budget
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, least: int = LEAST_CHARS):
+        self.items, owners = [], {}
+        for number, (item_id, text) in enumerate(items):
+            budget = int(len(text) * error_rate) if len(text) >= least else 0
+            self.items.append((item_id, text, budget, len(text) < least))
             for offset, piece in pieces(text, budget):
-                owners.setdefault(piece, []).append((item_id, offset))
+                owners.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, held in owners.items():
             self.automaton.add_word(piece, (len(piece), held))
@@ -75,16 +82,19 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple]:
-        """(item, distance, start, end) for each stretch within the budget, best first end of each region."""
+        """(item id, distance, start, end) for each stretch within the budget, best first end of each region."""
         if not self.items:
             return []
         origins: dict[int, set[int]] = {}
         for end, (size, held) in self.automaton.iter(text):
-            for item_id, offset in held:
-                origins.setdefault(item_id, set()).add(end + 1 - size - offset)
+            for number, offset in held:
+                origins.setdefault(number, set()).add(end + 1 - size - offset)
         out = []
-        for item_id, starts in sorted(origins.items()):
-            item, budget = self.items[item_id]
+        for number, starts in sorted(origins.items()):
+            item_id, item, budget, short = self.items[number]
+            if short:
+                out += [(item_id, 0, s, s + len(item)) for s in sorted(starts) if whole_words(text, s, s + len(item))]
+                continue
             regions: list[list[int]] = []
             for s in sorted(starts):  # an occurrence starts within the budget of where its whole piece puts it
                 lo, hi = max(0, s - budget), min(len(text), s + len(item) + budget)
@@ -103,37 +113,38 @@ class Matcher:
 _READY: dict[str, Matcher] = {}
 
 
-def _matcher(key: str, items: list[tuple[int, str]], error_rate: float) -> Matcher:
+def _matcher(key: str, items: list[tuple[int | None, str]], error_rate: float, least: int) -> Matcher:
     """One automaton per worker process and list of items."""
     if key not in _READY:
-        _READY[key] = Matcher(items, error_rate)
+        _READY[key] = Matcher(items, error_rate, least)
     return _READY[key]
 
 
 FOUND = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
 
 
-def _runner(shared, key: str, error_rate: float):
+def _runner(shared, key: str, error_rate: float, least: int):
     @F.arrow_udf(FOUND)
     def run(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()),
                                    ("end", pa.int64())]))
-        matcher = _matcher(key, shared.value, error_rate)
+        matcher = _matcher(key, shared.value, error_rate, least)
         names = ("item_id", "distance", "start", "end")
         return pa.array([[dict(zip(names, m, strict=True)) for m in matcher.find(normal(t.as_py()))] for t in texts], kind)
 
     return run
 
 
-def item_groups(benchmark: DataFrame, least: int = LEAST_CHARS, chars: int = AUTOMATON_CHARS):
-    """Items in groups of at most ``chars`` characters, a group at a time in driver memory."""
+def item_groups(benchmark: DataFrame, chars: int = AUTOMATON_CHARS):
+    """Distinct (id, normalised text) in groups of at most ``chars`` characters, a group at a time in driver memory."""
+    @F.arrow_udf("string")
+    def folded(texts: pa.Array) -> pa.Array:
+        return pa.array([normal(t.as_py()) for t in texts], pa.string())
+
     group, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(
-        "item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
+    rows = benchmark.select(F.col("item_id").cast("long"), folded(F.col("text").cast("string")).alias("text")).filter(
+        "text <> ''").distinct().orderBy(F.col("item_id").asc_nulls_last(), "text")
     for item_id, text in rows.toLocalIterator():
-        text = normal(text)
-        if len(text) < least:
-            continue
         if group and held + len(text) > chars:
             yield group
             group, held = [], 0
@@ -148,17 +159,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", error_rate:
     """``docs`` with ``leaks``: benchmark items found in each whole text within ``error_rate`` edits a character.
 
     Case and white space do not count; ``start`` and ``end`` are places in the normalised text. Null and empty
-    texts have no leaks; null items, items without id and items below ``least`` characters are not looked for;
-    of items with one id the last text counts. A column ``leaks`` is replaced. A benchmark of more than
+    texts have no leaks, null and empty items are in no text. Items below ``least`` characters are looked for without
+    edits, at word borders. Each text of an id is looked for, and texts without id are reported with a null id; rows
+    equal in id and normalised text are one. A column ``leaks`` is replaced. A benchmark of more than
     ``chars`` characters is sent in several groups, each bounded.
     """
     spark, found = docs.sparkSession, []
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    for group in item_groups(benchmark, least, chars):
+    for group in item_groups(benchmark, chars):
         shared = spark.sparkContext.broadcast(group)  # at most ``chars`` characters
-        key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}-{error_rate}"
-
-        found.append(_runner(shared, key, error_rate)(source))
+        key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}-{error_rate}-{least}"
+        found.append(_runner(shared, key, error_rate, least)(source))
     leaks = F.array().cast(FOUND) if not found else found[0] if len(found) == 1 else F.concat(*found)
     return docs.select(*[F.col(f"`{c}`") for c in keep_columns(docs, "leaks")], leaks.alias("leaks"))
 

@@ -158,6 +158,24 @@ def test_edit_matching(spark):
     assert decontaminate.scan(docs, bench.filter("false")).filter("size(leaks) > 0").count() == 0
 
 
+def test_every_benchmark_row_counts(spark, tmp_path):
+    first, second, other = (" ".join(f"{c}{i * 7 % 31}" for i in range(40)) for c in "abc")
+    bench = spark.createDataFrame([(1, first), (1, second), (1, second.upper()), (None, other), (2, "What is 6*7?"), (3, "tiny"), (4, " ")],
+                                  "item_id bigint, text string")
+    texts = [f"x {first} y", f"x {second} y", f"x {other} y", "say: what  is 6*7? ok", "somewhat is 6*7?", "Tiny! (tiny) destiny tinytiny", "tin y"]
+    docs = X.documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    want = {0: [1], 1: [1], 2: [None], 3: [2], 4: [], 5: [3, 3], 6: []}
+    for chars in (decontaminate.AUTOMATON_CHARS, 130, 1):  # never depends on where a group ends
+        got = {r.doc_id: r.leaks for r in decontaminate.scan(docs, bench, chars=chars).collect()}
+        assert {d: [m.item_id for m in v] for d, v in got.items()} == want
+        assert [(m.distance, m.start, m.end) for m in got[5]] == [(0, 0, 4), (0, 7, 11)]
+        assert [decontaminate.normal(texts[1])[m.start:m.end] for m in got[1]] == [second]
+    import corpus_pipeline
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 6]
+
+
 def test_benchmark_query_finds_whole_items(spark):
     docs, items = X.table("documents"), X.table("benchmark")
     want = {(d, i) for d, t in zip(docs.doc_id, docs.text, strict=True) for i, p in zip(items.item_id, items.text, strict=True)
