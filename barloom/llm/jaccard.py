@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest and exact verification."""
+"""N-gram Jaccard join by MinHash bands, the fixed-prefix form of an LSH forest, and exact verification."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from barloom.llm.components import components
 from barloom.llm.words import Rolling, flatten, scramble, words
 
 SHINGLE, LEAST = 5, 0.8
-# Trees of the forest, the length of their labels, and the recall of a pair at the least similarity.
+# Bands, the most hashes of a band, and the recall of a pair at the least similarity.
 TREES, DEPTH, RECALL = 24, 8, 0.99999
 # Members of a bucket compared by one task: larger buckets are cut into blocks, each pair of blocks a task.
 BLOCK = 1536
@@ -24,8 +24,8 @@ BLOCK = 1536
 def prefix_length(least: float = LEAST, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
     """Longest label prefix at which a pair of similarity ``least`` meets in some tree with chance ``recall``.
 
-    A prefix of k hashes matches with chance least ** k in one tree; from full labels on, prefixes are shortened
-    until all trees together reach the recall.
+    A prefix of k hashes matches with chance least ** k in one tree. The length is fixed before any text is read and
+    is the same for all: no longer labels are made, sorted or shortened by what they match.
     """
     for k in range(depth, 0, -1):
         if 1 - (1 - least**k) ** trees >= recall:
@@ -206,7 +206,7 @@ def classes(docs: DataFrame, text: str = "text", least: float = LEAST, trees: in
     different shingle sets. ``class_id`` is the least id of the connected component (null ids last, null if there
     is no other), (class_doc, class_th) its least document.
 
-    Documents with equal shingle sets are one text with a count. Texts meet in buckets of the forest; buckets
+    Documents with equal shingle sets are one text with a count. Texts meet in buckets of the bands; buckets
     with the same members are one, and each bucket's pairs are verified on the full sets. Buckets above
     ``block`` texts are verified block by block, so none is cut short. Documents without words are linked to
     nothing. The only loss is a pair that no tree brings together: chance 1 - ``recall`` at the least
