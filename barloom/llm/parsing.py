@@ -1,4 +1,4 @@
-"""Suffix-array dedup of repeated byte strings over a prefix-free parse."""
+"""Dedup of repeated byte strings by anchor hashes, in place of a suffix array over a prefix-free parse."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from barloom.llm.common import NO_ID, keep_columns, read
 from barloom.llm.repeats import merged, named, repeated
 from barloom.llm.words import BYTE, flatten
 
-# Length of a repeated string, longest phrase, and bytes of the rolling hash whose minima end phrases.
+# Length of a repeated string, positions among which its anchor is chosen, and bytes of the hash that chooses it.
 LENGTH, PHRASE, TRIGGER = 400, 200, 16
 
 
@@ -47,11 +47,9 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, phrase: int
     Removed is each byte of a text's UTF-8 covered by a string of ``length`` bytes that also starts anywhere
     else, in the same text or another; strings lie within one text and are judged on the input.
 
-    Rolling-hash triggers end phrases of at most ``phrase`` bytes. Phrase ends depend on content alone, so no
-    phrase suffix that ends in a trigger is the beginning of another, and a string is its phrase suffix up to the
-    first trigger (dictionary) followed by the phrases after it (parse). Strings are therefore put in order by the
-    parse's suffixes first (``core``, classes of ``full``) and by the dictionary's suffixes inside a class; only
-    equality down to ``length`` bytes counts here, so ranks are hashes of that depth and no global array is built.
+    This is not a prefix-free parse with a suffix array: no phrases, dictionary, parse or order of suffixes are made.
+    Strings are grouped by hashes of the anchors that their content chooses (``repeats``), the least hash of
+    ``trigger`` bytes among their first ``phrase`` positions. Equality of strings is that of 128-bit hashes.
 
     Null texts are empty and keep null ids; repeated rows remove each other if they are long enough. Columns of
     the names added are replaced; no rows give no rows.

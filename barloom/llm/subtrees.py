@@ -1,4 +1,4 @@
-"""Substring dedup by prefix-partitioned suffix trees over words."""
+"""Dedup of repeated word windows by anchor hashes, in place of prefix-partitioned suffix trees."""
 
 from __future__ import annotations
 
@@ -49,11 +49,10 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, reach: int
     Removed is each word covered by ``window`` consecutive words of a text that also start in a text with a
     smaller id; windows are judged on the input. Words are runs without ASCII white space, unchanged.
 
-    Suffixes are split by prefix: first by the words every suffix of an anchor shares (``core``), where prefixes
-    met in one document alone are leaves and leave; then by the longer prefix ``full``, where equal ones are one
-    branch with its least document; last by whole windows, the nodes of depth ``window``, only below cores that
-    branch. Prefixes are addressed by hashes and dealt over all tasks, so a group is an aggregate, not a tree in
-    one task's memory, and a prefix held by a third of all rows is combined before it is shuffled.
+    These are not prefix-partitioned suffix trees: no subtree, memory-sized prefix group or maximal repeat is made.
+    Windows are grouped by hashes of the anchors that their content chooses (``repeats``): by the words every window
+    of an anchor shares (``core``), by all words around it (``full``, with the least document), and one by one only
+    where a core has several classes. Groups are aggregates dealt over all tasks, combined before the shuffle.
 
     Null texts are empty; null ids come after all others, so rows without id lose what any row with one holds
     and nothing to each other, as do rows with equal ids. Columns of the names added are replaced.
