@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, jaccard, licenses, mixing, parsing, secrets, sharding, subtrees, topk, toxicity
+from barloom.llm import decontaminate, jaccard, licenses, mixing, parsing, secrets, sharding, spelling, subtrees, topk, toxicity
 
 QUERIES = {
     "op1_secret_lexer": (secrets.query, None),
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_hilbert_shards": (sharding.query, None),
     "op9_pivotal_mix": (mixing.query, None),
     "op10_jaccard_forest": (jaccard.query, jaccard.SQL),
+    "op11_spelling_trees": (spelling.query, spelling.SQL),
 }
