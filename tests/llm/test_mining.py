@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
-from barloom.llm import spelling
+import numpy as np
+
+from barloom.llm import phrases, spelling
 from tests.llm import fixture as X
 
 
@@ -75,3 +77,69 @@ def test_spelling_variants(spark):
 def test_no_words(spark):
     assert spelling.variants(X.documents(spark, [])).count() == 0
     assert spelling.variants(X.documents(spark, [(1, "once", None, None), (2, None, None, None)])).count() == 0
+
+
+def collocations(rows, least=30, report=2000):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = (text or "").translate(str.maketrans(phrases.ASCII_UPPER, phrases.ASCII_LOWER))
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for i in range(len(w)):
+                for k in range(1, min(4, len(w) - i) + 1):
+                    f[lang, tuple(w[i:i + k])] += 1
+    found = {x: a for x, a in f.items() if len(x[1]) > 1 and a >= least}
+    inside = {}
+    for (lang, w), a in found.items():
+        for m in range(2, len(w)):
+            for s in range(len(w) - m + 1):
+                inside[lang, w[s:s + m]] = max(a, inside.get((lang, w[s:s + m]), 0))
+    out = set()
+    for lang in n:
+        kept = []
+        for (other, w), a in found.items():
+            if other == lang and 100 * inside.get((lang, w), 0) < 80 * a:
+                cuts = [(2000000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+                score, k = min(cuts)
+                kept.append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(kept)[:report], 1):
+            out.add((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return out
+
+
+def awkward_phrases():
+    rng = random.Random(9)
+    vocabulary = ["aa", "Bb", "c-", "dé", "É", "x\x01", "x", "a\xa0b", "(", "z" * 600, "Z" * 600]
+    rows = [(rng.choice(["en", "en", "de", None, "und"]), rng.choice(" \t").join(rng.choices(vocabulary, k=rng.randint(0, 40))))
+            for _ in range(300)]
+    rows += [("fr", "un deux trois quatre. " * 45), ("fr", "un deux trois;un deux trois\nquatre" * 40), ("es", "solo una vez")]
+    return rows + [(None, None), ("en", ""), ("en", " .,. "), ("en", "long tail " * 3000)]
+
+
+def test_collocations(spark):
+    rows = awkward_phrases()
+    docs = X.documents(spark, [(i, text, lang, None) for i, (lang, text) in enumerate(rows)])
+    for options in ({}, {"dictionary": 0}, {"held": 50, "gathered": 40, "region": 64}, {"least": 45, "report": 7, "region": 1}):
+        got = {tuple(r) for r in phrases.collocations(docs, **options).collect()}
+        want = collocations(rows, options.get("least", 30), options.get("report", 2000))
+        assert got == want, options
+    assert phrases.collocations(X.documents(spark, [])).count() == 0
+    assert phrases.collocations(X.documents(spark, [(1, "a b", None, None)])).count() == 0
+
+
+def test_filter_is_lossless():
+    rng = np.random.default_rng(3)
+    for k, bits, region_bits in ((2, 1, 0), (2, 17, 3), (3, 5, 6), (3, 21, 2), (4, 17, 4), (4, 32, 9)):
+        layout = phrases.Layout(k, bits, region_bits)
+        rows = rng.integers(1, 1 << bits, (4000, k)).astype(np.uint32)
+        rows = np.concatenate([rows, rows[:500], np.repeat(rows[:1], 700, axis=0)])
+        made, back = phrases.Filter(layout, 300, 200), Counter()
+        blocks = [b for b in made.add(*layout.scrambled(list(rows.T)))] + list(made.send())
+        for batch in blocks:
+            for region, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                hi, lo, count = phrases.decode(layout, region, block)
+                for w, c in zip(layout.words(hi, lo).astype(np.uint32).tolist(), count.tolist(), strict=True):
+                    back[tuple(w)] += c
+        assert back == Counter(map(tuple, rows.tolist()))
