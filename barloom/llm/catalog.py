@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, jaccard, licenses, mixing, parsing, phrases, secrets, sharding, spelling, subtrees, topk, toxicity
+from barloom.llm import decontaminate, jaccard, licenses, mixing, parsing, personal, phrases, secrets, sharding, spelling, subtrees, topk, toxicity
 
 QUERIES = {
     "op1_secret_lexer": (secrets.query, None),
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_jaccard_forest": (jaccard.query, jaccard.SQL),
     "op11_spelling_trees": (spelling.query, spelling.SQL),
     "op12_quotient_phrases": (phrases.query, phrases.SQL),
+    "op13_boosted_pii": (personal.query, None),
 }

@@ -1,14 +1,16 @@
 """Spelling variants, phrases and personal data."""
 
+import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from barloom.llm import phrases, spelling
+from barloom.llm import personal, phrases, spelling
 from tests.llm import fixture as X
 
 
@@ -143,3 +145,109 @@ def test_filter_is_lossless():
                 for w, c in zip(layout.words(hi, lo).astype(np.uint32).tolist(), count.tolist(), strict=True):
                     back[tuple(w)] += c
         assert back == Counter(map(tuple, rows.tolist()))
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    doubled = [2 * int(c) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")),
+                    "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def awkward_personal():
+    rng = random.Random(11)
+    alphabet = ["1", "2", "4", "0", ".", "-", " ", "+", "@", "a", "é", "(", ")", "_", "4111111111111111", "a@b.co", "\U0001F600", "x.y",
+                "255", "256", "+1 (234) 567-8901", "10.0.0.1"]
+    rows = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(700)]
+    rows += ["a@b.cd_e@f.gh", "a@b", "@b.c", "a@b..c", "0010.1.1.1", "1.2.3.4.5.6.7.8", "1" * 40, "4111 1111-1111 1111", "4111  1111",
+             "\U0001F600 é a@b.co", "1.2.3.4\n5", "\u0661\u0662.1.1.1", "+1+1 234567890", "x" * 500 + "@y.z"]
+    return rows + [None, "", " ", *[r[1] for r in X.ROWS]]
+
+
+def test_personal_base_spans(spark):
+    texts = awkward_personal()
+    docs = X.documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in personal.propose(docs).select("doc_id", "base", "proposed").collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert [tuple(s) for s in got[i].base] == want, t
+        for c in got[i].proposed:
+            assert c.end - c.start <= personal.REACH or c.gen < 0
+            assert c.free == (not any(s < c.end and c.start < e for _, s, e in want))
+    assert personal.scan(X.documents(spark, [])).count() == 0
+
+
+def test_personal_query(spark):
+    docs = X.table("documents")
+    got = {r.doc_id: r for r in personal.query(spark, X.SF).collect()}
+    assert len(got) == len(docs)
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        spans = [f"{k}:{s}:{e}" for k, s, e in base_spans(text)]
+        assert got[doc].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert got[doc].spans.split(",")[:len(spans)] == (spans or [""])[:len(spans)]
+        assert got[doc].n_email == sum(s.startswith("email:") for s in spans)
+
+
+def test_added_spans_and_redaction(spark):
+    rng = random.Random(2)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(good):
+        while True:
+            c = "4" + number(15)
+            if luhn(c) == good:
+                return c
+
+    rows = [f"pay with {card(i % 2 == 0)} or call +1 (555) {number(3)}-{number(4)} on 2020-{number(2)}-{number(2)}" for i in range(200)]
+    rows += [f"mail jo.{i}@site{i}.example.com from 10.{i}.3.4, version 3.{300 + i}.2.1 costs {number(6)}.{number(2)}" for i in range(200)]
+    rows += [f"ids {i} {number(5)} and 12.{number(2)}.{number(4)}" for i in range(100)]
+    pair = [card(True), card(True)]
+    special = {"two": f"cards {pair[0]} {pair[1]} end", "dots": "card 4111.1111.1111.1111 end", "wrong": f"order {card(False)} end",
+               "phone": "call +1 (555) 123-4567 10.20.30.40 end", "date": "on 2020-01-02 at 12:30:45 end", "none": "plain words"}
+    rows += special.values()
+    docs = X.documents(spark, [(i, t, None, None) for i, t in enumerate(rows)])
+    model = personal.fit(personal.propose(docs))
+    assert model.trees and len(model.thresholds) >= 4
+    again = personal.fit(personal.propose(docs.repartition(3)))
+    assert again == model
+    found = personal.redact(personal.scan(docs, model)).collect()
+    assert all(len(r.personal) == len({(s.start, s.end) for s in r.personal}) for r in found)
+    last = dict(zip(special, found[-len(special):], strict=True))
+    texts = {k: {(s.kind, r.text[s.start:s.end]) for s in r.personal} for k, r in last.items()}
+    assert texts["two"] == {("card_more", pair[0]), ("card_more", pair[1])}
+    assert texts["wrong"] == texts["date"] == texts["none"] == set()
+    assert ("phone_more", "+1 (555) 123-4567") in texts["phone"] and ("ip", "10.20.30.40") in texts["phone"]
+    assert last["two"].redacted == "cards [card_more] [card_more] end" and last["none"].redacted == "plain words"
+    for r in found:
+        want, at = "", 0
+        for kind, s, e in sorted(((x.kind, x.start, x.end) for x in r.personal), key=lambda x: x[1:]):
+            if s >= at:
+                want += r.text[at:s] + f"[{kind}]"
+            at = max(at, e)
+        assert r.redacted == want + r.text[at:]
+
+
+def test_personal_in_long_texts(spark):
+    texts = {"1" * 300_000: 0, "1 " * 150_000: 0, "a" * 300_000 + "@": 0, "a@" * 150_000: 0, "1." * 150_000: 37_500, "+1" + " " * 300_000: 0,
+             "a.b@c.d " * 20_000: 20_000, "é" * 300_000 + " 10.0.0.1": 1, "+1 234 567 8901, " * 10_000: 10_000}
+    docs = X.documents(spark, [(i, t, None, None) for i, t in enumerate(texts)]).repartition(4)
+    start = time.time()
+    got = {r.doc_id: r.base for r in personal.propose(docs).select("doc_id", "base").collect()}
+    assert time.time() - start < 60
+    for i, (t, n) in enumerate(texts.items()):
+        assert len(got[i]) == n
+        assert {t[s.start:s.end] for s in got[i]} <= {"1.1.1.1", "a.b@c.d", "10.0.0.1", "+1 234 567 8901"}
