@@ -13,12 +13,14 @@ only series larger than ``rows_per_block`` are cut.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.session import settle
+
 BLOCK = "_block"
 OWN = "_own"
 ONLY = "_only"
@@ -31,7 +33,10 @@ SAMPLES_PER_BLOCK = 32
 
 @dataclass(frozen=True)
 class Fold:
-    """A running aggregate: inside a block, per block, and how the two join."""
+    """A running aggregate: inside a block, per block, and how the two join.
+
+    A backward one runs over the rows in reverse: its frame grows from the end, so no row is read again for another.
+    """
 
     local: Column
     total: Callable[[Column], Column]
@@ -81,9 +86,9 @@ def last_set(value: Column, strict: bool = False) -> Fold:
 def next_set(value: Column, strict: bool = False) -> Fold:
     """Next non-null value from here on (backward fill)."""
     return Fold(
-        F.first(value, ignorenulls=True),
+        F.last(value, ignorenulls=True),
         lambda order: F.min_by(value, F.when(value.isNotNull(), order)),
-        lambda c: F.first(c, ignorenulls=True),
+        lambda c: F.last(c, ignorenulls=True),
         _first_set, strict, backward=True,
     )
 
@@ -98,6 +103,7 @@ class Ordered:
     split: bool
     position: Column | None = None
     size: int = 0
+    folded: bool = False
 
     @classmethod
     def on_grid(cls, df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
@@ -184,7 +190,7 @@ class Ordered:
 
     def on(self, df: DataFrame) -> Ordered:
         """The same layout over a frame derived from this one."""
-        return Ordered(df, self.keys, self.order, self.split, self.position, self.size)
+        return Ordered(df, self.keys, self.order, self.split, self.position, self.size, self.folded)
 
     @property
     def window(self) -> WindowSpec:
@@ -195,27 +201,31 @@ class Ordered:
         return F.shiftleft(F.col(BLOCK), 32) + F.row_number().over(self.window)
 
     def running(self, **folds: Fold) -> Ordered:
-        """Add running aggregates over the whole series of each key."""
-        w, order = self.window, F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
-        lo, hi = Window.unboundedPreceding, Window.unboundedFollowing
+        """Add running aggregates over the whole series of each key.
+
+        Rows and block totals both read this frame, so one that already holds such aggregates is written first: a chain
+        of them reads each step twice, not twice as often as the step before.
+        """
+        if self.split and self.folded:
+            self = self.on(settle(self.df, "folded"))
+        order = F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
 
-        def frame(fold: Fold, spec: WindowSpec, strict: bool) -> WindowSpec:
-            edge = int(strict)
-            return spec.rowsBetween(edge, hi) if fold.backward else spec.rowsBetween(lo, -edge)
+        def frame(fold: Fold, keys: Sequence[str], order: Sequence[str], strict: bool) -> WindowSpec:
+            by = [F.col(c).desc() if fold.backward else F.col(c) for c in order]
+            return Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -int(strict))
 
         inside = self.df.withColumns(
-            {name: f.local.over(frame(f, w, f.strict)) for name, f in folds.items()}
+            {name: f.local.over(frame(f, (*self.keys, BLOCK), self.order, f.strict)) for name, f in folds.items()}
         )
         if not self.split:
             return self.on(inside)
         totals = self.df.groupBy(*self.keys, BLOCK).agg(
             *[f.total(order).alias(f"_t_{name}") for name, f in folds.items()]
         )
-        blocks = Window.partitionBy(*self.keys).orderBy(BLOCK)
         carried = totals.select(
             *self.keys, BLOCK,
             *[
-                f.carry(F.col(f"_t_{name}")).over(frame(f, blocks, True)).alias(f"_c_{name}")
+                f.carry(F.col(f"_t_{name}")).over(frame(f, self.keys, (BLOCK,), True)).alias(f"_c_{name}")
                 for name, f in folds.items()
             ],
         )
@@ -223,7 +233,7 @@ class Ordered:
         merged = joined.withColumns(
             {name: f.merge(F.col(name), F.col(f"_c_{name}")) for name, f in folds.items()}
         ).drop(*[f"_c_{name}" for name in folds])
-        return self.on(merged)
+        return replace(self.on(merged), folded=True)
 
     def with_frames(self, *stages: Callable[[WindowSpec], dict[str, Column]],
                     back: int = 0, ahead: int = 0) -> Ordered:

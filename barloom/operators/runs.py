@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered, last_set, next_set, running_max, running_sum
+from barloom.operators.ordering import BLOCK, GRID_ROWS_PER_BLOCK, Ordered, running_max, running_sum
 from barloom.session import join_per_key, settle
 
 TINY = 1e-12
@@ -127,29 +127,69 @@ def closed_trades(log: DataFrame, key: str = "run_id", rows_per_block: int = GRI
     Rewards add up until a flat action finds a non-zero sum, which it closes with its own reward. A flat row
     that finds zero keeps its reward for the next trade. So between flat rows one bit travels: whether the
     last one was idle. Each flat row maps that bit by one of four functions (to a constant, kept, flipped), and
-    the bit at a row is the last constant, flipped as often as was asked since: two running folds.
+    the bit at a row is the last constant, flipped as often as was asked since.
+
+    Only the first flat row of a block has to know what came before it. The rows after it are worked out inside
+    the block for either bit; a block becomes one row (sums, first and last flat row, map of the bit, last close
+    for either bit), windows over those rows find what enters each block, and one join brings it to the rows.
     """
     series = Ordered.on_steps(log.select(key, "step", "action", F.col("reward").cast(EXACT).alias("_r")),
                               [key], "step", rows_per_block)
-    flat = F.col("action") == FLAT
-    rows = series.running(_sum=running_sum(F.col("_r")), _next=next_set(F.col("step"), strict=True))
-    rows = rows.running(_was=last_set(F.when(flat, F.struct(F.col("_sum"), F.col("_r"))), strict=True))
-    gap = F.col("_sum") - F.col("_r") - F.coalesce("_was._sum", F.lit(0))
-    idle = gap + F.coalesce("_was._r", F.lit(0)) == 0
-    rows = rows.on(rows.df.withColumns({"_busy": gap == 0, "_idle": idle}))
-    rows = rows.running(_flips=running_sum(F.when(flat & F.col("_busy") & ~F.col("_idle"), 1).otherwise(0)))
-    constant = flat & (F.col("_busy") == F.col("_idle"))
-    rows = rows.running(_last=last_set(F.when(constant, (F.col("_busy").cast("long") + F.col("_flips")) % 2)))
-    closes = flat & ((F.coalesce("_last", F.lit(0)) + F.col("_flips")) % 2 == 0)
-    rows = rows.on(rows.df.withColumn("_closes", closes)).running(
-        _before=last_set(F.when(F.col("_closes"), F.col("_sum")), strict=True))
-    open_sum = F.col("_sum") - F.coalesce("_before", F.lit(0))
-    last = F.col("_next").isNull()
+    now = series.window.rowsBetween(Window.unboundedPreceding, 0)
+    before = series.window.rowsBetween(Window.unboundedPreceding, -1)
+    flat, later = F.col("action") == FLAT, F.col("_later")
+    last = lambda c: F.last(c, ignorenulls=True)
+    rows = series.df.withColumn("_sum", F.sum("_r").over(now))
+    rows = rows.withColumns({
+        "_was": last(F.when(flat, F.struct("_sum", "_r"))).over(before),
+        "_first": F.first(F.when(flat, F.struct("_sum", "_r")), ignorenulls=True).over(now),
+        "_next": F.lead("step").over(series.window)})
+    gap = F.col("_sum") - F.col("_r") - F.col("_was._sum")
+    rows = rows.withColumns({"_later": flat & F.col("_was").isNotNull(), "_busy": gap == 0, "_idle": gap + F.col("_was._r") == 0})
+    rows = rows.withColumn("_flips", F.sum(F.when(later & F.col("_busy") & ~F.col("_idle"), 1).otherwise(0)).over(now))
+    constant = later & (F.col("_busy") == F.col("_idle"))
+    rows = rows.withColumn("_set", last(F.when(constant, (F.col("_busy").cast("long") + F.col("_flips")) % 2)).over(now))
+
+    def bit(entry: Column) -> Column:
+        """The bit at a row, if it is ``entry`` after the first flat row of the block."""
+        return (F.coalesce(F.col("_set"), entry) + F.col("_flips")) % 2
+
+    closed = {f"_c{e}": F.when(later & (bit(F.lit(e)) == 0), F.col("_sum")) for e in (0, 1)}
+    rows = rows.withColumns({c: last(v).over(before) for c, v in closed.items()} | {f"_n{c}": v for c, v in closed.items()})
+
+    end = F.struct("_sum", "_flips", "_set", "_first", F.coalesce("_n_c0", "_c0").alias("_c0"), F.coalesce("_n_c1", "_c1").alias("_c1"),
+                   F.when(flat, F.struct("_sum", "_r")).otherwise(F.col("_was")).alias("_flat"))
+    ends = rows.groupBy(key, BLOCK).agg(F.max_by(end, "step").alias("_e")).select(key, BLOCK, "_e.*")
+    along = Window.partitionBy(key).orderBy(BLOCK)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_from", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast(EXACT))
+    ends = ends.withColumns({
+        "_flat": last(F.when(F.col("_flat").isNotNull(), F.struct((F.col("_from") + F.col("_flat._sum")).alias("_sum"), F.col("_flat._r")))).over(earlier),
+        "_ends": F.lead(BLOCK).over(along).isNull()})
+    gap = F.col("_from") + F.col("_first._sum") - F.col("_first._r") - F.coalesce("_flat._sum", F.lit(0))
+    ends = ends.withColumns({"_busy": (gap == 0).cast("long"), "_idle": (gap + F.coalesce("_flat._r", F.lit(0)) == 0).cast("long")})
+    fixed = F.when(F.col("_set").isNotNull(), (F.col("_set") + F.col("_flips")) % 2).when(
+        F.col("_busy") == F.col("_idle"), (F.col("_busy") + F.col("_flips")) % 2)
+    turned = F.when(fixed.isNotNull() | F.col("_first").isNull(), 0).otherwise((F.col("_flips") + F.col("_busy")) % 2)
+    ends = ends.withColumns({"_fixed": fixed, "_turned": turned})
+    ends = ends.withColumn("_turns", F.sum("_turned").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_enters", (F.coalesce(last(F.when(F.col("_fixed").isNotNull(), (F.col("_fixed") + F.col("_turns")) % 2)).over(earlier), F.lit(0))
+                                       + F.col("_turns") - F.col("_turned")) % 2)
+    ends = ends.withColumn("_bit", F.when(F.col("_enters") == 1, F.col("_idle")).otherwise(F.col("_busy")))
+    shut = F.when(F.col("_bit") == 0, F.coalesce("_c0", "_first._sum")).otherwise(F.col("_c1"))
+    ends = ends.withColumn("_shut", last(F.col("_from") + shut).over(earlier))
+
+    rows = rows.join(ends.select(key, BLOCK, "_from", "_bit", "_shut", "_ends"), [key, BLOCK])
+    closes = flat & F.when(later, bit(F.col("_bit")) == 0).otherwise(F.col("_bit") == 0)
+    # The last close before the row: in this block after its first flat row, at that row, or in an earlier block.
+    inside = F.when(F.col("_bit") == 1, F.col("_c1")).otherwise(F.coalesce("_c0", F.when(F.col("_was").isNotNull(), F.col("_first._sum"))))
+    open_sum = F.col("_from") + F.col("_sum") - F.coalesce(F.col("_from") + inside, F.col("_shut"), F.lit(0))
+    rows = rows.withColumns({"_closes": closes, "_open": open_sum.cast(EXACT), "_last": F.col("_next").isNull() & F.col("_ends")})
     made = F.array_compact(F.array(
-        F.when(F.col("_closes"), F.struct(open_sum.alias("trade_return"), F.lit(False).alias("is_open"))),
-        F.when(last, F.struct(F.when(F.col("_closes"), 0).otherwise(open_sum).cast(EXACT).alias("trade_return"),
-                              F.lit(True).alias("is_open")))))
-    return rows.df.select(key, "step", F.inline(made)).withColumn("trade_return", F.col("trade_return").cast("double"))
+        F.when(F.col("_closes"), F.struct(F.col("_open").alias("trade_return"), F.lit(False).alias("is_open"))),
+        F.when(F.col("_last"), F.struct(F.when(F.col("_closes"), 0).otherwise(F.col("_open")).cast(EXACT).alias("trade_return"),
+                                        F.lit(True).alias("is_open")))))
+    return rows.select(key, "step", F.inline(made)).withColumn("trade_return", F.col("trade_return").cast("double"))
 
 
 def trade_metrics(trades: DataFrame, key: str = "run_id") -> DataFrame:
@@ -207,7 +247,8 @@ def _discounted(series: Ordered, value: str, factor: float, out: str) -> DataFra
     rows = series.df.select(*keys, step, F.col(value).cast("double").alias("_x")).withColumns({
         "_part": F.floor(F.col(step) / length), "_at": F.pmod(F.col(step), F.lit(length))})
     scaled = F.col("_x") * F.pow(F.lit(factor), F.col("_at"))
-    rest = Window.partitionBy(*keys, "_part").orderBy(step).rowsBetween(0, Window.unboundedFollowing)
+    # From the last row of a stretch backwards: a frame that grows, not one that is summed again for each row.
+    rest = Window.partitionBy(*keys, "_part").orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*keys, "_part").agg(F.sum(scaled).alias("_t"))
     before = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("_j"))
     carried = before.groupBy(*keys, (F.col("_part") - F.col("_j")).alias("_part")).agg(
