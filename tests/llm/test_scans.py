@@ -224,3 +224,33 @@ def test_pooling_in_steps_is_whole(monkeypatch):
     whole = net.score(*toxicity.tokens(texts))
     monkeypatch.setattr(toxicity, "STEP", 3)
     assert np.allclose(whole, net.score(*toxicity.tokens(texts)))
+
+
+def test_toxicity_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 12, n)) for n in (1, 2, 3, 5, 9, 14)]
+    word, stem, first = toxicity.tokens(pa.array(texts))
+    y = np.array([0, 1, 1, 0, 1, 0], np.float32)
+    net = toxicity.Network.fresh(3)
+    net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    net.params["word"] *= 5
+
+    def loss():
+        p = np.clip(net.score(word, stem, first), 1e-12, 1 - 1e-12)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grads = net.gradients(word, stem, first, y)
+    checked = 0
+    for name, grad in grads.items():
+        flat, held = grad.ravel(), net.params[name].reshape(-1)
+        rows = np.flatnonzero(flat)
+        for at in rng.choice(rows, min(12, len(rows)), replace=False):
+            was, step = held[at], 1e-3
+            held[at] = was + step
+            up = loss()
+            held[at] = was - step
+            down = loss()
+            held[at] = was
+            assert abs((up - down) / (2 * step) - flat[at]) < 2e-3 + 0.02 * abs(flat[at]), name
+            checked += 1
+    assert checked > 60
