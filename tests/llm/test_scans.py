@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,50 @@ def test_assignment_forms():
         assert found(f'db_pwd = "{literal}"') == set(), literal
 
 
+def test_lexing_takes_linear_time():
+    """Every shape at 200,000 and 400,000 characters, and one of 10 MB without a space: no step reads a stretch again and again."""
+    shapes = ['password = "/' + "12345." * 3, "a", "a=", "a:", "a = ", '="', "='", '="x\\"', "<a ", "<a>", "<a><![CDATA[", "a:b[", "a:b<", "a b = ",
+              "a[", "[1]=", "<a b=", "<a:", "x:[", "p:Map<a, ", "k?: ", "name ", "/a/b.c-1 ", '="\\', "a string = ", "varchar(2) = ", ":" , "=", "a | "]
+    for shape in shapes:
+        for n in (200_000, 400_000):
+            text = (shape * (n // len(shape) + 1))[:n] + "!x"
+            start = time.time()
+            secrets.scan_text(text)
+            assert time.time() - start < 5, shape
+    for text in ("password = \"/" + "12345." * 50_000 + "!x\"", "a" * 10_000_000 + '="h8Fk29dkQz!x"', 'db_pwd="' + "x1" * 5_000_000 + '"',
+                 "<db_pwd " + "a" * 5_000_000 + ">h8Fk29dkQz!x</db_pwd>", "db_pwd: " + "List[" * 1_000_000 + "]" * 1_000_000 + ' = "h8Fk29dkQz!x"'):
+        start = time.time()
+        found = secrets.scan_text(text)
+        assert time.time() - start < 20
+        assert ("h8Fk29dkQz!x" in text and "db_pwd" in text) == any(k == "named" and text[s:e] == "h8Fk29dkQz!x" for k, s, e, _, _ in found)
+
+
+def test_lexer_against_written_programs():
+    """Random programs of which every pair is known, with fillers between statements."""
+    r = random.Random(21)
+    word = lambda: r.choice("abcxyz") + "".join(r.choices("abcxyzABC_0", k=r.randint(0, 9)))
+    literal = lambda: "".join(r.choices("abcXYZ0189!%/+", k=r.randint(1, 20)))
+    types = ["str", "Optional[str]", "Dict[str, List[int]]", "string | null", "&'static str", "&mut Text", "String?", "Map<a, B<c>>"]
+    forms = [lambda n, v: f'{n} = "{v}"', lambda n, v: f"{n}='{v}';", lambda n, v: f'"{n}": "{v}",', lambda n, v: f"x['{n}'] = \"{v}\"",
+             lambda n, v: f"{n} => '{v}'", lambda n, v: f'{n} := "{v}"', lambda n, v: f'  {n}: {r.choice(types)} = "{v}"',
+             lambda n, v: f'{n} string = "{v}"', lambda n, v: f"DECLARE @{n} varchar(20) = '{v}'", lambda n, v: f'{n}[8] = "{v}";',
+             lambda n, v: f"{n}?: {r.choice(types)} = b'{v}'", lambda n, v: f"String {n} = \"{v}\";", lambda n, v: f"f({n}={v})"]
+    fillers = ["if (a == b) {", "x != y", "// plain words", "a::b()", "see http://some.host/p", "i += 1", "<br>", "don't", ""]
+    for _ in range(400):
+        want, text = [], ""
+        for _ in range(r.randint(1, 8)):
+            if r.random() < 0.4:
+                text += r.choice(fillers) + "\n"
+                continue
+            name, value = word(), literal()
+            line = r.choice(forms)(name, value) + "\n"
+            at = len(text) + line.rindex(value, 0, len(line) - 1)
+            want.append((name, value, at, at + len(value)))
+            text += line
+        got = [p[:4] for p in secrets.pairs(text)]
+        assert [w for w in want if w not in got] == [], text
+
+
 def test_licenses(spark):
     apache, gpl = licenses.TEMPLATES["Apache-2.0 notice"], licenses.TEMPLATES["GPL-3.0 line"]
     near = apache.replace("obtain", "get")
