@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.catalog.fixtures import FEATURES, cut, factors, hourly_bars, r6, report, with_views
 from barloom.catalog.fixtures import HOUR
-from barloom.operators import resample, sampling, selection
+from barloom.operators import boosting, gram, resample, sampling, selection
 from barloom.operators.ordering import Ordered
 from barloom.session import settle
 
@@ -127,39 +126,122 @@ def _scaled_sql() -> str:
         f"\nSELECT vec_id, {r6(*FEATURES)} FROM y"
 
 
-def trees(spark, sf):
-    """Importance on a target made of two features: they rank first and hold nearly all of it."""
-    made_of = factors(spark, sf).withColumn("y", 3 * F.col("f3") + F.when(F.col("f5") > 0, 0.5).otherwise(-0.5))
-    made = selection.tree_importance(made_of, FEATURES, "y", depth=4, trees=5)
-    share = F.sum("importance").over(Window.partitionBy(F.lit(0)))
-    ranked = made.withColumns({"strong": F.col("importance") >= 0.1 * share, "bounded": F.col("importance").between(0, 1)})
-    return ranked.select("feature", "strong", "bounded")
+TREES, DEPTH, RATE = 3, 2, 0.1
 
 
-SQL_TREES = with_views(["fx_factors"], n="select unnest(['f1','f2','f3','f4','f5','f6','f7','f8']) feature") + """
-SELECT feature, feature IN ('f3', 'f5') strong, (SELECT count(*) FROM fx_factors) > 0 bounded FROM n"""
+def trees(spark, sf):
+    """Importance of each factor for each label and horizon, all in one run."""
+    made_of = settle(_targets(spark, sf).withColumn("label", F.col("label").cast("long")), "targets")
+    return report(selection.tree_importance(made_of, FEATURES, H, ["label"], trees=TREES, depth=DEPTH, rate=RATE))
 
 
 def boosted(spark, sf):
-    """Every row with a target gets a prediction, and together they are nearer than the mean."""
-    made = settle(selection.boosted_prediction(_targets(spark, sf), FEATURES, "target_1", trees=5), "predicted")
-    error, spread = made.agg(F.sum((F.col("target_1") - F.col("prediction")) ** 2),
-                             F.count("*") * F.var_pop("target_1")).first()
-    return report(made.select("vec_id", "target_1", F.lit(error < spread).alias("nearer")))
+    """Prediction of each row by trees over all rows."""
+    made_of = settle(_targets(spark, sf), "targets")
+    return report(selection.boosted_prediction(made_of, FEATURES, "target_1", ["vec_id"], trees=TREES, depth=DEPTH, rate=RATE))
+
+
+def tree_errors(spark, sf):
+    """Mean absolute error of the trees and of the median alone, for each label and horizon."""
+    made_of = settle(_targets(spark, sf).withColumn("label", F.col("label").cast("long")), "targets")
+    made = boosting.boosted(made_of, FEATURES, {h: f"target_{h}" for h in H}, ["label"], trees=TREES, depth=DEPTH, rate=RATE)
+    return report(made.errors())
+
+
+def _tree_views(key: str, horizons) -> dict:
+    """The same trees level by level in SQL: bins, signs by (node, feature, bin), best split, medians of leaves."""
+    by = "k, h"
+    views = TARGET_VIEWS | {
+        "ft": f"select {key}::bigint k, vec_id, unnest([{', '.join(FEATURES)}]) v, unnest(range(8)) pos from t",
+        "q": f"select k, pos, quantile_cont(v, [{', '.join(f'{i}/16' for i in range(1, 16))}]) q from ft group by all",
+        "bn": "select vec_id, list(len(list_filter(q, lambda c: c < v)) order by pos) b from ft join q using (k, pos) group by vec_id",
+        "r0": " union all ".join(f"select {key}::bigint k, vec_id, {h} h, target_{h} y from t where target_{h} is not null" for h in horizons),
+        "s0": f"select {by}, median(y) start from r0 group by all",
+        "p0": "select r0.*, start, start pred, b from r0 join s0 using (k, h) join bn using (vec_id)",
+    }
+    gains = []
+    for t in range(TREES):
+        views[f"n{t}_0"] = f"select *, 1 node from p{t}"
+        for d in range(DEPTH):
+            n, s = f"n{t}_{d}", f"s{t}_{d}"
+            views[f"h{t}_{d}"] = f"""select {by}, node, pos, bin, sum(g) g, count(*) n from (select {by}, node, sign(y-pred)::bigint g,
+                unnest(b) bin, unnest(range(8)) pos from {n}) group by all"""
+            views[f"c{t}_{d}"] = f"""select *, sum(g) over o gl, sum(n) over o nl, sum(g) over a ga, sum(n) over a na from h{t}_{d}
+                window o as (partition by {by}, node, pos order by bin), a as (partition by {by}, node, pos)"""
+            views[f"g{t}_{d}"] = f"""select {by}, node, pos, bin, gl::double*gl/nl + (ga-gl)::double*(ga-gl)/(na-nl) - ga::double*ga/na gain
+                from c{t}_{d} where nl < na"""
+            views[s] = f"""select {by}, node, pos, bin, gain from g{t}_{d} where gain > 1e-9
+                qualify row_number() over (partition by {by}, node order by gain desc, pos, bin) = 1"""
+            views[f"n{t}_{d + 1}"] = f"""select a.* exclude (node), case when s.pos is null then a.node
+                else 2*a.node + (b[s.pos+1] > s.bin)::int end node from {n} a left join {s} s using (k, h, node)"""
+            gains.append(f"select {by}, pos, gain from {s}")
+        views[f"l{t}"] = f"select {by}, node, median(y-pred) m from n{t}_{DEPTH} group by all"
+        views[f"p{t + 1}"] = f"select a.* exclude (node, pred), pred + {RATE}*m pred from n{t}_{DEPTH} a join l{t} using (k, h, node)"
+    views["gs"] = f"select {by}, pos, sum(gain) gain from (" + " union all ".join(gains) + ") group by all"
+    views["im"] = f"""select {by}, 'f' || (pos+1) feature, coalesce(100*gain/sum(gain) over (partition by {by}), 0) importance
+        from (select * from s0, range(8) f(pos)) left join gs using ({by}, pos)"""
+    return views
+
+
+SQL_TREES = with_views(["fx_factors"], **_tree_views("label", H)) + f"""
+SELECT k AS label, feature, h AS horizon, {r6('importance')} FROM im"""
+SQL_TREE_ERRORS = with_views(["fx_factors"], **_tree_views("label", H), er=f"""select k, h, avg(abs(y-pred)) error, avg(abs(y-start)) base_error
+    from p{TREES} group by all""") + f"""
+SELECT k AS label, h AS horizon, {r6('error', 'base_error')} FROM er"""
+SQL_BOOSTED = with_views(["fx_factors"], **_tree_views("0", (1,))) + f"""
+SELECT vec_id, {r6('y')}, {cut('pred', 'prediction')} FROM p{TREES}"""
+
+
+def _lasso(spark, sf, keys=()):
+    """Coefficients, penalty and error of the lasso path over consecutive folds."""
+    made_of = factors(spark, sf).withColumns({"y": 2 * F.col("f2") - F.col("f7") + F.col("r") / 2, "label": F.col("label").cast("long")})
+    return report(gram.lasso(made_of, FEATURES, "y", folds=5, order="vec_id", keys=keys))
 
 
-SQL_BOOSTED = with_views(["fx_factors"], **TARGET_VIEWS) + f"""
-SELECT vec_id, {r6('target_1')}, true nearer FROM t WHERE target_1 IS NOT NULL"""
+def lasso(spark, sf):
+    return _lasso(spark, sf)
 
 
-def lasso(spark, sf):
-    """Lasso over consecutive folds on a target of known support: the features found and their signs."""
-    made_of = factors(spark, sf).withColumn("y", 2 * F.col("f2") - F.col("f7"))
-    made = selection.lasso_features(made_of, FEATURES, "y", folds=5, order="vec_id")
-    return made.where("abs(coefficient) > 1e-2").select("feature", F.signum("coefficient").cast("int").alias("sign"))
+def lasso_labels(spark, sf):
+    """The same for each label by itself."""
+    return _lasso(spark, sf, ["label"])
 
 
-SQL_LASSO = """SELECT * FROM (VALUES ('f2', 1), ('f7', -1)) t(feature, sign)"""
+def _lasso_sql(key: str) -> str:
+    """The path by coordinate descent in SQL: 60 sweeps from zero for each key, fold left out and penalty."""
+    name = "label, " if key != "0" else ""
+    xs = ", ".join(f"f{i}" for i in range(1, 9))
+    return with_views(
+        ["fx_factors"],
+        d=f"""select {key}::bigint k, vec_id, 2*f2-f7+r/2 y, [{xs}] x, cast(floor((vec_id-min(vec_id) over ())*5/
+            (max(vec_id) over ()-min(vec_id) over ()+1)) as int) fold from fx_factors""",
+        u="select k, vec_id, fold, y, unnest(x) v, generate_subscripts(x, 1) j from d",
+        m="select k, j, avg(v) a, stddev_pop(v) s from u group by all",
+        z="""select k, vec_id, fold, any_value(y) - avg(any_value(y)) over (partition by k) y, list((v-a)/s order by j) z
+            from u join m using (k, j) group by k, vec_id, fold""",
+        # Rows that a path is fitted on: all but a fold, or (fold -1) all.
+        t="select k, h, z.y, z.z from z, range(-1, 5) r(h) where h = -1 or fold <> h",
+        e="select k, h, y, unnest(z) v, generate_subscripts(z, 1) j, z from t",
+        c="select k, h, j, covar_pop(v, y) c from e group by all",
+        g="""select k, h, j, i, covar_pop(v, w) g from (select k, h, j, v, unnest(z) w, generate_subscripts(z, 1) i from e) group by all""",
+        gj="select k, h, j, list(g order by i) row from g group by all",
+        f="select k, h, list(row order by j) gram, list(c order by j) cr from gj join c using (k, h, j) group by k, h",
+        top="select k, max(abs(c)) top from c where h = -1 group by k",
+        **{"path(k, h, i, alpha, step, w)": """select k, h, i, top * pow(0.001, i/99), 0, [0.0::double for q in range(8)]
+                from f join top using (k), range(100) r(i)
+            union all select k, h, i, alpha, step+1, [case when q = j then sign(nu)*greatest(abs(nu)-alpha, 0)/gram[j][j] else w[q] end
+                for q in range(1, 9)]
+            from (select p.*, gram, step % 8 + 1 j, cr[step % 8 + 1] - list_dot_product(gram[step % 8 + 1], w)
+                + gram[step % 8 + 1][step % 8 + 1] * w[step % 8 + 1] nu from path p join f using (k, h) where step < 480)"""},
+        done="select k, h, i, alpha, w from path where step = 480",
+        b="select k, h, list(a order by j) mu, any_value(b) nu from (select k, h, j, avg(v) a, avg(y) b from e group by all) group by k, h",
+        err="""select k, h, i, avg(pow((z.y - nu) - list_dot_product(w, [z.z[q] - mu[q] for q in range(1, 9)]), 2)) e
+            from done join b using (k, h) join z using (k) where z.fold = h group by all""",
+        best="select k, arg_min(i, (e, i)) i, min(e) e from (select k, i, avg(e) e from err group by all) group by k",
+        o="""select k, alpha penalty, e error, unnest(w) coefficient, 'f' || generate_subscripts(w, 1) feature
+            from done join best using (k, i) where h = -1""",
+    ).replace("WITH", "WITH RECURSIVE", 1) + f"""
+SELECT {"k label, " if name else ""}feature, {r6('coefficient', 'penalty', 'error')} FROM o"""
 
 
 def vectors(spark, sf):
@@ -302,8 +384,10 @@ QUERIES = {
     "repruned_selection": (repruned, SQL_REPRUNED),
     "power_of_ten_scale": (scaled, _scaled_sql()),
     "tree_importance": (trees, SQL_TREES),
+    "tree_errors": (tree_errors, SQL_TREE_ERRORS),
     "boosted_prediction": (boosted, SQL_BOOSTED),
-    "lasso_features": (lasso, SQL_LASSO),
+    "lasso_features": (lasso, _lasso_sql("0")),
+    "lasso_labels": (lasso_labels, _lasso_sql("label")),
     "feature_vectors": (vectors, SQL_VECTORS),
     "supervised_pairs": (pairs, SQL_PAIRS),
     "clipped_values": (clipped, SQL_CLIPPED),

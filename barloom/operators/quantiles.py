@@ -4,39 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
 from barloom.session import join_per_key, settle
 
 
+# Bins of a counting pass; two passes tell BINS squared stretches of a column's range apart.
+BINS = 4096
+
+
+def _place(value: Column, lo: Column, hi: Column) -> Column:
+    """Position of a value between the least and the greatest finite one, in bins; never falls where values rise."""
+    v = value.cast("double")
+    inside = F.when(hi > lo, F.least(F.greatest((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS, F.lit(0.0)), F.lit(BINS - 0.5))).otherwise(0.0)
+    return F.when(F.isnan(v), F.lit(BINS + 1.0)).when(v == float("inf"), F.lit(float(BINS))).when(
+        v == float("-inf"), F.lit(-1.0)).otherwise(inside)
+
+
+def _wanted(counts: DataFrame, by: Sequence[str], step: str, offsets: DataFrame) -> DataFrame:
+    """The bin ``step`` that holds each of ``offsets`` (by, name, at), with the offset in it. Bins have counts ``_n``."""
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(step))
+    bins = counts.withColumn("_upto", upto)
+    inside = (F.col("at") >= F.col("_upto") - F.col("_n")) & (F.col("at") < F.col("_upto"))
+    found = bins.join(offsets, list(by)).where(inside)
+    return found.select(*by, step, "name", (F.col("at") - F.col("_upto") + F.col("_n")).alias("at"))
+
+
 def values_at_ranks(df: DataFrame, keys: Sequence[str], column: str,
                     ranks: Mapping[str, Callable[[Column], Column]],
                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Per key, the values at 0-based ranks given as functions of the group size.
+    """Per key that is not null, the values at 0-based ranks given as functions of the group size.
 
-    Spark's ``percentile`` holds all distinct values of a group in one buffer.
-    Here distinct values are counted, ranked by an ordered pass over blocks, and
-    the wanted ones are picked by a map-side combined aggregate.
+    Spark's ``percentile`` holds all distinct values of a group in one buffer. Here a pass finds each key's range, two
+    count it in bins and in the bins of the wanted bins, and the last selects the values of the few stretches that hold
+    a wanted rank: only bin counts and those values are shuffled, whatever the number of rows and distinct values. The
+    values of a stretch are counted and ranked in blocks, so one that holds a third of all rows is one row, and a
+    stretch that takes in nearly the whole column (its range set by outliers) is still ranked exactly.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    # Read by the size check, the ranking and the totals.
-    counts = settle(counts, "counts")
-    ranked = Ordered.on_events(counts, keys, ["_v"], rows_per_block).running(_upto=running_sum(F.col("_n"))).done()
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        rows = join_per_key(ranked, sizes, keys)
-    else:
-        # A single row: read once and used as a value.
-        rows = ranked.withColumn("_size", F.lit(sizes.first()[0]))
-
-    def at(rank: Column) -> Column:
-        inside = (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    return rows.groupBy(*keys, "_size").agg(*[at(rank(F.col("_size"))).alias(name) for name, rank in ranks.items()])
+    own = [*keys] or ["_all"]
+    rows = df.where(F.col(column).isNotNull()).select(*keys, *([] if keys else [F.lit(0).alias("_all")]), F.col(column).alias("_v"))
+    finite = F.when(~F.isnan(F.col("_v").cast("double")) & (F.abs(F.col("_v").cast("double")) < float("inf")), F.col("_v").cast("double"))
+    limits = settle(rows.groupBy(*own).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.count(F.lit(1)).alias("_size")), "limits")
+    placed = rows.join(limits.select(*own, F.coalesce("_lo", F.lit(0.0)).alias("_lo"), F.coalesce("_hi", F.lit(0.0)).alias("_hi")), own)
+    placed = placed.withColumn("_x", _place(F.col("_v"), F.col("_lo"), F.col("_hi"))).select(
+        *own, "_v", F.floor("_x").alias("_coarse"), F.floor((F.col("_x") - F.floor("_x")) * BINS).alias("_fine"))
+    at = F.inline(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_size")).cast("long").alias("at")) for name, rank in ranks.items()]))
+    offsets = limits.select(*own, at)
+    for step in ("_coarse", "_fine"):
+        by = own if step == "_coarse" else [*own, "_coarse"]
+        here = placed if step == "_coarse" else placed.join(offsets.select(*by).distinct(), by)
+        counts = settle(here.groupBy(*by, step).agg(F.count(F.lit(1)).alias("_n")), "bins")
+        offsets = settle(_wanted(counts, by, step, offsets), "offsets")
+    bins = [*own, "_coarse", "_fine"]
+    values = settle(placed.join(offsets.select(*bins).distinct(), bins).groupBy(*bins, "_v").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    ranked = Ordered.on_events(values, bins, ["_v"], rows_per_block).running(_upto=running_sum(F.col("_n"))).done()
+    found = ranked.join(offsets, bins).where((F.col("at") >= F.col("_upto") - F.col("_n")) & (F.col("at") < F.col("_upto")))
+    picked = found.groupBy(*own).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return join_per_key(picked, limits.select(*own, "_size"), own).drop(*([] if keys else ["_all"]))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float],

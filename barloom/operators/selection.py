@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
+from barloom.operators import boosting, gram
 from barloom.operators.ordering import ROWS_PER_BLOCK, Ordered, running_sum
 from barloom.session import join_per_key, settle
 
 # Fixed default horizons, in rows.
 HORIZONS = (1, 6, 12)
-# Columns whose pairwise sums a task holds at once; wider tables are read tile by tile.
-TILE = 256
-# Share of a sum of squares below which a variance is rounding.
-SAME = 1e-13
 
 
 def forward_targets(series: Ordered, price: str, horizons: Sequence[int] = HORIZONS) -> DataFrame:
@@ -134,56 +124,15 @@ def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic")
     return first.orderBy("_o").select("feature", F.col("_o.horizon").alias("horizon"), F.abs("_o.down").alias("score"))
 
 
-def _tile_sums(width: int, shift: np.ndarray, left: int, right: int):
-    """Sums of the rows where both columns are set, for each column of one tile with each of another."""
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = None
-        for pdf in frames:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1) - shift
-            seen = ~np.isnan(x)
-            x, k = np.where(seen, x, 0.0), seen.astype(float)
-            a, b = slice(0, width), slice(width if left != right else 0, None)
-            made = np.stack([k[:, a].T @ k[:, b], x[:, a].T @ k[:, b], k[:, a].T @ x[:, b], (x[:, a] ** 2).T @ k[:, b],
-                             k[:, a].T @ x[:, b] ** 2, x[:, a].T @ x[:, b]])
-            sums = made if sums is None else sums + made
-        if sums is not None:
-            i, j = np.indices(sums.shape[1:])
-            keep = i + left < j + right
-            yield pd.DataFrame({"i": (i + left)[keep], "j": (j + right)[keep]}
-                               | {c: v[keep] for c, v in zip(names, sums, strict=True)})
-    return run
-
-
-def correlations(df: DataFrame, features: Sequence[str], tile: int = TILE) -> DataFrame:
-    """FS5: (f1, f2, corr) of every unordered pair of columns, over the rows where both are set.
-
-    Each partition adds up matrix products of values and masks, a pair of column tiles at a time, so only sums
-    per pair are shuffled, any number of columns takes the same path, and nothing but the columns' minima (which
-    the values are counted from) leaves Spark. A column that is constant where both are set has no correlation.
+def correlations(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """FS5: (keys, f1, f2, corr) of every unordered pair of columns, over the rows where both are set.
+
+    One scan adds up the pair sums of all columns (``gram.pair_sums``); nothing but the columns' minima, which the
+    values are counted from, leaves Spark. A column that is constant where both are set has no correlation.
     """
     least = dict(df.select(_long(features)).groupBy("pos").agg(F.min("col")).collect())
-    shift = np.array([least.get(i) or 0.0 for i in range(len(features))])
-    starts, parts = range(0, len(features), tile), []
-    for left in starts:
-        for right in starts:
-            if right < left:
-                continue
-            a, b = range(left, min(left + tile, len(features))), range(right, min(right + tile, len(features)))
-            used = [*a] if left == right else [*a, *b]
-            values = F.array(*[F.col(f"`{features[i]}`").cast("double") for i in used]).alias("x")
-            parts.append(df.select(values).mapInPandas(
-                _tile_sums(len(a), shift[used], left, right),
-                "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"))
-    sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    vx, vy = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") ** 2 for c in "xy")
-    varies = (vx > SAME * F.col("n") * F.col("sxx")) & (vy > SAME * F.col("n") * F.col("syy"))
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    names = F.array(*[F.lit(f) for f in features])
-    return sums.select(F.get(names, F.col("i").cast("int")).alias("f1"), F.get(names, F.col("j").cast("int")).alias("f2"),
-                       F.when(varies, cov / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+    shift = [least.get(i) or 0.0 for i in range(len(features))]
+    return gram.correlation(gram.pair_sums(df, features, keys, shift), features, keys)
 
 
 def prune_correlated(ordered: Sequence[str], corr: DataFrame, threshold: float = 0.7) -> list[str]:
@@ -213,58 +162,23 @@ def select_features(df: DataFrame, scores: DataFrame, ic_threshold: float, corr_
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
-def _assembled(df: DataFrame, features: Sequence[str], target: str, out: str) -> DataFrame:
-    """All rows with a target and a vector of the features; unset ones count 0, as after cleaning."""
-    vector = array_to_vector(F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]))
-    return df.where(F.col(target).isNotNull()).withColumn(out, vector)
-
-
-def tree_importance(df: DataFrame, features: Sequence[str], target: str, depth: int = 6, trees: int = 20,
-                    step: float = 0.1, seed: int = 0) -> DataFrame:
-    """FS7, FS12: boosted-tree importance of each feature (absolute loss)."""
-    data = _assembled(df, features, target, "features")
-    model = GBTRegressor(
-        featuresCol="features", labelCol=target, maxDepth=depth, maxIter=trees, stepSize=step,
-        lossType="absolute", seed=seed, checkpointInterval=10,
-    ).fit(data.select("features", target))
-    pairs = [F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance"))
-             for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    return df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
+def tree_importance(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS,
+                    keys: Sequence[str] = (), **options) -> DataFrame:
+    """FS7: (keys, feature, horizon, importance) of boosted trees of every horizon's target (absolute loss)."""
+    made = boosting.boosted(df, features, {h: f"target_{h}" for h in horizons}, keys, **options)
+    return made.importance.select(*keys, "feature", "horizon", "importance")
 
 
-def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, depth: int = 4, trees: int = 20,
-                       step: float = 0.1, seed: int = 0) -> DataFrame:
-    """FS12: boosted-tree regression of the target; adds ``prediction``."""
-    data = _assembled(df, features, target, "_features")
-    model = GBTRegressor(featuresCol="_features", labelCol=target, maxDepth=depth, maxIter=trees,
-                         stepSize=step, seed=seed).fit(data)
-    return model.transform(data).drop("_features")
+def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, ids: Sequence[str], keys: Sequence[str] = (),
+                       **options) -> DataFrame:
+    """FS12: (keys, ids, y, prediction) of boosted trees of the target."""
+    made = boosting.boosted(df, features, {0: target}, keys, ids, **options)
+    return made.rows.select(*keys, *[c for c in ids if c not in keys], "y", "prediction")
 
 
-def lasso_features(df: DataFrame, features: Sequence[str], target: str,
-                   penalties: Sequence[float] = (1e-3, 1e-2, 1e-1), folds: int = 5, order: str | None = None,
-                   seed: int = 0) -> DataFrame:
-    """FS8: lasso on standardised inputs, penalty by cross-validation; non-zero coefficients.
-
-    With ``order`` (a dense position) folds are consecutive stretches, so rows next to a tested one are not
-    trained on; without it they are random.
-    """
-    data = _assembled(df, features, target, "_raw")
-    fold = F.lit(0)
-    if order is not None:
-        low, high = data.agg(F.min(order), F.max(order)).first()
-        fold = F.floor((F.col(order) - low) * folds / (high - low + 1)).cast("int")
-    data = data.select("_raw", F.col(target).alias("label"), fold.alias("fold"))
-    scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data)
-    lasso = LinearRegression(elasticNetParam=1.0, maxIter=200, standardization=False)
-    grid = ParamGridBuilder().addGrid(lasso.regParam, list(penalties)).build()
-    best = CrossValidator(estimator=lasso, estimatorParamMaps=grid, evaluator=RegressionEvaluator(),
-                          numFolds=folds, seed=seed, parallelism=2, foldCol="fold" if order is not None else "",
-                          ).fit(scaled.select("features", "label", "fold")).bestModel
-    pairs = [F.struct(F.lit(f).alias("feature"), F.lit(float(c)).alias("coefficient"))
-             for f, c in zip(features, best.coefficients.toArray(), strict=True)]
-    rows = df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
-    return rows.where("coefficient <> 0")
+def lasso_features(df: DataFrame, features: Sequence[str], target: str, **options) -> DataFrame:
+    """FS8: features that the lasso of ``gram.lasso`` keeps, with their coefficients."""
+    return gram.lasso(df, features, target, **options).where("coefficient <> 0")
 
 
 def power_of_ten_scale(df: DataFrame, columns: Sequence[str], clip: float = 10.0) -> DataFrame:

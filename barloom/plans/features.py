@@ -24,11 +24,13 @@ class FeatureOptions:
     horizons: Sequence[int] = selection.HORIZONS
     ic_threshold: float = 0.01
     correlation_threshold: float = 0.7
-    method: str = "ic"  # or "rank_ic"
+    method: str = "ic"  # or "rank_ic", or "tree": importance of boosted trees, in percent
     price: str = "mark_price"
     quote_order: Sequence[str] = ("ts",)
     ticker_order: Sequence[str] = ("ts",)
     rolling_columns: Sequence[str] = field(default_factory=lambda: ("mark_price",))
+    trees: int = 20
+    depth: int = 6
     rows_per_block: int = ROWS_PER_BLOCK
     grid_rows: int = GRID_ROWS_PER_BLOCK
 
@@ -95,8 +97,13 @@ def feature_table(trades: DataFrame, quotes: DataFrame, ticker: DataFrame, book:
     candidates = [c for c in full.columns if c not in {*environment, *aims} and c in numeric]
     casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in candidates]
     full = settle(full.selectExpr(*environment, *aims, *casts), "full")
-    score = selection.rank_coefficients if options.method == "rank_ic" else selection.information_coefficients
-    scores = settle(score(full, candidates, options.horizons), "scores")
+    if options.method == "tree":
+        found = selection.tree_importance(full, candidates, options.horizons, trees=options.trees, depth=options.depth)
+        found = found.withColumnRenamed("importance", "ic")
+    else:
+        score = selection.rank_coefficients if options.method == "rank_ic" else selection.information_coefficients
+        found = score(full, candidates, options.horizons)
+    scores = settle(found, "scores")
     chosen = selection.select_features(full, scores, options.ic_threshold, options.correlation_threshold)
     names = [row["feature"] for row in chosen.orderBy("rank").collect() if row["feature"]]
     table = full.select(*environment, *names)

@@ -3,6 +3,7 @@
 import math
 import re
 import time
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ def test_feature_table(spark):
     assert all(s is None or s == 0 or 1 - 1e-9 <= s < 10 for s in stats if s is None or not math.isnan(s))
 
 
+def test_feature_table_by_trees(spark):
+    options = replace(OPTIONS, method="tree", trees=2, depth=2, ic_threshold=5.0)
+    made = feature_table(fixtures.trades(spark, SF), fixtures.quotes(spark, SF), fixtures.ticker(spark, SF), options=options)
+    scores = {r.feature: r.ic for r in made.scores.collect()}
+    assert made.features and all(scores[f] > 5 for f in made.features) and abs(sum(scores.values()) - 100) < 1e-6
+    assert made.features[0] == max(scores, key=scores.get)
+
+
 def test_rows_are_not_dealt_by_the_series_key(spark):
     """A key may hold a third of all rows: per-key tables come to the rows, not the other way round."""
     bars = fixtures.settle(fixtures.hourly_bars(spark, SF).select("symbol", "bucket", "close"), "bars")
