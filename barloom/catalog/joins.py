@@ -197,6 +197,35 @@ SQL_SWEEP = with_views(
 ) + f"\nSELECT symbol, held_rows, {r6('upper', 'lower', 'profit')} FROM t"
 
 
+# The published grid of (short, mid, long) spans.
+SPANS = ((30, 60, 120), (60, 120, 240), (120, 240, 360), (15, 30, 60), (6, 15, 30), (3, 15, 60), (15, 45, 90))
+
+
+def span_sweep(spark, sf):
+    from barloom.operators.signals import span_sweep as sweep
+
+    return report(sweep(hourly_bars(spark, sf), HOUR, SPANS))
+
+
+SQL_SPANS = with_views(
+    ["fx_bars"],
+    n="""select symbol, row_number() over (partition by symbol order by bucket) i, "close" c,
+        coalesce(lead("close") over (partition by symbol order by bucket)-"close", 0) gain from fx_bars""",
+    g=f"select * from (values {', '.join(map(str, SPANS))}) g(short, mid, long)",
+    **{"walk(symbol, short, mid, long, i, c, gain, mt, mb, lt, lb, dif, dt, db)": """
+        select symbol, short, mid, long, i, c, gain, c, 1::double, c, 1::double, 0::double, 0::double, 1::double from n, g where i=1
+        union all select symbol, short, mid, long, i, c, gain, mt, mb, lt, lb, d, dt*(1-2.0::double/(short+1))+d, db*(1-2.0::double/(short+1))+1
+        from (select *, case when abs(mt/mb-lt/lb) > 1e-12*abs(c) then mt/mb-lt/lb else 0 end d
+            from (select w.symbol, short, mid, long, n.i, n.c, n.gain, mt*(1-2.0::double/(mid+1))+n.c mt, mb*(1-2.0::double/(mid+1))+1 mb,
+                lt*(1-2.0::double/(long+1))+n.c lt, lb*(1-2.0::double/(long+1))+1 lb, dt, db
+                from walk w join n on n.symbol=w.symbol and n.i=w.i+1))"""},
+    m="select *, case when abs(dif-dt/db) > 1e-12*abs(c) then dif-dt/db else 0 end macd from walk",
+    d="select *, case when macd>0 and dif>0 then 1 when macd*dif<=0 then null else -1 end s from m",
+    h="select *, last_value(s ignore nulls) over (partition by symbol, short, mid, long order by i) held from d",
+    t="select symbol, short, mid, long, sum(coalesce(held, 0)*gain) profit, count(held) held_rows from h group by all",
+).replace("WITH", "WITH RECURSIVE", 1) + f"\nSELECT symbol, short, mid, long, held_rows, {r6('profit')} FROM t"
+
+
 def union_lists(spark, sf):
     """Name lists of two horizons merged in order of first appearance."""
     t = trades(spark, sf)
@@ -221,5 +250,6 @@ QUERIES = {
     "index_runs": (index_runs, SQL_INDEX_RUNS),
     "hash_sample": (sample, SQL_SAMPLE),
     "parameter_sweep": (parameter_sweep, SQL_SWEEP),
+    "span_sweep": (span_sweep, SQL_SPANS),
     "ordered_union": (union_lists, SQL_UNION_LISTS),
 }

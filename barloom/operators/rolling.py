@@ -21,6 +21,8 @@ from barloom.session import join_per_key, settle
 TINY = 1e-12
 # Fixed default windows, in bars.
 WINDOWS = (2, 6, 12, 16, 24, 48)
+# Spans of exponential means up to this many times the shortest one are made together.
+TOGETHER = 4
 # Columns per select; wider projections leave whole-stage code generation anyway
 # and slow down analysis.
 PER_BLOCK = 200
@@ -249,28 +251,43 @@ def _ewm_reach(span: int) -> int:
     return reach
 
 
-def exponential_means(df: DataFrame, column: str, spans: Mapping[str, int], seconds: int,
-                      keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
-    """RW23: exponentially weighted means (``adjust=True``), one column per span.
+def exponential_columns(df: DataFrame, means: Mapping[str, tuple[str, int]], seconds: int,
+                        keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
+    """RW23: exponentially weighted means (``adjust=True``): ``means`` gives a name its (column, span).
 
     A mean is a discounted sum over the discounted number of values; unset
     values only age the others. Rows are cut into stretches in which no weight
     falls below 1e-8: inside one, discounted sums are plain window sums of
     values scaled by their place. The sums of the stretches before come in as
     one row per stretch, from as many of them as double precision can tell.
-    Needs a dense grid.
+    Spans within a factor of ``TOGETHER`` share stretches, so neither many short
+    stretches reach back nor do weights vanish inside one. Needs a dense grid.
     """
-    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    if min(spans.values()) <= 1:
+    if min(span for _, span in means.values()) <= 1:
         raise ValueError("a span must be above 1")
+    classes: list[dict[str, tuple[str, int]]] = []
+    for name, (column, span) in sorted(means.items(), key=lambda m: m[1][1]):
+        if not classes or span > TOGETHER * min(s for _, s in classes[-1].values()):
+            classes.append({})
+        classes[-1][name] = (column, span)
+    parts = [_stretched(df, some, seconds, keys, ts) for some in classes]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.join(part.drop(*[c for c in df.columns if c not in {*keys, ts}]), [*keys, ts])
+    return made.select(*df.columns, *means)
+
+
+def _stretched(df: DataFrame, means: Mapping[str, tuple[str, int]], seconds: int, keys: Sequence[str], ts: str) -> DataFrame:
+    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, (_, span) in means.items()}
     length = max(1, int(-math.log(1e8) / math.log(min(keep.values()))))
-    back = max(_ewm_reach(span) for span in spans.values()) // length + 2
+    back = max(_ewm_reach(span) for _, span in means.values()) // length + 2
     place = F.floor(F.unix_seconds(ts) / seconds)
-    rows = df.select(*keys, ts, column).withColumns({"_part": F.floor(place / length), "_at": F.pmod(place, F.lit(length))})
-    value, seen = F.col(column), F.col(column).isNotNull().cast("double")
+    rows = df.withColumns({"_part": F.floor(place / length), "_at": F.pmod(place, F.lit(length))})
     inside = Window.partitionBy(*keys, "_part").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    terms = {name: (F.coalesce(value, F.lit(0.0)) / F.pow(F.lit(w), F.col("_at")), seen / F.pow(F.lit(w), F.col("_at")))
-             for name, w in keep.items()}
+    terms = {}
+    for name, w in keep.items():
+        value, scale = F.col(means[name][0]), F.pow(F.lit(w), F.col("_at"))
+        terms[name] = (F.coalesce(value, F.lit(0.0)) / scale, value.isNotNull().cast("double") / scale)
     totals = rows.groupBy(*keys, "_part").agg(*[
         (F.sum(t[i]) * w ** (length - 1)).alias(f"_{'vn'[i]}_{name}")
         for name, w in keep.items() for t in (terms[name],) for i in (0, 1)])
@@ -285,8 +302,34 @@ def exponential_means(df: DataFrame, column: str, spans: Mapping[str, int], seco
         aged = F.coalesce(F.col(f"_c{x}_{name}"), F.lit(0.0)) * F.pow(F.lit(w), F.col("_at") + 1)
         return F.col(f"_{x}_{name}") * F.pow(F.lit(w), F.col("_at")) + aged
 
-    return joined.select(*keys, ts, column, *[
-        ratio(total("v", name, w), total("n", name, w)).alias(name) for name, w in keep.items()])
+    return joined.select(*df.columns, *[ratio(total("v", name, w), total("n", name, w)).alias(name) for name, w in keep.items()])
+
+
+def exponential_means(df: DataFrame, column: str, spans: Mapping[str, int], seconds: int,
+                      keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
+    """RW23: exponentially weighted means of one column, one per span."""
+    return exponential_columns(df.select(*keys, ts, column), {name: (column, span) for name, span in spans.items()}, seconds, keys, ts)
+
+
+def _difference(a: str, b: str, column: str) -> Column:
+    """Difference of two columns; rounding noise of the price (a series that does not move) is exactly 0."""
+    apart = F.col(a) - F.col(b)
+    return F.when(F.abs(apart) > TINY * F.abs(F.col(column)), apart).otherwise(F.lit(0.0))
+
+
+def macd_sets(df: DataFrame, column: str, seconds: int, sets: Mapping[str, tuple[int, int, int]],
+              keys: Sequence[str] = ("symbol",), ts: str = "bucket") -> DataFrame:
+    """SG1, JN10: ``dif``, ``dea`` and ``macd`` of every (short, mid, long) set, as columns ending in its name.
+
+    All sets share the passes over the rows: one for the means of the price, one
+    for the means of the differences. No row is copied per set.
+    """
+    spans = {f"_e{n}": (column, n) for n in sorted({n for s in sets.values() for n in s[1:]})}
+    means = exponential_columns(df.select(*keys, ts, column), spans, seconds, keys, ts)
+    fast = means.select(*keys, ts, column, *[
+        _difference(f"_e{mid}", f"_e{long}", column).alias(f"dif{name}") for name, (_, mid, long) in sets.items()])
+    both = exponential_columns(fast, {f"dea{name}": (f"dif{name}", short) for name, (short, _, _) in sets.items()}, seconds, keys, ts)
+    return both.withColumns({f"macd{name}": _difference(f"dif{name}", f"dea{name}", column) for name in sets})
 
 
 def macd(df: DataFrame, column: str, seconds: int, short: int = 9, mid: int = 12, long: int = 26,
@@ -296,15 +339,7 @@ def macd(df: DataFrame, column: str, seconds: int, short: int = 9, mid: int = 12
     Decisions turn on the sign of DIF and MACD, so differences that are rounding
     noise of the price (a series that does not move) are exactly 0.
     """
-    def difference(a: str, b: str) -> Column:
-        apart = F.col(a) - F.col(b)
-        return F.when(F.abs(apart) > TINY * F.abs(F.col(column)), apart).otherwise(F.lit(0.0))
-
-    means = exponential_means(df, column, {"_mid": mid, "_long": long}, seconds, keys, ts)
-    fast = means.withColumn("dif", difference("_mid", "_long")).select(*keys, ts, column, "dif")
-    slow = exponential_means(fast, "dif", {"dea": short}, seconds, keys, ts)
-    both = fast.join(slow.drop("dif"), [*keys, ts])
-    return both.withColumn("macd", difference("dif", "dea"))
+    return macd_sets(df, column, seconds, {"": (short, mid, long)}, keys, ts)
 
 
 def decayed_mean(series: Ordered, column: str, length: int, decay: float, out: str) -> Ordered:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
@@ -93,11 +93,22 @@ def supervised_pairs(series: Ordered, columns: Sequence[str], price: str) -> Dat
 def hash_sample(df: DataFrame, identity: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """SL8: ``n`` rows without replacement, the same ones on every run.
 
-    The draw order is a hash of the row's identity, so this is a distributed
-    top-n and not a sort of the table.
+    The draw order is a hash of the row's identity. Two counting passes over the hash's first digits find the least
+    beginning that leaves enough rows; rows below it are taken by a filter, and only those that share it, a part in
+    16**8 of the table, are put in order.
     """
     draw = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in identity], F.lit(str(seed))))
-    return df.withColumn("_draw", draw).orderBy("_draw", *identity).limit(n).drop("_draw")
+    rows, below, edge = df.withColumn("_draw", draw), 0, ""
+    for width in (4, 8):
+        start = F.substring("_draw", 1, width)
+        counts = rows.where(F.col("_draw").startswith(edge)).groupBy(start.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        # At most 16**4 rows.
+        upto = counts.withColumn("u", F.sum("c").over(Window.orderBy("p"))).where(F.col("u") >= n - below).agg(F.min(F.struct("p", "u", "c"))).first()[0]
+        if upto is None:
+            return df
+        edge, below = upto["p"], below + upto["u"] - upto["c"]
+    sure, rest = rows.where(start < edge), rows.where(start == edge).orderBy("_draw", *identity).limit(n - below)
+    return sure.unionByName(rest).drop("_draw")
 
 
 def clip(df: DataFrame, column: str, low: float, high: float, out: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
+from barloom.operators import rolling
 from barloom.operators.joins import parameter_grid
 from barloom.operators.ordering import (
     GRID_ROWS_PER_BLOCK,
@@ -54,6 +55,25 @@ def sweep_profit(bars: DataFrame, seconds: int, grid: Sequence[Mapping[str, floa
         F.sum(side * F.coalesce("gain", F.lit(0.0))).alias("profit"), F.count_if(side != 0).alias("held_rows"))
 
 
+def span_sweep(bars: DataFrame, seconds: int, sets: Sequence[tuple[int, int, int]], rows_per_block: int = GRID_ROWS_PER_BLOCK) -> DataFrame:
+    """JN10 with SG1, SG2 and SG4: (symbol, short, mid, long, profit, held_rows): profit of the held side for each set of spans.
+
+    The sets are columns until they are summed: means, decisions, held sides and sums of all of them take the same passes.
+    """
+    named = {f"_{i}": s for i, s in enumerate(sets)}
+    rows = settle(rolling.macd_sets(bars, "close", seconds, named), "spans")
+    series = Ordered.on_grid(rows, ["symbol"], "bucket", seconds, rows_per_block)
+    series = series.with_frames(lambda w: {"gain": F.lead("close").over(w) - F.col("close")}, ahead=1)
+    decided = {c: macd_decision(F.col(f"dif{c}"), F.col(f"macd{c}")) for c in named}
+    held = series.running(**{f"held{c}": last_set(F.when(d != "hold", F.when(d == "buy", 1).otherwise(-1))) for c, d in decided.items()}).done()
+    gain = F.coalesce("gain", F.lit(0.0))
+    sums = held.groupBy("symbol").agg(*[x for c in named for x in (
+        F.sum(F.coalesce(f"held{c}", F.lit(0)) * gain).alias(f"profit{c}"), F.count(f"held{c}").alias(f"held_rows{c}"))])
+    out = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("short", "mid", "long"), s, strict=True)],
+                             F.col(f"profit{c}").alias("profit"), F.col(f"held_rows{c}").alias("held_rows")) for c, s in named.items()])
+    return sums.select("symbol", F.inline(out))
+
+
 def expert_weights(votes: Ordered, flat: int, right: float, wrong: float) -> DataFrame:
     """SG5: running product of ``right`` or ``wrong`` per expert.
 
