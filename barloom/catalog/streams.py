@@ -29,11 +29,16 @@ FROM fx_sparse, late WHERE bucket + interval 1 hour <= mark"""
 
 
 def first(spark, sf):
-    quotes = _stream(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    return report(drain(live_first(quotes.select("symbol", "ts"), ["symbol", "ts"], "2 hours"), "first"))
+    """First trade of each symbol and hour in event time, with its payload, from files in any order."""
+    rows = _stream(spark, sf).withColumn("hour", F.date_trunc("hour", "ts"))
+    return report(drain(live_first(rows, ["symbol", "hour"], 7200), "first"))
 
 
-SQL_FIRST = with_views(["fx_trades"]) + """
-SELECT DISTINCT symbol, epoch_us(date_trunc('hour', ts)) ts FROM fx_trades"""
+SQL_FIRST = with_views(
+    ["fx_trades"], late="select max(ts) - interval 2 hour mark from fx_trades",
+    f="""select symbol, ts, id, price, amount, date_trunc('hour', ts) "hour" from fx_trades
+        qualify row_number() over (partition by symbol, date_trunc('hour', ts) order by ts, id) = 1""",
+) + f"""
+SELECT symbol, epoch_us(ts) ts, id, {r6('price', 'amount')}, epoch_us("hour") "hour" FROM f, late WHERE ts < mark"""
 
 QUERIES = {"live_bars": (bars, SQL_BARS), "live_first_quotes": (first, SQL_FIRST)}
