@@ -10,17 +10,22 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clean_sql, log, ratio, total
 from barloom.functions.names import ohlc_families, ohlcv_families
+from barloom.operators.order_stats import window_stats
 from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Ordered
 from barloom.session import join_per_key, settle
 
 TINY = 1e-12
 # Fixed default windows, in bars.
 WINDOWS = (2, 6, 12, 16, 24, 48)
+# Windows above this many rows take their order statistics from a tree over the block, not from a list per row.
+LONG = 128
 # Spans of exponential means up to this many times the shortest one are made together.
 TOGETHER = 4
 # Columns per select; wider projections leave whole-stage code generation anyway
@@ -84,11 +89,6 @@ class _Group:
             "back": f"lag({close}, {w}) OVER ({self.spec})",
             "mean": of("avg", close), "std": of("stddev_samp", close),
             "max": of("max", close), "min": of("min", close),
-            "qu": full(f"percentile({close}, 0.8D) {over}", close),
-            "qd": full(f"percentile({close}, 0.2D) {over}", close),
-            "closes": of("collect_list", close),
-            "highs": of("collect_list", self.col["high"]),
-            "lows": of("collect_list", self.col["low"]),
             "n": f"count(1) {over}",
             "ups": f"count_if({ret} > 0) {over}", "downs": f"count_if({ret} < 0) {over}",
             "gain": full(f"sum(greatest({ret}, 0D)) {over}", ret),
@@ -104,8 +104,21 @@ class _Group:
                 "vgain": full(f"sum(greatest({vchg}, 0D)) {over}", vchg),
                 "vpath": full(f"sum(abs({vchg})) {over}", vchg),
             }
+        if w <= LONG:  # longer ones come from ``long_frames``
+            out |= {
+                "qu": full(f"percentile({close}, 0.8D) {over}", close),
+                "qd": full(f"percentile({close}, 0.2D) {over}", close),
+                "closes": of("collect_list", close),
+                "highs": of("collect_list", self.col["high"]),
+                "lows": of("collect_list", self.col["low"]),
+            }
         return {self.own(f"{k}_{w}"): v for k, v in out.items()}
 
+    def long_frames(self, pdf: pd.DataFrame, windows: Sequence[int]) -> dict[str, np.ndarray]:
+        """Order statistics of the windows above ``LONG``, where a list of the window per row would not do."""
+        found = window_stats(*[pdf[self.col[c].strip("`")].to_numpy(float) for c in ("close", "high", "low")], tuple(windows))
+        return {self.own(k).strip("`"): v for k, v in found.items()}
+
     def features(self, w: int) -> dict[str, str]:
         """RW1-RW19 from the frame columns, null and infinite values 0."""
         def g(name: str) -> str:
@@ -118,10 +131,12 @@ class _Group:
         back, std = g("back"), f"({g('std')} + {TINY}D)"
         floor_ = f"CASE WHEN {back} IS NOT NULL THEN least({low}, {back}) END"
         roof = f"CASE WHEN {back} IS NOT NULL THEN greatest({high}, {back}) END"
-        less = f"size(filter({g('closes')}, x -> x < {close}))"
+        seen, less = f"{g('closes')} IS NOT NULL", f"size(filter({g('closes')}, x -> x < {close}))"
         equal = f"size(filter({g('closes')}, x -> x = {close}))"
         first_high = f"(array_position({g('highs')}, array_max({g('highs')})) - 1)"
         first_low = f"(array_position({g('lows')}, array_min({g('lows')})) - 1)"
+        if w > LONG:
+            seen, less, equal, first_high, first_low = f"{g('less')} IS NOT NULL", g("less"), g("equal"), g("fh"), g("fl")
         up, down = (f"CASE WHEN {g('n')} = {w} THEN {g(c)} / {w} END" for c in ("ups", "downs"))
         gain = per(g("gain"), f"{g('path')} + {TINY}D")
         # Fixed column names.
@@ -130,7 +145,7 @@ class _Group:
             "beta": per(f"{back} - {close}", f"{w} * {close}"),
             "max": per(g("max"), close), "min": per(g("min"), close),
             "qtlu": per(g("qu"), close), "qtld": per(g("qd"), close),
-            "rank": f"CASE WHEN {g('closes')} IS NOT NULL THEN ({less} + ({equal} + 1) / 2) / {w} / {w} END",
+            "rank": f"CASE WHEN {seen} THEN ({less} + ({equal} + 1) / 2) / {w} / {w} END",
             "imax": f"{first_high} / {w}", "imin": f"{first_low} / {w}",
             "imxd": f"({first_high} - {first_low}) / {w}",
             "rsv": per(f"{close} - {floor_}", f"{roof} - {floor_} + {TINY}D"),
@@ -186,6 +201,15 @@ def rolling_groups(bars: DataFrame, seconds: int, groups: Mapping[str, Mapping[s
     def plus(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         return df.selectExpr("*", *[f"{v} AS {k}" for k, v in columns.items()])
 
+    if long := [w for w in windows if w > LONG]:
+        names = [g.own(f"{k}_{w}") for g in made for w in long for k in ("less", "equal", "qu", "qd", "fh", "fl")]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.select(*used).schema.fields)
+        # NaN from pandas is null again.
+        ranked = series.map_blocks(
+            lambda pdf: pdf[[*used]].assign(**{k: v for g in made for k, v in g.long_frames(pdf, long).items()}),
+            schema + "".join(f", {c} double" for c in names), back=max(long))
+        ranked = ranked.selectExpr(*[f"`{c}`" for c in used], *[f"nanvl({c}, NULL) AS {c}" for c in names])
+        series = Ordered.on_grid(ranked, keys, ts, seconds, rows_per_block)
     framed = series.with_frames_sql(
         lambda df: plus(df, {k: v for g in made for k, v in g.steps().items()}),
         lambda df: plus(df, {k: v for g in made for w in windows for k, v in g.frames(w).items()}),

@@ -4,6 +4,7 @@ The ticks put half of all rows on one symbol, and a third on one time.
 """
 
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import dedup, execution, regimes, resample, rolling, runs, sampling, selection, signals
+from barloom.operators.order_stats import window_stats
 from barloom.operators.ordering import Ordered, last_set, next_set, running_max, running_product, running_sum
 from barloom.operators.quantiles import exact_quantiles
+from barloom.session import settle
 from compare import differences
 
 T0 = dt.datetime(2024, 1, 1)
@@ -258,3 +261,31 @@ def test_ledger(spark, bars):
                        F.lit(0.0001).alias("funding_rate"), F.timestamp_seconds(
                            (F.floor(F.unix_seconds("bucket") / 28800) + 1) * 28800).alias("funding_timestamp"))
     same(execution.ledger(path, 3600, 0.001, rows_per_block=10), execution.ledger(path, 3600, 0.001), 6)
+
+
+@pytest.mark.parametrize("size", [16, 10_000])
+def test_long_windows_from_a_tree(spark, monkeypatch, size):
+    names = {c: c for c in ("open", "high", "low", "close", "volume")}
+    rows = spark.range(400).select(
+        F.lit("x").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("bucket"),
+        *[F.when(F.rand(i) > 0.02, F.floor(F.rand(i + 9) * 12) + 5).cast("double").alias(c) for i, c in enumerate(names)])
+    rows = settle(rows, "bars")
+    by_list = rolling.rolling_groups(rows, 3600, {"": names}, (5, 13), rows_per_block=size).toPandas()
+    monkeypatch.setattr(rolling, "LONG", 4)
+    by_tree = rolling.rolling_groups(rows, 3600, {"": names}, (5, 13), rows_per_block=size).toPandas()
+    a, b = (x.sort_values("bucket", ignore_index=True) for x in (by_list, by_tree))
+    assert list(a.columns) == list(b.columns) and np.allclose(a.drop(columns=["symbol", "bucket"]), b.drop(columns=["symbol", "bucket"]), rtol=1e-12)
+
+
+def test_window_of_ten_thousand_rows():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5000, 100_000).astype(float)
+    start = time.time()
+    got = window_stats(x, x, x, (10_000,))
+    assert time.time() - start < 5
+    for i in (9_999, 10_000, 54_321, 99_999):
+        part = x[i - 9_999:i + 1]
+        assert got["less_10000"][i] == (part < x[i]).sum() and got["equal_10000"][i] == (part == x[i]).sum()
+        assert np.allclose([got["qu_10000"][i], got["qd_10000"][i]], np.quantile(part, [0.8, 0.2]))
+        assert got["fh_10000"][i] == part.argmax() and got["fl_10000"][i] == part.argmin()
+    assert np.isnan(got["less_10000"][9_998])
