@@ -9,8 +9,9 @@ from barloom.functions.columns import clean
 from barloom.functions.names import ohlc_families, ohlcv_families
 from barloom.operators import candles, resample, rolling
 from barloom.operators.ordering import Ordered
+from barloom.session import settle
 
-WINDOWS = (6, 24)
+WINDOWS = rolling.WINDOWS
 BARS = ["fx_bars"]
 
 
@@ -148,8 +149,9 @@ def _rw(w: int, volume: bool, tag: str = "", p: str = "") -> list[tuple[str, str
             ("vsump", vsump), ("vsumn", f"1-{vsump}"), ("vsumd", f"2*{vsump}-1"),
         ]
         scaled += [("rsv", f"({c}-({lo}))/({sd}+1e-12)"), ("vma", f"{g['vmean']}/({g['vsd']}+2e-12)")]
-    return [(f"{k}_{w}{tag}", f"coalesce({e},0)") for k, e in out] + \
-        [(f"{k}_{w}_std_norm{tag}", f"coalesce({e},0)") for k, e in scaled]
+    # Null and infinite values are 0.
+    finite = "case when isfinite(({0})::double) then {0} else 0 end".format
+    return [(f"{k}_{w}{tag}", finite(e)) for k, e in out] + [(f"{k}_{w}_std_norm{tag}", finite(e)) for k, e in scaled]
 
 
 def _rw_frames(w: int, volume: bool, p: str = "") -> str:
@@ -183,7 +185,7 @@ def _rw_frames(w: int, volume: bool, p: str = "") -> str:
 
 
 def _rolling_sql(volume: bool, trim: int, p: str = "", tag: str = "", source: str = "fx_bars",
-                 views: dict | None = None) -> str:
+                 views: dict | None = None, needs: tuple[str, ...] = tuple(BARS)) -> str:
     c, v = f'"{p}close"', f"{p}volume"
     steps = f"{c}/nullif(lag({c}) over s,0) move, {c}/nullif(lag({c}) over s,0)-1 ret"
     if volume:
@@ -196,7 +198,7 @@ def _rolling_sql(volume: bool, trim: int, p: str = "", tag: str = "", source: st
     if volume:
         feats.append((f"log_volume{tag}", "coalesce(lvol,0)"))
     return with_views(
-        BARS, **(views or {}),
+        needs, **(views or {}),
         s1=f"""select *, {steps}, row_number() over s rn from {source}
             window s as (partition by symbol order by bucket)""",
         s2=f"""select *, {', '.join(_rw_frames(w, volume, p) for w in WINDOWS)} from s1
@@ -225,6 +227,37 @@ SQL_ROLLING_OHLC = _rolling_sql(
     })
 
 
+def rolling_families(spark, sf):
+    """Every family found by its column names, over all columns of the bars: three with volume, the others without."""
+    bars = resample.base_features(trades(spark, sf), quotes(spark, sf), HOUR, ["ts", "event_id"])
+    # Differences of prices carry noise of the last digits, which a division by their spread over a window would show.
+    bars = bars.withColumns({f"{w}_spread": F.round(f"{w}_spread", 9) for w in ("open", "high", "low", "close")})
+    made = rolling.rolling_features(settle(bars, "base"), HOUR, WINDOWS)
+    return report(made, "symbol", "bucket", *[n for _, volume, tag in _FAMILIES for n in _family_names(volume, tag)])
+
+
+_FAMILIES = [("", True, "_origin"), ("_buy", True, "_buy"), ("_sell", True, "_sell"),
+             *[(f"_{n}", False, f"_{n}") for n in resample.QUOTE_INDICATORS]]
+
+
+def _family_names(volume: bool, tag: str) -> list[str]:
+    names = [n for w in WINDOWS for n, _ in _rw(w, volume, tag)]
+    return names + ([f"log_volume{tag}"] if volume else [])
+
+
+def _families_sql() -> str:
+    from barloom.catalog.ticks import base_views
+
+    parts = []
+    for suffix, volume, tag in _FAMILIES:
+        words = ("open", "high", "low", "close", *(["volume"] if volume else []))
+        shown = 'round("{0}", 9)' if suffix == "_spread" else '"{0}"'
+        one = "select symbol, bucket, " + ", ".join(f'{shown.format(c + suffix)} AS "{c}"' for c in words) + " from base"
+        parts.append(f"({_rolling_sql(volume, max(WINDOWS) + 10, '', tag, 'family', {'family': one}, ())})")
+    head = with_views(["fx_grid", "fx_sparse", "fx_quotes"], **{k: v for k, v in base_views().items()})
+    return f"{head}\nSELECT * FROM {parts[0]} " + " ".join(f"JOIN {p} USING (symbol, bucket)" for p in parts[1:])
+
+
 def price_trends(spark, sf):
     return report(rolling.price_features(hourly_bars(spark, sf), HOUR, ["close", "vwap"], WINDOWS))
 
@@ -342,6 +375,7 @@ QUERIES = {
     "trade_shares": (trade_shares, _trade_shares_sql()),
     "quote_shares": (quote_shares, _quote_shares_sql()),
     "rolling_ohlcv": (rolling_ohlcv, _rolling_sql(True, max(WINDOWS) + 10)),
+    "rolling_families": (rolling_families, _families_sql()),
     "rolling_ohlc": (rolling_ohlc, SQL_ROLLING_OHLC),
     "price_trends": (price_trends, _trend_sql()),
     "exponential_means": (exponential, SQL_EWM),

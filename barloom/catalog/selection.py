@@ -256,11 +256,12 @@ SQL_VECTORS = with_views(["fx_factors"]) + "\nSELECT vec_id, label, " + ", ".joi
 def pairs(spark, sf):
     series = Ordered.on_steps(factors(spark, sf), [], "vec_id")
     made = sampling.supervised_pairs(series, FEATURES, "mark_price")
-    return report(made.select("vec_id", "y", F.get("x", F.lit(0)).alias("x0"), F.get("x", F.lit(7)).alias("x7")))
+    return report(made.select("vec_id", "y", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(8)]))
 
 
-SQL_PAIRS = with_views(["fx_factors"], p="""select vec_id, lead(mark_price) over (order by vec_id)-mark_price y,
-    f1 x0, f8 x7 from fx_factors""") + f"\nSELECT vec_id, {r6('y', 'x0', 'x7')} FROM p WHERE y IS NOT NULL"
+SQL_PAIRS = with_views(["fx_factors"], p="select vec_id, lead(mark_price) over (order by vec_id)-mark_price y, "
+                       + ", ".join(f"f{i + 1} x{i}" for i in range(8)) + " from fx_factors") + f"""
+SELECT vec_id, {r6('y', *[f'x{i}' for i in range(8)])} FROM p WHERE y IS NOT NULL"""
 
 
 def clipped(spark, sf):

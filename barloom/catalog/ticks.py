@@ -136,37 +136,42 @@ SELECT symbol, epoch_us(bucket) bucket, {r6(*BAR_DOUBLES)}, {', '.join(BAR_COUNT
 
 
 def base_features(spark, sf):
-    bars = resample.base_features(trades(spark, sf), quotes(spark, sf), HOUR, ["ts", "event_id"])
-    return report(bars, "symbol", "bucket", "close", "close_buy", "volume_sell", "ntrade_up_buy",
-                  "nquote_bid", "nquote_bidup_askflat", "close_mid", "twap_spread", "awap_bidsize")
-
-
-SQL_BASE = with_views(
-    ["fx_grid", "fx_sparse"],
-    side="""select symbol, bucket, arg_max(price, us) filter (side='buy') close_buy,
-        coalesce(sum(amount) filter (side='sell'),0) volume_sell,
-        count(*) filter (side='buy' and move>0) ntrade_up_buy from fx_gaps group by all""",
-    fx_quotes="""select event_type symbol, ts, event_id, value bid_price,
-        value+cast(1+user_id%5 as double)/cast(100 as double) ask_price,
-        cast(1+user_id%10 as double) bid_amount, epoch_us(ts) us, date_trunc('hour',ts) bucket from events""",
-    q="""select *, lag(bid_price) over w pb, lag(ask_price) over w pa,
-        us-lag(us) over (partition by symbol order by ts, event_id) dus from fx_quotes
-        window w as (partition by symbol, bucket order by ts, event_id)""",
-    qb="""select symbol, bucket, count(*) filter (pb is null or bid_price<>pb) nquote_bid,
-        count(*) filter (bid_price>pb and ask_price=pa) nquote_bidup_askflat,
-        arg_max((ask_price+bid_price)/2, us) close_mid,
-        sum((ask_price-bid_price)*dus)/nullif(sum(dus),0) twap_spread, avg(bid_amount) awap_bidsize
-        from q group by symbol, bucket""",
-    f="""select symbol, bucket, """ + ", ".join(
-        f"last_value({c} ignore nulls) over w {c}"
-        for c in ('"close"', "close_buy", "close_mid", "twap_spread", "awap_bidsize")
-    ) + ", " + ", ".join(
-        f"coalesce({c},0) {c}" for c in ("volume_sell", "ntrade_up_buy", "nquote_bid", "nquote_bidup_askflat")
-    ) + """ from fx_grid left join fx_sparse using (symbol, bucket) left join side using (symbol, bucket)
-        left join qb using (symbol, bucket) window w as (partition by symbol order by bucket)""",
-) + f"""
-SELECT symbol, epoch_us(bucket) bucket, ntrade_up_buy, nquote_bid, nquote_bidup_askflat,
-{r6('"close"', 'close_buy', 'volume_sell', 'close_mid', 'twap_spread', 'awap_bidsize')} FROM f"""
+    """All columns of trade bars, bars by side, quote counts and quote indicator bars, on the full grid."""
+    return report(resample.base_features(trades(spark, sf), quotes(spark, sf), HOUR, ["ts", "event_id"]))
+
+
+_SIDE_DOUBLES = [f"{c}_{s}" for s in ("buy", "sell") for c in ("open", "high", "low", "close", "volume", "tradeval", "vwap", "awap", "twap")]
+_SIDE_COUNTS = [f"{c}_{s}" for s in ("buy", "sell") for c in BAR_COUNTS]
+_QUOTE_COUNTS = [part.rsplit(" ", 1)[1] for part in _count_sql().split(", count")]
+_QUOTE_DOUBLES = [f"{m}_{n}" for n in resample.QUOTE_INDICATORS for m in ("open", "high", "low", "close", "twap", "awap")]
+BASE_DOUBLES = [*BAR_DOUBLES, *_SIDE_DOUBLES, *_QUOTE_DOUBLES]
+BASE_COUNTS = [*BAR_COUNTS, *_SIDE_COUNTS, *_QUOTE_COUNTS]
+
+
+def base_views() -> dict[str, str]:
+    """Views that end in ``base``: every column of ``base_features``, filled over the grid."""
+    zero = {*BASE_COUNTS, *(f"{c}{s}" for c in ("volume", "tradeval") for s in ("", "_buy", "_sell"))}
+    filled = [f"coalesce({c},0) {c}" if c in zero else f"last_value({c} ignore nulls) over w {c}" for c in (*BASE_DOUBLES, *BASE_COUNTS)]
+    return {
+        "own": "select *, us-lag(us) over (partition by symbol, side, bucket order by ts, id) sdus from fx_gaps",
+        "sides": f"select symbol, bucket, {_side_sql('buy')}, {_side_sql('sell')} from own group by symbol, bucket",
+        "qt": "select *, date_trunc('hour', ts) bucket, epoch_us(ts) us from fx_quotes",
+        "ql": "select *, " + ", ".join(f"lag({c}) over w p_{c}" for c in ("bid_price", "ask_price", "bid_amount", "ask_amount"))
+        + " from qt window w as (partition by symbol, bucket order by ts, event_id)",
+        "qc": f"select symbol, bucket, {_count_sql()} from ql group by symbol, bucket",
+        "qi": f"""select symbol, bucket, us, us-lag(us) over (partition by symbol order by ts, event_id) dus, {SQL_INDICATORS} from qt""",
+        "qo": "select symbol, bucket, " + ", ".join(
+            f"""arg_min({n}, us) open_{n}, max({n}) high_{n}, min({n}) low_{n}, arg_max({n}, us) close_{n},
+            sum({n}*dus)/nullif(sum(dus),0) twap_{n}, avg({n}) awap_{n}""" for n in resample.QUOTE_INDICATORS)
+        + " from qi group by symbol, bucket",
+        "base": f"""select symbol, bucket, {', '.join(filled)} from fx_grid left join fx_sparse using (symbol, bucket)
+            left join sides using (symbol, bucket) left join qc using (symbol, bucket) left join qo using (symbol, bucket)
+            window w as (partition by symbol order by bucket)""",
+    }
+
+
+SQL_BASE = with_views(["fx_grid", "fx_sparse", "fx_quotes"], **base_views()) + f"""
+SELECT symbol, epoch_us(bucket) bucket, {', '.join(BASE_COUNTS)}, {r6(*BASE_DOUBLES)} FROM base"""
 
 
 def ticker_downscale(spark, sf):
