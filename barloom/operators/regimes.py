@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ratio
-from barloom.operators.ordering import GRID_ROWS_PER_BLOCK, Fold, Ordered
+from barloom.operators.ordering import BLOCK, GRID_ROWS_PER_BLOCK, Fold, Ordered, last_set
 from barloom.operators.quantiles import exact_quantiles, values_at_ranks
-from barloom.session import join_per_key
+from barloom.session import join_per_key, settle
 
 TINY = 1e-10
 
@@ -46,41 +46,40 @@ def smoothed_turns(series: Ordered, value: str, reach: int = 3) -> Ordered:
 def segments(series: Ordered, min_length: int) -> DataFrame:
     """RG3: (keys, position, segment_start): turns closer than ``min_length`` to the last kept one are merged.
 
-    ``series`` is dense over 0-based positions and carries ``turn``. How a block
-    answers depends only on how far before it the last kept turn lies, and only
-    up to ``min_length``: a short array of exits describes it.
+    ``series`` is dense over 0-based positions and carries ``turn``. Only rows that turn are scanned. How a block
+    answers depends only on how far before it the last kept turn lies, and only up to ``min_length``: a short array
+    of exits describes it. The kept turns then mark their rows, and the last mark so far is a row's segment.
     """
-    step, keys = series.order[0], list(series.keys)
-
-    def turns_of(pdf: pd.DataFrame) -> np.ndarray:
-        return pdf.loc[pdf["turn"].to_numpy(bool), step].to_numpy()
+    step, keys, size = series.order[0], list(series.keys), series.size
+    turns = series.on(series.df.where("turn").select(*keys, step, BLOCK))
 
     def summarise(pdf: pd.DataFrame) -> dict:
-        turns, start = turns_of(pdf), int(pdf[step].iloc[0])
-        last = turns.copy()
-        for i in range(len(turns) - 2, -1, -1):
-            j = int(np.searchsorted(turns, turns[i] + min_length))
-            if j < len(turns):
+        at, start = pdf[step].to_numpy(), int(pdf[BLOCK].iloc[0]) * size
+        last = at.copy()
+        for i in range(len(at) - 2, -1, -1):
+            j = int(np.searchsorted(at, at[i] + min_length))
+            if j < len(at):
                 last[i] = last[j]
-        first = np.searchsorted(turns, start + min_length - np.arange(min_length + 1))
-        return {"at": start, "exits": [int(last[i]) if i < len(turns) else -1 for i in first]}
+        first = np.searchsorted(at, start + min_length - np.arange(min_length + 1))
+        return {"at": start, "exits": [int(last[i]) if i < len(at) else -1 for i in first]}
 
     def walk(state: int, row: dict) -> int:
         found = int(row["exits"][min(min_length, row["at"] - state)])
         return state if found < 0 else found
 
     def replay(pdf: pd.DataFrame, state: int) -> pd.DataFrame:
-        turns, kept = turns_of(pdf), [int(state)]
-        i = int(np.searchsorted(turns, kept[-1] + min_length))
-        while i < len(turns):
-            kept.append(int(turns[i]))
-            i = int(np.searchsorted(turns, kept[-1] + min_length))
-        at = np.searchsorted(kept, pdf[step].to_numpy(), side="right") - 1
-        return pdf[[*keys, step]].assign(segment_start=np.array(kept)[at])
+        at, kept, last = pdf[step].to_numpy(), [], int(state)
+        while (i := int(np.searchsorted(at, last + min_length))) < len(at):
+            last = int(at[i])
+            kept.append(i)
+        return pdf.iloc[kept][[*keys, BLOCK, step]].assign(_kept=at[kept])
 
     types = {f.name: f.dataType.simpleString() for f in series.df.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, step))
-    return series.scan(summarise, walk, replay, 0, "at long, exits array<long>", "long", f"{schema}, segment_start long")
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, BLOCK, step))
+    kept = turns.scan(summarise, walk, replay, 0, "at long, exits array<long>", "long", f"{schema}, _kept long")
+    marked = series.on(series.df.select(*keys, BLOCK, step).join(settle(kept, "turns"), [*keys, BLOCK, step], "left"))
+    found = marked.running(segment_start=last_set(F.col("_kept"))).done()
+    return found.select(*keys, step, F.coalesce("segment_start", F.lit(0).cast("long")).alias("segment_start"))
 
 
 def segment_slopes(rows: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
