@@ -34,6 +34,13 @@ def test_scan_takes_dates_from_names(spark, trade_files):
     assert str(timed.agg(F.min("ts")).first()[0]) == "2024-01-01 00:00:00"
 
 
+def test_reordered_file_is_refused(spark, trade_files, tmp_path):
+    (tmp_path / "ex_trades_2024-01-05_BTC.csv").write_text(HEADER.replace("price,amount", "amount,price") + "ex,BTC,1,1,t,buy,2.0,3.0\n")
+    for columns in (["price", "amount"], ["amount"], tables.TRADES.fieldNames()):
+        with pytest.raises(Exception, match="(?i)header"):
+            tables.read_events(spark, trade_files, tables.TRADES).select(*columns).collect()
+
+
 def test_scan_reads_only_used_columns(spark, trade_files):
     plan = tables.read_events(spark, trade_files, tables.TRADES).select("price")
     text = plan._jdf.queryExecution().executedPlan().toString()
