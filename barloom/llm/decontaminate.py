@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import keep_columns, read
+from barloom.llm.common import keep_columns, read, settle
 
 # Edits allowed per character of an item, and the shortest item (in characters) that may have any; shorter ones are
 # looked for as they are, as whole words.
@@ -114,8 +116,9 @@ _READY: dict[str, Matcher] = {}
 
 
 def _matcher(key: str, items: list[tuple[int | None, str]], error_rate: float, least: int) -> Matcher:
-    """One automaton per worker process and list of items."""
+    """One automaton per worker process, that of the list of items in use."""
     if key not in _READY:
+        _READY.clear()
         _READY[key] = Matcher(items, error_rate, least)
     return _READY[key]
 
@@ -162,16 +165,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", error_rate:
     texts have no leaks, null and empty items are in no text. Items below ``least`` characters are looked for without
     edits, at word borders. Each text of an id is looked for, and texts without id are reported with a null id; rows
     equal in id and normalised text are one. A column ``leaks`` is replaced. A benchmark of more than
-    ``chars`` characters is sent in several groups, each bounded.
+    ``chars`` characters takes one written pass over the texts for each group of so many: one group at a time is in the
+    driver, the broadcast and the automaton of a worker.
     """
-    spark, found = docs.sparkSession, []
+    spark = docs.sparkSession
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    for group in item_groups(benchmark, chars):
+
+    def sent(group: list) -> tuple:
         shared = spark.sparkContext.broadcast(group)  # at most ``chars`` characters
         key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}-{error_rate}-{least}"
-        found.append(_runner(shared, key, error_rate, least)(source))
-    leaks = F.array().cast(FOUND) if not found else found[0] if len(found) == 1 else F.concat(*found)
-    return docs.select(*[F.col(f"`{c}`") for c in keep_columns(docs, "leaks")], leaks.alias("leaks"))
+        return shared, _runner(shared, key, error_rate, least)(source)
+
+    groups, own = item_groups(benchmark, chars), [F.col(f"`{c}`") for c in keep_columns(docs, "leaks")]
+    first, second = next(groups, None), next(groups, None)
+    if second is None:
+        return docs.select(*own, (sent(first)[1] if first else F.array().cast(FOUND)).alias("leaks"))
+    # Finds follow from the text alone: texts with finds are named by a hash, and meet their rows when all passes are done.
+    name = F.sha2(source.cast("binary"), 256)
+    hits = None
+    for group in chain((first, second), groups):
+        shared, leaks = sent(group)
+        part = settle(docs.select(name.alias("_text"), leaks.alias("_leaks")).filter(F.size("_leaks") > 0).distinct(), "leaks")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    hits = settle(hits.groupBy("_text").agg(F.array_sort(F.flatten(F.collect_list("_leaks"))).alias("leaks")), "leaks")
+    joined = docs.select(*own, name.alias("_text")).join(hits, "_text", "left")
+    return joined.select(*own, F.coalesce("leaks", F.array().cast(FOUND)).alias("leaks"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

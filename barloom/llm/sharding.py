@@ -76,11 +76,11 @@ def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str =
 
     Rows are sorted by (cell, group, ``key``, ``ties``) and cut into runs whose row counts differ by one at
     most, so a shard covers few neighbouring cells and files can be skipped by any of the dimensions. A group
-    is ``key`` modulo a number that follows from the cell's counted rows: no cell is sorted by one task.
-    Positions come from the counts of groups, cells and all rows; full rows are shuffled once.
+    is a hash of the whole row modulo a number that follows from the cell's counted rows: neither a cell nor a key that
+    repeats, null included, is sorted by one task; only rows equal in every column stay together. Positions come from the
+    counts of groups, cells and all rows; full rows are shuffled once.
 
-    Null keys form the group 0 of their cell and come first in it. Repeated rows take neighbouring slots in
-    any order. Existing columns of the names added are replaced. No rows give no rows.
+    Null keys come first in their group. Columns of maps are not hashed. Existing columns of the names added are replaced. No rows give no rows.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot", "cell")]
     code = reduce(lambda a, b: a * (1 << bits) + b, levels)
@@ -95,9 +95,9 @@ def hilbert_shards(df: DataFrame, levels: list[Column], shards: int, key: str =
     groups = (splits * F.ceil(F.col("_rows") / cell_rows)).cast("long")
     cells = cells.select("_code", "cell", groups.alias("_groups"), F.coalesce(before, F.lit(0)).alias("_cell_first"),
                          F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    dealt = F.when(F.col(f"`{key}`").isNotNull(), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("_groups")))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name in kept and "map<" not in f.dataType.simpleString()]
     rows = rows.join(F.broadcast(cells), "_code").withColumn(
-        "_group", F.shiftleft(F.col("cell").cast("long"), 40) + F.coalesce(dealt, F.lit(0)))  # one key: joins spread by it
+        "_group", F.shiftleft(F.col("cell").cast("long"), 40) + F.pmod(F.xxhash64(*hashed), F.col("_groups")))  # one key: joins spread by it
     parts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
     inside = Window.partitionBy(F.shiftright("_group", 40)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_group", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_group_first"))

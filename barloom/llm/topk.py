@@ -18,14 +18,15 @@ DEPTH = 16
 class Lists:
     """A block of candidates with one list per dimension, sorted by component."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.rows = self.ids if rows is None else rows[order]
         self.up = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors, self.up.T, axis=0).T.copy()
 
-    def top(self, query_id: int | None, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row numbers, scores, list entries read per dimension) of the k best rows other than the query's own.
+    def top(self, own: int | None, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row numbers, scores, list entries read per dimension) of the k best rows other than the query's ``own``.
 
         Lists are read from the end that adds most: the high end for positive weights, the low end for negative
         ones; weights of 0 need no list. No unseen row can score above the sum of weight times the next value
@@ -36,7 +37,7 @@ class Lists:
         dims = np.flatnonzero(query)
         weights = query[dims]
         seen = np.zeros(n, bool)
-        seen[self.ids == query_id] = True  # the query itself takes no part
+        seen[self.rows == own] = True  # the query itself takes no part
         unseen = n - int(seen.sum())
         rows, scores, depth = np.zeros(0, np.int64), np.zeros(0, query.dtype), 0
         while True:
@@ -78,7 +79,7 @@ def _exact(candidates: np.ndarray, queries: np.ndarray) -> type:
     return np.float64 if reach < 2.0**53 else np.int64
 
 
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FOUND = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def _answer(k: int):
@@ -88,38 +89,40 @@ def _answer(k: int):
             width = int(max(candidates["v"].map(len).max(), queries["q"].map(len).max()))
             c, q = _matrix(candidates["v"], width), _matrix(queries["q"], width)
             kind = _exact(c, q)
-            lists, q = Lists(candidates["id"].to_numpy(np.int64), c.astype(kind)), q.astype(kind)
-            for query_id, vector in zip(queries["query_id"].to_numpy(np.int64), q, strict=True):
-                rows, scores, _ = lists.top(int(query_id), vector, k)
-                out += [(int(query_id), int(lists.ids[r]), int(s)) for r, s in zip(rows, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            lists, q = Lists(candidates["id"].to_numpy(np.int64), c.astype(kind), candidates["row"].to_numpy(np.int64)), q.astype(kind)
+            for row, query_id, vector in zip(queries["query_row"].tolist(), queries["query_id"].tolist(), q, strict=True):
+                rows, scores, _ = lists.top(row, vector, k)
+                out += [(row, query_id, int(lists.ids[r]), int(s)) for r, s in zip(rows, scores, strict=True)]
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
     return run
 
 
 def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of each query, ties to the smaller id.
 
-    Both frames hold ``id`` (distinct) and ``v`` (whole numbers; shorter vectors count as filled with 0). Rows with
-    null id or vector take no part. Candidates are dealt into blocks of about ``block`` rows, queries into lots
+    Both frames hold ``id``, ``v`` (whole numbers; shorter vectors count as filled with 0) and ``row``, a number of the row
+    that is its own in both: every row but the query's own is a candidate, and every query row has an answer, whatever ids
+    repeat. Without ``row`` the id stands for it. Rows with null id or vector take no part. Candidates are dealt into blocks of about ``block`` rows, queries into lots
     of about ``at_once``; each pair of a block and a lot is one task's work, bounded at any size. A query gets
     its k best of each block by the threshold algorithm, and the k best of those. Fewer candidates give fewer
-    rows; equal ids are one vector (any of them) or, as a query, itself.
+    rows. Equal rows are candidates each; ties of score and id go to any of them.
     """
+    candidates, queries = (d if "row" in d.columns else d.withColumn("row", F.col("id")) for d in (candidates, queries))
     candidates, queries = candidates.dropna(subset=["id", "v"]), queries.dropna(subset=["id", "v"])
     n, m = candidates.count(), queries.count()
     blocks, lots = max(1, -(-n // block)), max(1, -(-m // at_once))
-    spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    spread = lambda parts: F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = candidates.select("id", "v", spread(blocks).alias("block"), every(lots).alias("lot"))
+    left = candidates.select("id", "v", "row", spread(blocks).alias("block"), every(lots).alias("lot"))
     # New names: both frames may come from one table.
-    right = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), spread(lots).alias("lot")).select(
-        "query_id", "q", "lot", every(blocks).alias("block"))
+    right = queries.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("q"), spread(lots).alias("lot")).select(
+        "query_row", "query_id", "q", "lot", every(blocks).alias("block"))
     best = left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInPandas(_answer(k), FOUND)
     # At most k rows per block of each query; merged in two steps, so no task holds all blocks of a query.
     entry = F.struct((-F.col("score")).alias("neg"), "vec_id")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks // 64))).alias("part")
-    half = best.groupBy("query_id", part).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
-    full = half.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    half = best.groupBy("query_row", "query_id", part).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
+    full = half.groupBy("query_row", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
     return full.select("query_id", F.posexplode("top").alias("pos", "e")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"),
         (-F.col("e.neg")).alias("score"))
@@ -132,7 +135,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~F.coalesce(bad, F.lit(False)))
     rows = rows.select(F.col("vec_id").alias("id"), F.transform(
         "embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
-    rows = settle(rows, "vectors")
+    # Numbers of rows are written, so they stay when a task is repeated.
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     return exact_top_k(rows, rows.filter("id % 50 = 0"), 5)
 
 

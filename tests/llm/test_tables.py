@@ -171,6 +171,33 @@ def test_top_k_blocks_and_edges(spark):
     assert topk.exact_top_k(df.filter("false"), df.filter("false"), 5).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Each row is a candidate and each query row has its own answer; only the query's own row is left out."""
+    rows = [(0, [3, 0]), (0, [1, 1]), (1, [2, 0]), (1, [2, 0]), (7, [0, 9])]
+    df = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(rows)], "id bigint, v array<bigint>, row bigint")
+    for block in (1, 2, 100):
+        got = topk.exact_top_k(df, df.filter("id % 50 = 0"), 3, block=block, at_once=1).collect()
+        want = []
+        for n, (i, q) in enumerate(rows):
+            if i % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(rows) if m != n)[:3]
+                want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_shards_of_null_and_repeated_keys_are_split(spark):
+    """No group holds more than a part of the rows of one key, so no task sorts them all."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(5)).cast("long").alias("doc_id"),
+                                      F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    made = sharding.shard_documents(docs, 16)
+    assert sorted(r["count"] for r in made.groupBy("shard").count().collect()) == [1250] * 16
+    assert made.select("shard", "slot").distinct().count() == 20_000
+    largest = made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert largest < 20_000 / 2
+
+
 def test_vectors_that_take_no_part(spark, tmp_path):
     rows = [(0, [0.5, float("nan")]), (50, [0.1, None]), (100, None), (150, [0.5, -0.001]), (1, [1.0, 0.0]), (2, [float("inf"), 0.0])]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
