@@ -273,14 +273,14 @@ def classes(docs: DataFrame, text: str = "text", least: float = LEAST, trees: in
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near duplicates: of each class the document with the least id stays, once.
 
-    Documents without words are no duplicates of each other and all stay.
+    Documents without words are no duplicates of each other and all stay, as do all rows of a table without texts.
     """
     found = classes(docs, **options)
     stay = found.filter("doc = class_doc AND th = class_th").select("doc", "th").distinct()
     body = F.coalesce(field(docs, "text", T.StringType()), F.lit(""))
     named = docs.withColumns({"_doc": F.coalesce(field(docs, "doc_id", T.LongType()), F.lit(NO_ID)), "_th": F.xxhash64(body)})
     kept = named.join(stay, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left_semi")
-    wordless = ~F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()
+    wordless = ~body.rlike(r"[^\x20\x09-\x0D]")
     names = [F.col(f"`{c}`") for c in docs.columns]
     once = kept.filter(~wordless).dropDuplicates(["_doc", "_th"]).select(*names)
     return once.unionByName(docs.filter(wordless))
