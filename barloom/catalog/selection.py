@@ -63,6 +63,47 @@ SQL_RANK = with_views(
 ) + f"\nSELECT feature, horizon, {r6('ic')} FROM i"
 
 
+def rank_labels(spark, sf):
+    """Rank coefficients of each label by itself."""
+    rows = settle(_targets(spark, sf).withColumn("label", F.col("label").cast("long")), "targets")
+    return report(selection.rank_coefficients(rows, FEATURES, H, keys=["label"]))
+
+
+SQL_RANK_LABELS = with_views(
+    ["fx_factors"], **TARGET_VIEWS,
+    u=" union all ".join(f"select label::bigint AS label, '{f}' feature, {h} horizon, {f} x, target_{h} y from t where target_{h} is not null"
+                         for f in FEATURES for h in H),
+    k="""select label, feature, horizon,
+        rank() over (partition by label, feature, horizon order by x)+(count(*) over (partition by label, feature, horizon, x)-1)/2 rx,
+        rank() over (partition by label, feature, horizon order by y)+(count(*) over (partition by label, feature, horizon, y)-1)/2 ry from u""",
+    i="select label, feature, horizon, corr(rx, ry) ic from k group by all",
+) + f"\nSELECT label, feature, horizon, {r6('ic')} FROM i"
+
+
+def label_features(spark, sf):
+    """Features chosen and pruned for each label by itself."""
+    rows = settle(_targets(spark, sf).withColumn("label", F.col("label").cast("long")), "targets")
+    scores = settle(selection.information_coefficients(rows, FEATURES, H, ["label"]), "scores")
+    return selection.select_features_by_key(rows, scores, 0.1, CORR_MAX, ["label"])
+
+
+SQL_LABEL_FEATURES = with_views(
+    ["fx_factors"], **TARGET_VIEWS,
+    i=" union all ".join(f"select label::bigint AS label, '{f}' feature, {h} horizon, corr({f}, target_{h}) ic from t group by label"
+                         for f in FEATURES for h in H),
+    o="""select label, feature, horizon, -abs(ic) down from i where abs(ic) > 0.1
+        qualify row_number() over (partition by label, feature order by horizon) = 1""",
+    lists="select label, list(feature order by horizon, down, feature) names from o group by label",
+    cl=" union all ".join(f"select label::bigint AS label, '{a}' f1, '{b}' f2, corr({a}, {b}) c from fx_factors group by label" for a, b in PAIRS),
+    near=f"""select label, list(f1||'~'||f2) l from (select label, f1, f2 from cl where abs(c) > {CORR_MAX}
+        union all select label, f2, f1 from cl where abs(c) > {CORR_MAX}) group by label""",
+    kept="""select label, list_reduce(list_prepend([]::varchar[], list_transform(names, lambda n: [n])), lambda acc, n:
+        case when len(list_filter(acc, lambda a: list_contains(coalesce(l, []::varchar[]), a||'~'||n[1]))) > 0 then acc
+             else list_concat(acc, n) end) k from lists left join near using (label)""",
+) + """
+SELECT label, unnest(k) feature, generate_subscripts(k, 1) AS rank FROM kept"""
+
+
 def thresholds(spark, sf):
     scores = selection.information_coefficients(_targets(spark, sf), FEATURES, H)
     return report(selection.select_by_threshold(scores, IC_MIN))
@@ -75,6 +116,17 @@ PASS_VIEWS = IC_VIEWS | {
 SQL_THRESHOLDS = with_views(["fx_factors"], **PASS_VIEWS) + f"\nSELECT feature, horizon, {r6('score')} FROM o WHERE k = 1"
 
 
+def label_matrix(spark, sf):
+    """Correlations of each label by itself, from the same scan."""
+    rows = factors(spark, sf).withColumn("label", F.col("label").cast("long"))
+    return report(selection.correlations(rows, FEATURES, ["label"]))
+
+
+SQL_LABEL_MATRIX = with_views(["fx_factors"], c=" union all ".join(
+    f"select label::bigint AS label, '{a}' f1, '{b}' f2, corr({a}, {b}) c from fx_factors group by label" for a, b in PAIRS)) + f"""
+SELECT label, f1, f2, {cut('c', 'corr')} FROM c"""
+
+
 def matrix(spark, sf):
     return report(selection.correlations(factors(spark, sf), FEATURES))
 
@@ -116,6 +168,22 @@ def scaled(spark, sf):
         factors(spark, sf).withColumn("f3", F.col("f3") * 1000 + 123456), FEATURES), "vec_id", *FEATURES)
 
 
+def label_scaled(spark, sf):
+    """The same with the scales of each label."""
+    rows = factors(spark, sf).withColumns({"f3": F.col("f3") * 1000 + 123456 * F.col("label"), "label": F.col("label").cast("long")})
+    return report(selection.power_of_ten_scale(rows, FEATURES, keys=["label"]), "vec_id", "label", *FEATURES)
+
+
+def _label_scaled_sql() -> str:
+    src = "select vec_id, label::bigint AS label, " + ", ".join(f"{f}*1000+123456*label {f}" if f == "f3" else f for f in FEATURES) + " from fx_factors"
+    st = "select label, " + ", ".join(
+        f"pow(10, floor(log10(stddev_samp({f})))) p_{f}, avg({f})/pow(10, floor(log10(stddev_samp({f})))) m_{f}" for f in FEATURES) + " from x group by label"
+    out = ", ".join(
+        f"{f}/p_{f}-(case when abs(m_{f})>10 then sign(m_{f})*pow(10, round_even(log10(abs(m_{f})),0)) else 0 end) {f}" for f in FEATURES)
+    return with_views(["fx_factors"], x=src, st=st, y=f"select vec_id, label, {out} from x join st using (label)") + \
+        f"\nSELECT vec_id, label, {r6(*FEATURES)} FROM y"
+
+
 def _scaled_sql() -> str:
     src = "select vec_id, " + ", ".join(f"{f}*1000+123456 {f}" if f == "f3" else f for f in FEATURES) + " from fx_factors"
     st = "select " + ", ".join(
@@ -379,6 +447,10 @@ QUERIES = {
     "forward_targets": (targets, SQL_TARGETS),
     "information_coefficients": (coefficients, SQL_COEFFICIENTS),
     "rank_coefficients": (rank_coefficients, SQL_RANK),
+    "rank_labels": (rank_labels, SQL_RANK_LABELS),
+    "correlation_labels": (label_matrix, SQL_LABEL_MATRIX),
+    "label_features": (label_features, SQL_LABEL_FEATURES),
+    "scaled_labels": (label_scaled, _label_scaled_sql()),
     "threshold_selection": (thresholds, SQL_THRESHOLDS),
     "correlation_matrix": (matrix, SQL_MATRIX),
     "pruned_selection": (pruned, SQL_PRUNED),

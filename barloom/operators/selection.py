@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def _average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rows_per_
 
 
 def rank_coefficients(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS,
-                      rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """FS3: correlation of average-tie ranks.
+                      rows_per_block: int = ROWS_PER_BLOCK, keys: Sequence[str] = ()) -> DataFrame:
+    """FS3: correlation of average-tie ranks, of each key by itself if there are ``keys``.
 
     Ranks come from distinct values with their counts, so ties (a third of all
     rows may be one value) are one row, and the sums against the target's rank
@@ -87,27 +88,27 @@ def rank_coefficients(df: DataFrame, features: Sequence[str], horizons: Sequence
     targets = F.inline(F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("target")) for h in horizons
     ]))
-    pairs = df.select(*features, targets).where("target is not null")
+    pairs = df.select(*keys, *features, targets).where(" AND ".join(["target IS NOT NULL", *[f"`{k}` IS NOT NULL" for k in keys]]))
     missing = pairs.select(_long(features)).groupBy("pos").agg(F.count_if(F.col("col").isNull()).alias("n")).where("n > 0")
     gaps = {features[row["pos"]] for row in missing.collect()}
     made = []
     for own, part in ((False, [f for f in features if f not in gaps]), (True, [f for f in features if f in gaps])):
         if not part:
             continue
-        by = ["pos", "horizon"] if own else ["horizon"]
-        rows = pairs.select("horizon", "target", _long(part)).where("col is not null") if own else pairs
+        by = [*keys, "pos", "horizon"] if own else [*keys, "horizon"]
+        rows = pairs.select(*keys, "horizon", "target", _long(part)).where("col is not null") if own else pairs
         ranks = _average_ranks(rows.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("n")), by, "target", rows_per_block)
         ranked = rows.join(ranks.select(*by, "target", F.col("rank").alias("target_rank")), [*by, "target"])
         if not own:
-            ranked = ranked.select("horizon", "target_rank", _long(part))
-        per_value = ranked.groupBy("pos", "horizon", F.col("col").alias("value")).agg(
+            ranked = ranked.select(*keys, "horizon", "target_rank", _long(part))
+        per_value = ranked.groupBy(*keys, "pos", "horizon", F.col("col").alias("value")).agg(
             F.count(F.lit(1)).alias("n"), F.sum("target_rank").alias("s"))
-        values = _average_ranks(per_value, ["pos", "horizon"], "value", rows_per_block)
-        top = values.groupBy("pos", "horizon").agg(
+        values = _average_ranks(per_value, [*keys, "pos", "horizon"], "value", rows_per_block)
+        top = values.groupBy(*keys, "pos", "horizon").agg(
             F.sum(F.col("rank") * F.col("s")).alias("xy"), F.sum(F.col("n") * F.col("rank") ** 2).alias("xx"))
         bottom = ranks.groupBy(*by).agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("yy"))
         made.append(top.join(bottom, by).select(
-            _named(part).alias("feature"), "horizon",
+            *keys, _named(part).alias("feature"), "horizon",
             ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("ic")))
     return reduce(DataFrame.unionAll, made)
 
@@ -162,6 +163,35 @@ def select_features(df: DataFrame, scores: DataFrame, ic_threshold: float, corr_
     return df.sparkSession.range(1).select(F.inline(rows))
 
 
+def select_features_by_key(df: DataFrame, scores: DataFrame, ic_threshold: float, corr_threshold: float,
+                           keys: Sequence[str]) -> DataFrame:
+    """FS4 to FS6 of each key by itself: (keys, rank, feature). One scan makes the correlations of all keys; the walk over
+    a key's names, a number of columns at most, is one task's."""
+    passed = scores.where(F.abs("ic") > ic_threshold)
+    order = F.min(F.struct(F.col("horizon"), (-F.abs("ic")).alias("down"), F.col("feature").alias("f"))).alias("_o")
+    first = settle(passed.groupBy(*keys, "feature").agg(order).select(*keys, "feature", "_o.horizon", "_o.down"), "passed")
+    names = sorted(r["feature"] for r in first.select("feature").distinct().collect())
+    if len(names) > 1:
+        close = correlations(df, names, keys).where(F.abs("corr") > corr_threshold).select(*keys, "f1", "f2")
+    else:
+        close = first.select(*keys, F.lit("").alias("f1"), F.lit("").alias("f2")).where("false")
+
+    def walk(ordered: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, set] = {}
+        for a, b in zip(pairs["f1"], pairs["f2"], strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        kept: list[str] = []
+        for f in ordered.sort_values(["horizon", "down", "feature"])["feature"]:
+            if not near.get(f, set()) & set(kept):
+                kept.append(f)
+        return pd.DataFrame({**{k: [ordered[k].iloc[0]] * len(kept) for k in keys}, "rank": range(1, len(kept) + 1), "feature": kept}) \
+            if len(ordered) else pd.DataFrame({k: [] for k in (*keys, "rank", "feature")})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return first.groupBy(*keys).cogroup(close.groupBy(*keys)).applyInPandas(walk, f"{fields}, rank long, feature string")
+
+
 def tree_importance(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS,
                     keys: Sequence[str] = (), **options) -> DataFrame:
     """FS7: (keys, feature, horizon, importance) of boosted trees of every horizon's target (absolute loss)."""
@@ -181,19 +211,27 @@ def lasso_features(df: DataFrame, features: Sequence[str], target: str, **option
     return gram.lasso(df, features, target, **options).where("coefficient <> 0")
 
 
-def power_of_ten_scale(df: DataFrame, columns: Sequence[str], clip: float = 10.0) -> DataFrame:
-    """FS10, FS11: divide by the power of ten below the std, then shift large means.
+def power_of_ten_scale(df: DataFrame, columns: Sequence[str], clip: float = 10.0, keys: Sequence[str] = ()) -> DataFrame:
+    """FS10, FS11: divide by the power of ten below the std, then shift large means; of each key by itself if there are ``keys``.
 
     Both statistics come from one aggregate with a row per column: the mean
-    after scaling is the mean divided by the scale.
+    after scaling is the mean divided by the scale. With keys each row meets
+    the scales of its key as one array.
     """
-    stats = df.select(_long(columns)).groupBy("pos").agg(
+    stats = df.select(*keys, _long(columns)).groupBy(*keys, "pos").agg(
         F.avg("col").alias("mean"), F.stddev_samp("col").alias("std"))
     power = F.when(F.col("std") > 0, F.pow(F.lit(10.0), F.floor(F.log10("std"))))
     scaled = F.col("mean") / F.col("power")
     # numpy rounds halves to even.
     shift = F.when(F.abs(scaled) > clip, F.signum(scaled) * F.pow(F.lit(10.0), F.rint(F.log10(F.abs(scaled)))))
-    found = stats.withColumn("power", power).where("power is not null").select(
-        "pos", "power", F.coalesce(shift, F.lit(0.0)).alias("shift")).collect()
-    scale = {columns[row["pos"]]: f"`{columns[row['pos']]}` / {row['power']!r}D - ({row['shift']!r}D)" for row in found}
+    found = stats.withColumn("power", power).select(*keys, "pos", "power", F.coalesce(shift, F.lit(0.0)).alias("shift"))
+    if keys:
+        by_key = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "power", "shift"))).alias("_scales"))
+        rows = join_per_key(df, by_key, keys, "left")
+        kept = [c for c in df.columns if c not in columns]
+        out = {c: F.coalesce(F.col(f"`{c}`") / F.col("_scales")[i]["power"] - F.col("_scales")[i]["shift"], F.col(f"`{c}`"))
+               for i, c in enumerate(columns)}
+        return rows.select(*[F.col(f"`{c}`") if c in kept else out[c].alias(c) for c in df.columns])
+    scale = {columns[row["pos"]]: f"`{columns[row['pos']]}` / {row['power']!r}D - ({row['shift']!r}D)"
+             for row in found.where("power is not null").collect()}
     return df.selectExpr(*[f"{scale[c]} AS `{c}`" if c in scale else f"`{c}`" for c in df.columns])
