@@ -143,6 +143,35 @@ SELECT book_id, cast(p0 as bigint) from_position, cast(v0 as bigint) from_levera
  cast(p1 as bigint) to_position, cast(v1 as bigint) to_leverage, {r6('reward')} FROM w"""
 
 
+def path(spark, sf):
+    """Costs and earnings along a given path of positions over the snapshots."""
+    i = F.col("book_id")
+    rows = book(spark, sf).withColumns({
+        "mark": _mark(), "position": ((F.floor(i / 3) * 7) % 9 - 4) * 2, "leverage": F.get(F.array(*[F.lit(v) for v in LEVERAGES]), (i % 3).cast("int"))})
+    made = execution.path_costs(Ordered.on_steps(rows, [], "book_id"), "mark", "position", "leverage", RATE, FEE)
+    return report(made.select("book_id", F.col("position").cast("long").alias("position"), "filled", "slippage", "commission", "open_loss",
+                              "margin", "price_pnl"))
+
+
+SQL_PATH = with_views(
+    ["fx_book"],
+    st=f"select *, {MARK_SQL} mark, (((book_id//3)*7)%9-4)*2 p1, [1,2,5][book_id%3+1] lev from fx_book",
+    g="""select *, abs(p1-p0)::double size from (select *, coalesce(lag(p1) over o, 0) p0, lead(mark) over o nm from st
+        window o as (order by book_id))""",
+    l=f"""select g.*, i,
+        greatest(0, least(ask_size[i], size-coalesce(list_sum(ask_size[1:i-1]),0))) ta,
+        greatest(0, least(bid_size[i], size-coalesce(list_sum(bid_size[1:i-1]),0))) tb from g, {LEVELS}""",
+    c=f"""select book_id, p0, p1, lev, mark, nm, size,
+        case when p1>p0 then sum(ta*ask_price[i]) else sum(tb*bid_price[i]) end val,
+        case when p1>p0 then sum(ta) else sum(tb) end fill,
+        case when p1>p0 then sum(ta*greatest(0, ask_price[i]*(1+{RATE})-mark)) else sum(tb*greatest(0, mark-bid_price[i]*(1+{RATE}))) end loss
+        from l group by book_id, p0, p1, lev, mark, nm, size""",
+    v=f"""select book_id, p1, fill filled, case when p1>p0 then val-mark*fill else mark*fill-val end slippage, {FEE}*val commission,
+        case when abs(p1)>abs(p0) then loss else 0 end open_loss, abs(mark*p1/lev) margin, p1*(nm-mark) price_pnl from c""",
+) + f"""
+SELECT book_id, p1::bigint AS position, {r6('filled', 'slippage', 'commission', 'open_loss', 'margin', 'price_pnl')} FROM v"""
+
+
 def actions(spark, sf):
     a = (F.col("step") % 25).cast("int")
     part = execution.action_parts(a, POSITIONS, LEVERAGES)
@@ -237,6 +266,7 @@ QUERIES = {
     "margin_tiers": (margins, SQL_MARGINS),
     "reachable_positions": (reachable, SQL_REACHABLE),
     "transition_rewards": (transitions, SQL_TRANSITIONS),
+    "path_costs": (path, SQL_PATH),
     "action_codes": (actions, SQL_ACTIONS),
     "funding_countdown": (countdowns, SQL_COUNTDOWN),
     "position_ledger": (ledgers, SQL_LEDGERS),

@@ -244,3 +244,27 @@ def transition_rewards(book: DataFrame, positions: Sequence[int], leverages: Seq
     reward = trade_gain - commission * value + now * (F.col("next_mark") - mark) - funding
     barred = (was * now < 0) | (F.col("_t.filled") != size) | ~possible
     return grid.withColumn("reward", F.when(barred, F.lit(PENALTY)).otherwise(reward)).drop("_t")
+
+
+def path_costs(path: Ordered, mark: str, position: str, leverage: str, rate: float, commission: float) -> DataFrame:
+    """EX1-EX4 along a given path: what each row's change of position costs, and what the row then earns.
+
+    ``path`` holds one snapshot of the book per step with the position and leverage chosen there. The change from the step
+    before is taken from the levels of its side: ``filled``, ``slippage`` against the mark price, ``commission``,
+    ``open_loss`` beyond margin when the position grows, ``margin`` of what is held after it; ``price_pnl`` is the move of
+    the mark price to the next step on the new position (null at the last step). The first change is from flat.
+    """
+    rows = path.with_frames(lambda w: {"_was": F.coalesce(F.lag(position).over(w), F.lit(0)), "_next": F.lead(mark).over(w)},
+                            back=1, ahead=1).done()
+    now, was, price = F.col(position), F.col("_was"), F.col(mark)
+    size, buys = _quantity(now - was), now > was
+    rows = rows.withColumn("_t", F.when(buys, sweep(F.col("ask_price"), F.col("ask_size"), size)).otherwise(
+        sweep(F.col("bid_price"), F.col("bid_size"), size)))
+    loss = F.when(buys, open_loss(F.col("ask_price"), F.col("ask_size"), size, price, rate, True)).otherwise(
+        open_loss(F.col("bid_price"), F.col("bid_size"), size, price, rate, False))
+    value, filled = F.col("_t.value"), F.col("_t.filled")
+    return rows.withColumns({
+        "filled": filled, "slippage": F.when(buys, value - price * filled).otherwise(price * filled - value),
+        "commission": commission * value, "open_loss": F.when(F.abs(now) > F.abs(was), loss).otherwise(0.0),
+        "margin": F.abs(price * now / F.col(leverage)), "price_pnl": now * (F.col("_next") - price),
+    }).drop("_t", "_was", "_next")

@@ -54,6 +54,19 @@ def join_per_key(df: DataFrame, table: DataFrame, keys: str | Sequence[str], how
     return df.join(settle(table, "per-key"), [keys] if isinstance(keys, str) else list(keys), how)
 
 
+# What ``settle`` wrote, by session: names of folders, no data.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete what ``settle`` wrote for this application; results not yet written or collected are lost. Number of folders."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def settle(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as parquet in the scratch folder and read it back.
 
@@ -62,6 +75,7 @@ def settle(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -84,3 +84,15 @@ def test_settle_keeps_rows_and_types(spark):
     back = settle(df, "test")
     assert back.dtypes == df.dtypes and back.count() == 5
     assert back.inputFiles()[0].removeprefix("file://").startswith(scratch_root(spark).removeprefix("file:"))
+
+
+def test_settled_folders_can_be_forgotten(spark, monkeypatch):
+    from barloom import session
+
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    kept = settle(spark.range(3), "kept")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert kept.count() == 3 and os.path.isdir(folder)
+    assert session.forget(spark) == 1 and not os.path.exists(folder) and session.forget(spark) == 0
