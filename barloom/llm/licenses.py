@@ -174,15 +174,21 @@ def candidates(hashes: np.ndarray, first: np.ndarray, templates: list[Template])
         step *= 2
     for salt in SALTS if len(hashes) and groups else ():
         low, step = {1: scramble(hashes ^ salt)}, 2
-        while step in levels:
+        tops = np.array([scramble(t.shingles ^ salt).min() for t in templates])
+        # A window's least value is a template's only if some shingle has it: few templates are left for the slides.
+        listed = np.zeros(1 << 16, bool)
+        listed[tops >> np.uint64(48)] = True
+        met = np.isin(tops, low[1][listed[low[1] >> np.uint64(48)]])
+        alive = {size: [k for k in own if met[k]] for size, own in groups.items()}
+        alive = {size: own for size, own in alive.items() if own}
+        while alive and step <= max(s for s, _ in alive):
             low[step] = np.minimum.reduceat(low[step // 2], levels[step][2])
             step *= 2
-        for (step, width), own in groups.items():
+        for (step, width), own in alive.items():
             starts, stop = levels[step][:2]
             least = _sliding(low[step], stop, width)
             for k in own:
-                top = scramble(templates[k].shingles ^ salt).min()
-                found |= dict.fromkeys((int(starts[i]), k) for i in np.flatnonzero(least == top))
+                found |= dict.fromkeys((int(starts[i]), k) for i in np.flatnonzero(least == tops[k]))
     return found
 
 
@@ -242,8 +248,10 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str | list[st
          least: float = LEAST) -> DataFrame:
     """``docs`` with ``licenses``: the templates found in each whole text, with containment and place in words.
 
-    Without ``templates``, the whole library is looked for; given ones are looked for alone. Null and empty texts have
-    none. A column ``licenses`` is replaced; no rows give no rows.
+    Without ``templates``, the whole library is looked for; given ones are looked for alone. Whole texts and notices are
+    compared as shingles (``LEAST`` of them held). Lines are phrases: a license line or tag is found in the wordings of
+    ``license_library.lines`` and no others, without regard to case and punctuation. Of texts of one family at one place
+    only the one of which most is held is reported. Null and empty texts have none. A column ``licenses`` is replaced; no rows give no rows.
     """
     ready = prepare(library() if templates is None else templates)  # under 1 MB, made by the driver
     phrases = Phrases.of(license_library.lines()) if templates is None else None
