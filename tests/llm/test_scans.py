@@ -299,3 +299,76 @@ def test_toxicity_gradients_against_differences():
             assert abs((up - down) / (2 * step) - flat[at]) < 2e-3 + 0.02 * abs(flat[at]), name
             checked += 1
     assert checked > 60
+
+
+def folded_words(text):
+    return re.findall("[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+
+def stretches(w):
+    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+
+def test_licenses_against_all_windows():
+    """Bands and containment against the containment of every window of a template's length."""
+    r = random.Random(8)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(60))
+    templates = {f"t{k} text": " ".join(word() for _ in range(n)) for k, n in enumerate((9, 14, 30, 60, 150, 400))}
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(list(templates.values())).split()
+            for at in sorted(r.sample(range(len(w)), int(len(w) * r.choice([0, 0, 0.01, 0.02, 0.05, 0.2]))), reverse=True):
+                w[at:at + 1] = r.choice([[], ["zz"], ["zz", w[at]]])
+            parts += [*(word() for _ in range(r.randint(0, 80))), *w[r.choice([0, 0, 2]):]]
+        texts.append(" ".join([*parts, *(word() for _ in range(r.randint(0, 80)))]).replace("a1 ", "A1, ", 1))
+    got = licenses.matches(pa.array([*texts, "", None]), licenses.prepare(templates))
+    best = {}
+    for i, t in enumerate(texts):
+        own = stretches(folded_words(t))
+        for name, template in templates.items():
+            wanted = stretches(template.split())
+            n, distinct = len(wanted), set(wanted)
+            share = max((len(distinct & set(own[s:s + n])) / len(distinct) for s in range(max(1, len(own) - n + 1))), default=0)
+            best[i, name] = share
+    found = {(i, m[0]): m[1] for i, own in enumerate(got) for m in own}
+    # A window of the method is longer than the template by less than a stride, so it may hold a little more.
+    assert {k for k, share in best.items() if share >= licenses.LEAST} <= set(found)
+    assert all(best[k] >= 0.6 and share >= best[k] - 1e-9 for k, share in found.items())
+    assert sum(share >= licenses.LEAST for share in best.values()) > 60 and got[-1] == got[-2] == []
+
+
+def least_edits(item, text):
+    """Least number of edits between an item and any stretch of a text, row by row."""
+    t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(np.frombuffer(item.encode("utf-32-le"), np.uint32)):
+        step = np.minimum(row[1:] + 1, row[:-1] + (t != c))
+        step = np.concatenate([[i + 1], step])
+        row = np.minimum.accumulate(step - np.arange(len(step))) + np.arange(len(step))  # insertions along the row
+    return int(row.min())
+
+
+def test_edited_items_in_the_tables_texts(spark):
+    """Items planted with edits in texts of the table: every distance within the budget is found, none above it."""
+    r = random.Random(12)
+    bench = X.table("benchmark").head(4)
+    items = {int(i): decontaminate.normal(t) for i, t in zip(bench.item_id, bench.text, strict=True)}
+    docs = X.table("documents")
+    docs = docs[docs.text.str.len().between(200, 3000)].head(24)
+    texts, budget = {}, {i: int(len(t) * decontaminate.ERROR_RATE) for i, t in items.items()}
+    for n, (doc, text) in enumerate(zip(docs.doc_id, docs.text, strict=True)):
+        item = r.choice(list(items))
+        s = list(items[item])
+        edits = r.choice([0, 1, budget[item], budget[item] + 1, budget[item] + 6])
+        for at in sorted(r.sample(range(3, len(s) - 3), min(edits, len(s) - 6)), reverse=True):
+            s[at:at + 1] = r.choice([[], ["#"], ["#", s[at]]])
+        at = r.randrange(len(text))
+        texts[int(doc)] = text if n % 6 == 0 else f"{text[:at]} {''.join(s)} {text[at:]}"
+    found = decontaminate.scan(X.documents(spark, [(d, t, None, None) for d, t in texts.items()]),
+                               spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
+    got = {(row.doc_id, m.item_id): m.distance for row in found for m in row.leaks}
+    want = {(d, i): least_edits(item, decontaminate.normal(t)) for d, t in texts.items() for i, item in items.items()}
+    assert got == {k: v for k, v in want.items() if v <= budget[k[1]]}
+    assert 0 < len(got) < len(texts)
