@@ -70,13 +70,11 @@ def drop_equal_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str
 
 
 def ordered_union(lists: DataFrame, item: str, order: Sequence[str]) -> DataFrame:
-    """DD5: distinct items in order of first appearance, with their ``rank``.
-
-    Meant for name lists, whose number of distinct items is a column count.
-    """
-    firsts = lists.groupBy(item).agg(F.min(F.struct(*order)).alias("_first"))
-    w = Window.orderBy("_first")
-    return firsts.select(item, F.row_number().over(w).alias("rank"))
+    """DD5: distinct items in order of first appearance (ties: by item), with their ``rank``; any number of them."""
+    firsts = lists.groupBy(item).agg(F.min(F.struct(*order)).alias("_first")).select(
+        item, *[F.col(f"_first.{c}").alias(f"_by_{i}") for i, c in enumerate(order)])
+    ranked = row_ids(firsts, [], [*[f"_by_{i}" for i in range(len(order))], item], "rank")
+    return ranked.select(item, (F.col("rank") + 1).alias("rank"))
 
 
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
