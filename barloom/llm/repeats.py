@@ -168,9 +168,24 @@ def named(docs: DataFrame, text: str = "text") -> DataFrame:
                        F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int, earlier: bool) -> DataFrame:
+def places(batch: pa.RecordBatch, symbols: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """Windows of the anchors listed with each text of a batch: text number, place in the text and among all symbols, flags."""
+    listed = batch.column("listed")
+    owner = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+    at, near, far, need = (listed.values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "near", "far", "need"))
+    count = far - near + 1
+    entry = np.repeat(np.arange(len(owner)), count)
+    place = at[entry] - far[entry] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return {"text": owner[entry], "start": place, "at": first[owner[entry]] + place, "need": need[entry]}
+
+
+def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int, earlier: bool,
+             decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc, th, spans): stretches covered by windows that repeat, for texts that have any.
 
+    ``decide`` settles the windows of step 3 in place of their hashes: from (doc, th, text, listed anchors) to the (doc, th,
+    start) of those that repeat.
+
     ``earlier``: a window counts if it also starts in a text with a smaller ``doc``; otherwise if it starts at any
     other place. ``source`` holds (doc, th, text); rows equal in (doc, th) are copies and share one result.
     """
@@ -220,6 +235,9 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
         again = settle(lots.groupBy("key").agg(more.alias("again")).filter("again").select("key"), "again")
         asked = lots.join(again, "key", "left_semi").drop("key")
     looked = with_lists(asked)
+    if decide:
+        some = decide(looked).select("doc", "th", "start", (F.col("start") + size).alias("end"))
+        return sure.unionByName(some).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     windows = settle(looked.mapInArrow(
         _windows(reader, size), "a bigint, b bigint, doc bigint, th bigint, start bigint, copies bigint, need boolean"), "windows")
     if earlier:

@@ -76,6 +76,29 @@ def test_repeats_in_random_text(spark, monkeypatch, near_by):
     assert [tuple(x) for x in got.select("doc_id", "n_removed", "kept").orderBy("doc_id").collect()] == want
 
 
+@pytest.mark.parametrize("group", [1, 5, 60, 1 << 18])
+def test_suffix_groups_of_any_prefix(spark, group):
+    """Prefixes are made longer until few suffixes share them; nodes go on over batches; no size changes a result."""
+    r = random.Random(group)
+    parts = [" ".join(r.choice("ab") for _ in range(r.randint(1, 30))) for _ in range(8)]
+    rows = [(None if i % 17 == 0 else i // 2, " ".join(r.choice(parts) for _ in range(r.randint(0, 9)))) for i in range(70)]
+    want = [(d, *x[1:]) for (d, _), x in zip(rows, X.removed_words(rows, 13), strict=True)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    docs = X.documents(spark, [(d, t, None, None) for d, t in rows])
+    got = subtrees.dedup(docs, group=group).select("doc_id", "n_removed", "kept").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert by_row(map(tuple, got)) == by_row(want)
+
+
+def test_prefixes_are_as_long_as_needed(spark):
+    rows = [(bytes([0, 0, 0, k % 3, *([0] * 12)]) + bytes([0, 0, 0, k % 50]) + bytes(32),) for k in range(600)] + [(bytes([9] * 52),)] * 40
+    suffixes = spark.createDataFrame(rows, "suffix binary")
+    for group, want in ((1000, {4: 640}), (100, {4: 40, 32: 600}), (20, {32: 600, 52: 40})):
+        dealt, prefix = subtrees.prefixes(suffixes, 13, group)
+        got = {r.n: r["count"] for r in dealt.select(F.octet_length(prefix).alias("n")).groupBy("n").count().collect()}
+        assert got == want, group
+
+
 def test_words_query(spark, corpus):
     want = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest())
             for (d, _), (n, gone, kept) in zip(corpus, X.removed_words(corpus, 13), strict=True)]
