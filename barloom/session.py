@@ -58,12 +58,16 @@ def join_per_key(df: DataFrame, table: DataFrame, keys: str | Sequence[str], how
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete what ``settle`` wrote for this application; results not yet written or collected are lost. Number of folders."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def forget(spark: SparkSession, *tables: DataFrame) -> int:
+    """Delete ``tables`` that ``settle`` returned and nothing will read again; without any, all that it wrote for this
+    application: results not yet written or collected are lost then. Number of folders."""
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = [t._settled for t in tables] if tables else list(known)
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in known:
+            known.remove(path)
     return len(paths)
 
 
@@ -78,4 +82,6 @@ def settle(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._settled = path
+    return made

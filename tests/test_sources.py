@@ -95,4 +95,6 @@ def test_settled_folders_can_be_forgotten(spark, monkeypatch):
     import os
 
     assert kept.count() == 3 and os.path.isdir(folder)
-    assert session.forget(spark) == 1 and not os.path.exists(folder) and session.forget(spark) == 0
+    other = settle(spark.range(5), "other")
+    assert session.forget(spark, kept) == 1 and not os.path.exists(folder) and other.count() == 5
+    assert session.forget(spark) == 1 and session.forget(spark) == 0
