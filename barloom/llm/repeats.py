@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.common import NO_ID, field, settle
+from barloom.session import forget
 from barloom.llm.words import BASES, CHUNK, Rolling, scramble
 
 # Texts to (symbols, offsets by text); symbols are 64-bit.
@@ -199,12 +200,17 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
     names = ("doc", "th", "at", "near", "far", "core", "full")
     every = scan(names, "doc bigint, th bigint, at bigint, near int, far int, core bigint, full bigint")
     live = settle(every.join(cores, "core", "left_semi").select(*names), "anchors")
+    # What the tables written from a table have taken over is deleted: several of them are larger than the texts.
+    spark = source.sparkSession
+    forget(spark, cores)
 
     place = F.struct("doc", "th", "at", "near", "far")
-    kinds = settle(live.groupBy("core", "full").agg(F.min(place).alias("rep"), F.count("*").alias("copies")), "kinds")
-    several = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rep.doc").alias("core_doc")).filter("kinds > 1")
+    found = settle(live.groupBy("core", "full").agg(F.min(place).alias("rep"), F.count("*").alias("copies")), "kinds")
+    several = found.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rep.doc").alias("core_doc")).filter("kinds > 1")
+    several = settle(several, "several")
     # Both sides are plain tables, so the join can split a core with very many classes.
-    kinds = settle(kinds.join(settle(several, "several"), "core", "left"), "classes")
+    kinds = settle(found.join(several, "core", "left"), "classes")
+    forget(spark, found, several)
 
     # 1: windows known to repeat as a whole class. 2: one anchor per class where the windows decide.
     if earlier:
@@ -215,6 +221,7 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
     member = live.join(kinds, ["core", "full"])
     spans = settle(member.select("doc", "th", "at", "near", "far", surely.alias("surely"), maybe.alias("maybe"))
                    .filter("surely OR maybe"), "members")
+    forget(spark, live)
     sure = spans.filter("surely").select("doc", "th", (F.col("at") - F.col("far")).alias("start"),
                                          (F.col("at") - F.col("near") + size).alias("end"))
     asked = kinds.filter("kinds > 1").select("rep.*", "copies", (F.lit(not earlier) & (F.col("copies") == 1)).alias("need"))
@@ -233,7 +240,9 @@ def repeated(source: DataFrame, reader: Reader, size: int, reach: int, gram: int
             "key bigint, doc bigint, th bigint, at bigint, near int, far int, copies bigint, need boolean"), "lots")
         more = F.min("doc") < F.max("doc") if earlier else F.sum("copies") > 1
         again = settle(lots.groupBy("key").agg(more.alias("again")).filter("again").select("key"), "again")
-        asked = lots.join(again, "key", "left_semi").drop("key")
+        left = settle(lots.join(again, "key", "left_semi").drop("key"), "asked")
+        forget(spark, lots, again, kinds)
+        asked = left
     looked = with_lists(asked)
     if decide:
         some = decide(looked).select("doc", "th", "start", (F.col("start") + size).alias("end"))
