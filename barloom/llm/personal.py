@@ -384,7 +384,7 @@ def scan(docs: DataFrame, model: Trees | None = None, text: str = "text") -> Dat
     fitted on ``docs``. Added spans touch no base span and no better added one.
 
     Whole texts are read by built-in functions; null and empty texts have no spans. Repeated rows are scanned alike. No
-    rows give no rows. A column ``personal`` is replaced, other columns stay.
+    rows give no rows. A column ``personal`` is replaced, columns ``base`` and ``proposed`` are left out, others stay.
     """
     found = propose(docs, text)
     model = fit(found) if model is None else model

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from barloom.llm import personal, phrases, spelling
 from tests.llm import fixture as X
@@ -189,6 +190,9 @@ def test_personal_base_spans(spark):
             assert c.end - c.start <= personal.REACH or c.gen < 0
             assert c.free == (not any(s < c.end and c.start < e for _, s, e in want))
     assert personal.scan(X.documents(spark, [])).count() == 0
+    odd = X.documents(spark).withColumns({"base": F.lit(1), "personal": F.lit(2), "digits": F.lit(3)})
+    made = personal.scan(odd, personal.Trees())
+    assert made.columns == [c for c in odd.columns if c not in ("base", "personal")] + ["personal"] and made.count() == len(X.ROWS)
 
 
 def test_personal_query(spark):
