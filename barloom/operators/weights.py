@@ -65,7 +65,9 @@ def with_density(df: DataFrame, column: str, bandwidth: float, out: str = "densi
     moments = F.array(*[F.col(f"_m{k}") / float(math.factorial(k)) for k in range(TERMS)])
     reach = math.ceil(math.sqrt(2 * math.log(n / 1e-10)) * BINS_PER_BANDWIDTH) + 1
     offsets = range(-reach, reach + 1)
-    table = F.array(*[F.struct(F.lit(o).alias("o"), F.array(*[F.lit(x) for x in _hermite(o)]).alias("h")) for o in offsets])
+    # As text: thousands of literals, which the JVM parses faster than the driver makes them one by one.
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('o', {o}, 'h', array({', '.join(f'{x!r}D' for x in _hermite(o))}))" for o in offsets) + ")")
     sent = sums.select("_bin", moments.alias("_m"), F.explode(table).alias("_t"))
     # Coefficient m of the series at a bin, from one sending bin.
     terms = [F.aggregate(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import boosting, gram, selection
+from barloom.operators import boosting, gram, quantiles, selection
 from barloom.operators.quantiles import exact_quantiles, values_at_ranks
 from barloom.session import settle
 
@@ -17,7 +17,9 @@ SPREADS = {
     "one": lambda r: 3.0, "heavy": lambda r: math.exp(60 * r.random())}
 
 
-def test_ranks_of_any_spread(spark):
+@pytest.mark.parametrize("refined", [0, 1_000_000])
+def test_ranks_of_any_spread(spark, monkeypatch, refined):
+    monkeypatch.setattr(quantiles, "REFINED", refined)
     r = random.Random(1)
     rows = [(k, make(r) if r.random() > 0.1 else None) for k, make in SPREADS.items() for _ in range(700)] + [("none", None), ("single", 4.0)]
     df = settle(spark.createDataFrame(rows, "k string, v double"), "spreads")
