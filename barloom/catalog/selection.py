@@ -119,7 +119,7 @@ SQL_THRESHOLDS = with_views(["fx_factors"], **PASS_VIEWS) + f"\nSELECT feature,
 def label_matrix(spark, sf):
     """Correlations of each label by itself, from the same scan."""
     rows = factors(spark, sf).withColumn("label", F.col("label").cast("long"))
-    return report(selection.correlations(rows, FEATURES, ["label"]))
+    return report(selection.correlations(rows, FEATURES, keys=["label"]))
 
 
 SQL_LABEL_MATRIX = with_views(["fx_factors"], c=" union all ".join(
@@ -200,13 +200,13 @@ TREES, DEPTH, RATE = 3, 2, 0.1
 def trees(spark, sf):
     """Importance of each factor for each label and horizon, all in one run."""
     made_of = settle(_targets(spark, sf).withColumn("label", F.col("label").cast("long")), "targets")
-    return report(selection.tree_importance(made_of, FEATURES, H, ["label"], trees=TREES, depth=DEPTH, rate=RATE))
+    return report(selection.tree_importance(made_of, FEATURES, H, DEPTH, TREES, RATE, ["label"]))
 
 
 def boosted(spark, sf):
     """Prediction of each row by trees over all rows."""
     made_of = settle(_targets(spark, sf), "targets")
-    return report(selection.boosted_prediction(made_of, FEATURES, "target_1", ["vec_id"], trees=TREES, depth=DEPTH, rate=RATE))
+    return report(selection.boosted_prediction(made_of, FEATURES, "target_1", DEPTH, TREES, RATE, ["vec_id"]))
 
 
 def tree_errors(spark, sf):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,64 +10,64 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of pair sums a task keeps in memory; wider tables keep them in a file of the task.
-HELD_BYTES = 1 << 28
-# Rows multiplied at once.
-STEP = 4096
+# Rows and columns multiplied at once.
+STEP, TILE = 4096, 256
 # Share of a sum of squares below which a variance is rounding.
 SAME = 1e-13
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 class _Pairs:
-    """For one key: n, x, x² and xy summed over the rows where both columns are set, for all pairs (i, j) of columns."""
-
-    def __init__(self, columns: int, held: int):
-        shape = (4, columns, columns)
-        self.file = None
-        if 8 * 4 * columns * columns > held:
-            handle, self.file = tempfile.mkstemp(prefix="pairs-")
-            os.close(handle)
-            self.sums = np.memmap(self.file, np.float64, "w+", shape=shape)
-        else:
-            self.sums = np.zeros(shape)
+    """For one key: n, x, x² and xy summed over the rows where both columns are set, for all pairs (i, j) of columns.
+
+    Stretches of rows without nulls need xy alone by pair; the other sums are then the same for every partner.
+    """
+
+    def __init__(self, columns: int, tile: int):
+        self.tile, self.n, self.one = tile, 0.0, np.zeros((2, columns))
+        self.xy, self.pairs = np.zeros((columns, columns)), None
 
     def add(self, x: np.ndarray) -> None:
         for at in range(0, len(x), STEP):
             part = x[at:at + STEP]
             seen = ~np.isnan(part)
-            part = np.where(seen, part, 0.0)
-            self.sums[3] += part.T @ part
-            if seen.all():  # the sums do not depend on the other column
-                self.sums[0] += len(part)
-                self.sums[1] += part.sum(axis=0)[:, None]
-                self.sums[2] += (part ** 2).sum(axis=0)[:, None]
+            if seen.all():
+                self.n += len(part)
+                self.one += part.sum(axis=0), (part ** 2).sum(axis=0)
             else:
-                set_ = seen.astype(float)
-                self.sums[0] += set_.T @ set_
-                self.sums[1] += part.T @ set_
-                self.sums[2] += (part ** 2).T @ set_
+                part = np.where(seen, part, 0.0)
+                if self.pairs is None:
+                    self.pairs = np.zeros((3, *self.xy.shape))
+                known = seen.astype(float)
+                for lo in range(0, part.shape[1], self.tile):
+                    cut = slice(lo, lo + self.tile)
+                    for into, own in zip(self.pairs, (known[:, cut], part[:, cut], part[:, cut] ** 2), strict=True):
+                        into[cut] += own.T @ known
+            for lo in range(0, part.shape[1], self.tile):
+                self.xy[lo:lo + self.tile] += part[:, lo:lo + self.tile].T @ part
 
     def rows(self, key: dict[str, pa.Scalar], diagonal: bool) -> Iterator[pa.RecordBatch]:
-        n, s, q, xy = self.sums
-        for i in range(len(n)):
-            j = np.arange(i if diagonal else i + 1, len(n))
-            if len(j):
-                columns = [n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], xy[i, j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(k, len(j)) for k in key.values()] + [pa.array(np.full(len(j), i)), pa.array(j)]
-                    + [pa.array(np.ascontiguousarray(c)) for c in columns], names=[*key, "i", "j", *SUMS])
-        if self.file:
-            os.unlink(self.file)
+        zero = np.zeros(len(self.xy))
+        for i in range(len(self.xy)):
+            j = np.arange(i if diagonal else i + 1, len(self.xy))
+            if not len(j):
+                continue
+            mine = [zero[j]] * 3 if self.pairs is None else [p[i, j] for p in self.pairs]
+            other = [zero[j]] * 3 if self.pairs is None else [p[j, i] for p in self.pairs]
+            (s, q), n = self.one, self.n + mine[0]
+            columns = [n, s[i] + mine[1], s[j] + other[1], q[i] + mine[2], q[j] + other[2], self.xy[i, j]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(k, len(j)) for k in key.values()] + [pa.array(np.full(len(j), i)), pa.array(j)]
+                + [pa.array(np.ascontiguousarray(c)) for c in columns], names=[*key, "i", "j", *SUMS])
 
 
 def pair_sums(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), shift: Sequence[float] | None = None,
-              diagonal: bool = False, held: int = HELD_BYTES) -> DataFrame:
+              diagonal: bool = False, tile: int = TILE) -> DataFrame:
     """(keys, i, j, n, sx, sy, sxx, syy, sxy) of every pair i < j of ``columns`` (i <= j with ``diagonal``).
 
     The table is read once, whatever its width: a task holds the sums of all pairs of the key it is at (rows are sorted
-    by key inside their partition, none is shuffled), in a local file where they are more than ``held`` bytes, and sends
-    one row per pair. Sums are over the rows where both columns are set, of values less their ``shift``.
+    by key inside their partition, none is shuffled), 8 bytes a pair of columns and 32 where there are nulls, and sends one
+    row per pair. Sums are over the rows where both columns are set, of values less their ``shift``.
     """
     base = np.zeros(len(columns)) if shift is None else np.asarray(shift, float)
     schema = df.select(*keys).schema
@@ -95,7 +93,7 @@ def pair_sums(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), s
                 if sums is None or [v.as_py() for v in key.values()] != [v.as_py() for v in at.values()]:
                     if sums is not None:
                         yield from sums.rows(at, diagonal)
-                    at, sums = key, _Pairs(len(columns), held)
+                    at, sums = key, _Pairs(len(columns), tile)
                 sums.add(x[lo:hi])
         if sums is not None:
             yield from sums.rows(at, diagonal)
@@ -146,7 +144,7 @@ def _solve(n: float, total: np.ndarray, products: np.ndarray, scale: np.ndarray,
         yield w / scale, mean[-1] - (w / scale) @ mean[:-1]
 
 
-def lasso_paths(rows: np.ndarray, folds: np.ndarray, width: int, penalties: int, least: float) -> tuple[np.ndarray, float, float]:
+def lasso_paths(rows: np.ndarray, folds: np.ndarray, width: int, penalties: int | Sequence[float], least: float) -> tuple[np.ndarray, float, float]:
     """Coefficients on standardised columns, the chosen penalty, and its mean squared error over the folds.
 
     ``rows`` holds (fold, i, j, n, sx, sy, sxy) of all pairs i <= j of the features and the target behind them.
@@ -163,7 +161,10 @@ def lasso_paths(rows: np.ndarray, folds: np.ndarray, width: int, penalties: int,
     scale = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
     scale[scale <= 0] = 1.0
     top = np.abs(cov[:-1, -1] / scale).max(initial=0.0)
-    grid = top * least ** (np.arange(penalties) / max(1, penalties - 1)) if top > 0 else np.zeros(1)
+    if not isinstance(penalties, int):
+        grid = np.sort(np.asarray(penalties, float))[::-1]
+    else:
+        grid = top * least ** (np.arange(penalties) / max(1, penalties - 1)) if top > 0 else np.zeros(1)
     error = np.zeros((len(known), len(grid)))
     for k in range(len(known)):
         if len(known) == 1 or n[k] == n.sum():
@@ -177,10 +178,10 @@ def lasso_paths(rows: np.ndarray, folds: np.ndarray, width: int, penalties: int,
     return w * scale, float(grid[best]), float(error.mean(0)[best])
 
 
-def lasso(df: DataFrame, features: Sequence[str], target: str, folds: int = 5, penalties: int = 100, least: float = 1e-3,
+def lasso(df: DataFrame, features: Sequence[str], target: str, folds: int = 5, penalties: int | Sequence[float] = 100, least: float = 1e-3,
           order: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """FS8: (keys, feature, coefficient, penalty, error): lasso on standardised inputs, the penalty chosen of
-    ``penalties`` by ``folds`` folds.
+    ``penalties`` (so many, or these) by ``folds`` folds.
 
     One scan adds up the pair sums of each fold; a fold is left out by subtracting its sums, and every path is solved on
     sums, so its cost does not depend on the rows. The sums of a key (columns squared times folds) go to one task. With

@@ -125,15 +125,15 @@ def select_by_threshold(scores: DataFrame, threshold: float, score: str = "ic")
     return first.orderBy("_o").select("feature", F.col("_o.horizon").alias("horizon"), F.abs("_o.down").alias("score"))
 
 
-def correlations(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def correlations(df: DataFrame, features: Sequence[str], tile: int = gram.TILE, keys: Sequence[str] = ()) -> DataFrame:
     """FS5: (keys, f1, f2, corr) of every unordered pair of columns, over the rows where both are set.
 
-    One scan adds up the pair sums of all columns (``gram.pair_sums``); nothing but the columns' minima, which the
+    One scan adds up the pair sums of all columns (``gram.pair_sums``), products of ``tile`` columns at a time; nothing but the columns' minima, which the
     values are counted from, leaves Spark. A column that is constant where both are set has no correlation.
     """
     least = dict(df.select(_long(features)).groupBy("pos").agg(F.min("col")).collect())
     shift = [least.get(i) or 0.0 for i in range(len(features))]
-    return gram.correlation(gram.pair_sums(df, features, keys, shift), features, keys)
+    return gram.correlation(gram.pair_sums(df, features, keys, shift, tile=tile), features, keys)
 
 
 def prune_correlated(ordered: Sequence[str], corr: DataFrame, threshold: float = 0.7) -> list[str]:
@@ -172,7 +172,7 @@ def select_features_by_key(df: DataFrame, scores: DataFrame, ic_threshold: float
     first = settle(passed.groupBy(*keys, "feature").agg(order).select(*keys, "feature", "_o.horizon", "_o.down"), "passed")
     names = sorted(r["feature"] for r in first.select("feature").distinct().collect())
     if len(names) > 1:
-        close = correlations(df, names, keys).where(F.abs("corr") > corr_threshold).select(*keys, "f1", "f2")
+        close = correlations(df, names, keys=keys).where(F.abs("corr") > corr_threshold).select(*keys, "f1", "f2")
     else:
         close = first.select(*keys, F.lit("").alias("f1"), F.lit("").alias("f2")).where("false")
 
@@ -192,23 +192,27 @@ def select_features_by_key(df: DataFrame, scores: DataFrame, ic_threshold: float
     return first.groupBy(*keys).cogroup(close.groupBy(*keys)).applyInPandas(walk, f"{fields}, rank long, feature string")
 
 
-def tree_importance(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS,
-                    keys: Sequence[str] = (), **options) -> DataFrame:
-    """FS7: (keys, feature, horizon, importance) of boosted trees of every horizon's target (absolute loss)."""
-    made = boosting.boosted(df, features, {h: f"target_{h}" for h in horizons}, keys, **options)
-    return made.importance.select(*keys, "feature", "horizon", "importance")
+def tree_importance(df: DataFrame, features: Sequence[str], target: str | Sequence[int] = HORIZONS, depth: int = 6,
+                    trees: int = 20, step: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
+    """FS7: (keys, feature, horizon, importance) of boosted trees (absolute loss) of the target of every horizon, or
+    (keys, feature, importance) of the trees of one target column."""
+    one = isinstance(target, str)
+    targets = {0: target} if one else {h: f"target_{h}" for h in target}
+    made = boosting.boosted(df, features, targets, keys, trees=trees, depth=depth, rate=step)
+    return made.importance.select(*keys, "feature", *([] if one else ["horizon"]), "importance")
 
 
-def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, ids: Sequence[str], keys: Sequence[str] = (),
-                       **options) -> DataFrame:
+def boosted_prediction(df: DataFrame, features: Sequence[str], target: str, depth: int = 4, trees: int = 20, step: float = 0.1,
+                       ids: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """FS12: (keys, ids, y, prediction) of boosted trees of the target."""
-    made = boosting.boosted(df, features, {0: target}, keys, ids, **options)
+    made = boosting.boosted(df, features, {0: target}, keys, ids, trees=trees, depth=depth, rate=step)
     return made.rows.select(*keys, *[c for c in ids if c not in keys], "y", "prediction")
 
 
-def lasso_features(df: DataFrame, features: Sequence[str], target: str, **options) -> DataFrame:
+def lasso_features(df: DataFrame, features: Sequence[str], target: str, penalties: int | Sequence[float] = 100, folds: int = 5,
+                   order: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """FS8: features that the lasso of ``gram.lasso`` keeps, with their coefficients."""
-    return gram.lasso(df, features, target, **options).where("coefficient <> 0")
+    return gram.lasso(df, features, target, folds, penalties, order=order, keys=keys).where("coefficient <> 0")
 
 
 def power_of_ten_scale(df: DataFrame, columns: Sequence[str], clip: float = 10.0, keys: Sequence[str] = ()) -> DataFrame:

@@ -63,8 +63,8 @@ COLUMNS = [f"c{j}" for j in range(7)]
 
 def test_pair_sums(table):
     whole = table.toPandas()
-    for keys, held in ((), 1 << 28), (("k",), 1 << 28), (("k",), 0):
-        got = {(*[r[k] for k in keys], r.f1, r.f2): r["corr"] for r in gram.correlation(gram.pair_sums(table, COLUMNS, keys, held=held), COLUMNS, keys).collect()}
+    for keys, tile in ((), 256), (("k",), 256), (("k",), 3):
+        got = {(*[r[k] for k in keys], r.f1, r.f2): r["corr"] for r in gram.correlation(gram.pair_sums(table, COLUMNS, keys, tile=tile), COLUMNS, keys).collect()}
         parts = {(): whole} if not keys else {(k,): whole[whole.k == k] if k else whole[whole.k.isna()] for k in ("a", "b", None)}
         assert len(got) == 21 * len(parts)
         for key, part in parts.items():
@@ -81,6 +81,9 @@ def test_pairs_of_many_columns_take_one_scan(spark):
     made = selection.correlations(df, names)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert made.count() == 600 * 599 // 2
+    got = {(r.f1, r.f2): r["corr"] for r in made.where("f1 in ('x3', 'x598')").collect()}
+    want = df.select("x3", "x598", "x599").toPandas().corr()
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a, b in (("x3", "x598"), ("x3", "x599"), ("x598", "x599")))
 
 
 def test_lasso_path(table):
