@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -250,6 +251,58 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark):
     assert all(np.array_equal(net.params[k], other.params[k]) for k in net.params)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Long texts, and more documents than one task trains on: counts, network and thresholds take them all."""
+    r = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        text = [r.choice(vocabulary) for _ in range(r.randint(5, 40))]
+        if i % 3 == 0:
+            text.insert(r.randrange(len(text)), "vile")
+        if i % 30 == 1:  # the only texts with this word are long ones
+            text = [r.choice(vocabulary) for _ in range(6000)] + ["dreadful"]
+        rows.append((i, " ".join(text), "en", "s"))
+        labels.append((i, int(i % 3 == 0 or i % 30 == 1)))
+    docs = X.documents(spark, rows)
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    nets = [toxicity.fit(docs, known, rows=100), toxicity.fit(docs, known, rows=100)]
+    assert all(np.array_equal(nets[0].params[k], nets[1].params[k]) for k in nets[0].params)
+    probe = pa.array(["word1 vile word2", "word3 dreadful word4", "word5 word6", "word7 word8 word9"])
+    assert (nets[0].score(*toxicity.tokens(probe)) >= 0.3).tolist() == [True, True, False, False]
+
+    # What is added up over shards is what one task would count over all of them.
+    learned = [(t, y) for (d, t, *_), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(d).encode()) % 4 != 2]
+    seen = []
+    real = toxicity.begin
+    toxicity.begin = lambda met, *a: seen.append((met, *a)) or real(met, *a)
+    try:
+        toxicity.fit(docs, known, rows=10, thresholds=False)
+    finally:
+        toxicity.begin = real
+    word, stem, first = toxicity.tokens(pa.array([t for t, _ in learned]))
+    want = toxicity.counts(toxicity.Sample(word, stem, first), np.array([y > 0 for _, y in learned]))
+    met, toxic, total, *_ = seen[0]
+    assert np.array_equal(met, want) and (toxic, total) == (sum(y for _, y in learned), len(learned))
+
+
+def test_thresholds_against_every_cut(spark):
+    r = random.Random(7)
+    rows = [(round(min(1.0, max(0.0, r.gauss(0.3 + 0.4 * y, 0.2))), 2), y, lang) for y in (0, 1) for lang in ("en", "de", "", None) for _ in range(60)]
+    rows += [(0.9, 1, "fr")] * 19 + [(0.1, 0, "fr")] * 40
+
+    def best(own):
+        cuts = sorted({s for s, _, _ in own}, reverse=True)
+        f1 = {s: 2 * sum(y for x, y, _ in own if x >= s) / (sum(x >= s for x, _, _ in own) + sum(y for _, y, _ in own)) for s in cuts}
+        gap = {s: s - t for s, t in zip(cuts, [*cuts[1:], 0.0], strict=True)}
+        top = max((s for s in cuts if gap[s] > 0), key=lambda s: (f1[s], gap[s], s))
+        return min(0.9, max(0.2, top - gap[top] / 2))
+
+    want = {None: best(rows)} | {k: best([x for x in rows if x[2] == k]) for k in ("en", "de")}
+    got = toxicity.calibrate(spark.createDataFrame(rows, "score double, toxic int, lang string"))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     docs = X.documents(spark).withColumnRenamed("kept", "rejected")
