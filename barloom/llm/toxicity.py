@@ -16,11 +16,11 @@ from barloom.llm.words import PUNCTUATION, flatten, words
 from barloom.operators.ordering import Ordered, last_set, running_sum
 
 # Labelled rows, and words of them, that one task trains on, about. More of either make more tasks; all rows are trained on.
-SHARD_ROWS, SHARD_WORDS = 6000, 8 << 20
+SHARD_ROWS, SHARD_WORDS = 6000, 4 << 20
 # Rounds in which several tasks train before their networks are averaged.
 ROUNDS = 6
-# Numbers sent at once to be added up, and groups in which they are added first.
-CHUNK, GROUPS = 1 << 16, 32
+# Numbers sent at once to be added up, and how many such pieces are added at once.
+CHUNK, FAN = 1 << 14, 8
 # Rows of the embedding tables, their width, filters per width, and the widths in words.
 TABLE, DIM, FILTERS, WIDTHS = 1 << 14, 16, 8, (1, 2, 3)
 # Bytes of a word's beginning that are embedded besides the word.
@@ -29,6 +29,8 @@ STEM = 4
 SEEN = 2
 # Words scored at once.
 STEP = 1 << 16
+# Distinct scores a task puts in order, about.
+BLOCK = 100_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +225,7 @@ def calibrate(scores: DataFrame, default: float = 0.5, least: int = 20, within:
         F.count("*").alias("n"), F.sum("toxic").alias("bad")), "toxicity-scores")
     totals = cells.groupBy("series").agg(F.sum("n").alias("rows"), F.sum("bad").alias("all_bad"))
     totals = totals.filter(F.least(F.col("all_bad"), F.col("rows") - F.col("all_bad")) >= least)
-    sums = Ordered.on_events(cells, ["series"], ["score"]).running(
+    sums = Ordered.on_events(cells, ["series"], ["score"], BLOCK).running(
         above=running_sum(F.col("n"), backward=True), found=running_sum(F.col("bad"), backward=True),
         lower=last_set(F.col("score"), strict=True)).df
     gap = F.col("score") - F.coalesce("lower", F.lit(0.0))
@@ -328,14 +330,13 @@ def _added(packed: DataFrame, shards: int, work, length: int) -> np.ndarray:
         total = 0.0
         for x in rows.column("numbers"):
             total = total + np.frombuffer(x.as_py(), np.float64)
-        return pa.table({"part": rows.column("part")[:1], "chunk": rows.column("chunk")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "chunk": rows.column("chunk")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part long, chunk long, numbers binary"
     sums = packed.mapInArrow(run, schema)
-    if shards > GROUPS:
-        sums = sums.groupBy("chunk", F.pmod("part", F.lit(GROUPS)).alias("_group")).applyInArrow(add, schema)
-    if shards > 1:
-        sums = sums.groupBy("chunk").applyInArrow(add, schema)
+    while shards > 1:  # a tree, so that no group grows with the shards
+        sums = sums.groupBy("chunk", F.floor(F.col("part") / FAN).alias("_group")).applyInArrow(add, schema)
+        shards = -(-shards // FAN)
     with cleaning(packed.sparkSession):
         rows = sorted(sums.select("chunk", "numbers").collect())
     return np.concatenate([np.frombuffer(r.numbers, np.float64) for r in rows])

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from barloom.llm import decontaminate, licenses, secrets, toxicity
 from barloom.llm import words as W
@@ -286,7 +287,9 @@ def test_toxicity_learns_from_every_label(spark):
     assert np.array_equal(met, want) and (toxic, total) == (sum(y for _, y in learned), len(learned))
 
 
-def test_thresholds_against_every_cut(spark):
+@pytest.mark.parametrize("block", [100_000, 20])
+def test_thresholds_against_every_cut(spark, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     r = random.Random(7)
     rows = [(round(min(1.0, max(0.0, r.gauss(0.3 + 0.4 * y, 0.2))), 2), y, lang) for y in (0, 1) for lang in ("en", "de", "", None) for _ in range(60)]
     rows += [(0.9, 1, "fr")] * 19 + [(0.1, 0, "fr")] * 40
